@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.arrays import doubles
-from .linalg import DOUBLES, matrix_to_vectors
-from .moments import vectors_to_matrix
+from .kernels import DOUBLES, arrow_kernel, matrix_to_vectors, vectors_to_matrix
 
 # A task holds one block of queries, one of keys and their block_rows^2 scores (32 MB).
 BLOCK_ROWS = 2048
@@ -169,7 +168,7 @@ def self_attention(
     """
     shape = (height, width, channels)
 
-    @F.arrow_udf(DOUBLES)
+    @arrow_kernel(DOUBLES)
     def attend(images: pa.Array) -> pa.Array:
         flat = vectors_to_matrix(images)
         x = flat.reshape(len(images), height * width, channels)

@@ -8,25 +8,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.arrays import L2_EPSILON, dot, doubles, l2_normalize, let, vector_literal
 from ..functions.hashing import normal_vector
-from .moments import vectors_to_matrix
-
-DOUBLES = T.ArrayType(T.DoubleType())
+from .kernels import DOUBLES, arrow_kernel, matrix_to_vectors, vectors_to_matrix
 
 # Largest matrix handed to every task: 64 MB. Larger ones go through `project_by_join`.
 MAX_SHIPPED_CELLS = 8_000_000
 
 
-def matrix_to_vectors(matrix: np.ndarray) -> pa.Array:
-    """Rows of a matrix as an ARRAY column."""
-    rows, size = matrix.shape
-    offsets = np.arange(0, rows * size + 1, size, dtype=np.int32) if size else np.zeros(rows + 1, np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(matrix, np.float64).ravel()))
-
-
 def pack(rows: DataFrame, position: str, value: str) -> Column:
     """A (position, value) table as one array, usable as a scalar in another query.
 
@@ -59,7 +49,7 @@ def project(vector: Column, matrix: np.ndarray, bias: Sequence[float] | None = N
     """x . W (+ b) for a small matrix; also a 1x1 convolution when applied per pixel."""
     shift = np.zeros(matrix.shape[1]) if bias is None else np.asarray(bias, dtype=np.float64)
 
-    @F.arrow_udf(DOUBLES)
+    @arrow_kernel(DOUBLES)
     def multiply(x: pa.Array) -> pa.Array:
         return matrix_to_vectors(vectors_to_matrix(x) @ matrix + shift if len(x) else np.empty((0, matrix.shape[1])))
 

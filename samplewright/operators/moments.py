@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.arrays import whole_div
+from .kernels import vectors_to_matrix
 from .ranking import ordered_rank
 
 
@@ -117,20 +118,6 @@ def _tile_schema(df: DataFrame, keys: Sequence[str]) -> T.StructType:
     ])
 
 
-def vectors_to_matrix(column: pa.Array) -> np.ndarray:
-    """ARRAY column of equally long, complete vectors as a float64 matrix."""
-    if column.null_count:
-        raise ValueError("null vector")
-    flat = column.flatten()
-    if flat.null_count:
-        raise ValueError("null inside a vector")
-    rows = len(column)
-    size = len(flat) // rows if rows else 0
-    if rows and np.any(np.diff(column.offsets.to_numpy()) != size):
-        raise ValueError("ragged vectors")
-    return flat.to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(rows, size)
-
-
 def _merge(a: tuple, b: tuple) -> tuple:
     """(n, mean_i, mean_j, cross) of two disjoint row sets, cross being centred products."""
     if a is None:

@@ -23,7 +23,8 @@ def frechet_distance(
     """Frechet distance between real and generated vectors (Heusel et al. 2017), per key.
 
     |m1 - m2|^2 + Tr(S1 + S2 - 2 (S1 S2)^1/2) with covariances of divisor n - 1. ``is_generated`` is a
-    BOOLEAN column. Only the moments are shuffled, never the vectors.
+    BOOLEAN column. Only the moments are shuffled, never the vectors. Fewer than two rows on a side give
+    null.
     """
     keys = list(keys)
     return frechet_from_moments(vector_moments(df, vector, [*keys, is_generated]), is_generated, keys)

@@ -18,14 +18,13 @@ from pyspark.sql import types as T
 
 from ..functions.arrays import doubles, to_uint8, whole_div
 from ..functions.images import explode_pixels
-from .linalg import DOUBLES, matrix_to_vectors
-from .moments import vectors_to_matrix
+from .kernels import DOUBLES, INTS, arrow_kernel, matrix_to_vectors, vectors_to_matrix
 
 
 def decode_bytes(data: Column, size: int) -> Column:
     """BINARY of exactly ``size`` bytes to ARRAY<INT> in 0..255, in Arrow batches."""
 
-    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    @arrow_kernel(INTS)
     def decode(blobs: pa.Array) -> pa.Array:
         lengths = np.array([-1 if b is None else len(b) for b in blobs.to_pylist()])
         if np.any(lengths != size):
@@ -41,7 +40,7 @@ def resize_bilinear(image: Column, height: int, width: int, channels: int, out_h
     """Bilinear resize; source position = target position * in / out, neighbours clamped to the edge."""
     rows, cols = _axis(height, out_height), _axis(width, out_width)
 
-    @F.arrow_udf(DOUBLES)
+    @arrow_kernel(DOUBLES)
     def resize(images: pa.Array) -> pa.Array:
         x = vectors_to_matrix(images).reshape(len(images), height, width, channels)
         lo, hi, part = rows
@@ -76,7 +75,7 @@ def focal_sum(
     out_w, left = _padding(width, k_w, stride)
     shift = np.zeros(c_out) if bias is None else np.asarray(bias, dtype=np.float64)
 
-    @F.arrow_udf(DOUBLES)
+    @arrow_kernel(DOUBLES)
     def convolve(images: pa.Array) -> pa.Array:
         x = vectors_to_matrix(images).reshape(len(images), height, width, c_in)
         padded = np.zeros((len(x), (out_h - 1) * stride + k_h + stride, (out_w - 1) * stride + k_w + stride, c_in))

@@ -29,7 +29,7 @@ def score(
     shapes = {at: [size] for at, size in enumerate(inputs.values()) if size}
     model = predict_batch_udf(
         make_model, return_type=fields, batch_size=batch_size, input_tensor_shapes=shapes or None
-    )
+    ).asNondeterministic()  # one run per row, see kernels.arrow_kernel
     scored = df.withColumn("_out", model(*[F.col(name) for name in inputs]))
     return scored.select(*df.columns, *[F.col(f"_out.{name}").alias(name) for name in outputs])
 
