@@ -17,12 +17,20 @@ L2_EPSILON = 1e-12
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluates ``value`` once per row and hands it to ``body``.
 
-    Inside a lambda Spark re-evaluates an outer expression for every element; binding it as a
-    one-element array keeps vector expressions linear in the vector length.
+    ``body`` must not use it inside a further lambda: Spark cannot pass an expression whose inner
+    lambda uses an outer lambda's variable to a Python function. :func:`map_with` does that instead.
     """
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def map_with(vector: Column, shared: Column, fn: Callable[[Column, Column], Column]) -> Column:
+    """``fn(element, shared)`` for every element, ``shared`` being evaluated once per row.
+
+    Written into the lambda itself it would be evaluated for every element.
+    """
+    return F.zip_with(vector, F.array_repeat(shared, F.size(vector)), fn)
+
+
 def whole_div(a: Column, n: int | Column) -> Column:
     """Integer quotient."""
     return F.call_function("div", a, n if isinstance(n, Column) else F.lit(n))
@@ -69,17 +77,20 @@ def l2_norm(vector: Column) -> Column:
 
 def l2_normalize(vector: Column, eps: float = L2_EPSILON) -> Column:
     """v / (|v| + eps): eps stands outside the root, so a zero vector stays zero."""
-    return let(l2_norm(vector) + eps, lambda n: F.transform(doubles(vector), lambda x: x / n))
+    return let(doubles(vector), lambda v: map_with(v, l2_norm(v) + eps, lambda x, n: x / n))
+
+
+def _log_sum_exp(v: Column) -> Column:
+    top = F.array_max(v)
+    return top + F.log(vector_sum(map_with(v, top, lambda x, m: F.exp(x - m))))
 
 
-def log_sum_exp(vector: Column) -> Column:
-    v = doubles(vector)
-    return let(F.array_max(v), lambda m: m + F.log(vector_sum(F.transform(v, lambda x: F.exp(x - m)))))
+def log_softmax(vector: Column) -> Column:
+    return let(doubles(vector), lambda v: map_with(v, _log_sum_exp(v), lambda x, z: x - z))
 
 
 def softmax(vector: Column) -> Column:
-    v = doubles(vector)
-    return let(log_sum_exp(v), lambda z: F.transform(v, lambda x: F.exp(x - z)))
+    return let(doubles(vector), lambda v: map_with(v, _log_sum_exp(v), lambda x, z: F.exp(x - z)))
 
 
 def one_hot(index: Column, size: int) -> Column:
@@ -100,12 +111,8 @@ def add_scaled(x: Column, y: Column, scale: float | Column = 1.0) -> Column:
 
 def bytes_to_ints(data: Column) -> Column:
     """BINARY to ARRAY<INT> in 0..255, in the JVM; suits small images (see raster.decode_bytes)."""
-    hexed = F.hex(data)
     positions = F.sequence(F.lit(0), F.length(data) - 1)
-    values = let(
-        hexed,
-        lambda h: F.transform(positions, lambda i: F.conv(F.substring(h, i * 2 + 1, F.lit(2)), 16, 10).cast("int")),
-    )
+    values = map_with(positions, F.hex(data), lambda i, h: F.conv(F.substring(h, i * 2 + 1, F.lit(2)), 16, 10).cast("int"))
     return F.when(F.length(data) > 0, values).otherwise(F.array().cast("array<int>"))
 
 

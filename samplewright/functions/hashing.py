@@ -11,8 +11,6 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .arrays import let
-
 KEY_BITS = 60
 WORD = 1 << 32
 
@@ -54,16 +52,12 @@ def normal_vector(seed: int, row: Column, size: int) -> Column:
     """
     digests = F.transform(F.sequence(F.lit(0), F.lit((size + 3) // 4 - 1)), lambda b: digest(seed, row, b))
     pairs = F.flatten(F.transform(digests, lambda d: F.array(_word_pair(d, 1), _word_pair(d, 17))))
-    return F.slice(F.flatten(F.transform(pairs, _box_muller)), 1, size)
+    values = F.transform(pairs, lambda p: F.array(p["r"] * F.cos(p["angle"]), p["r"] * F.sin(p["angle"])))
+    return F.slice(F.flatten(values), 1, size)
 
 
 def _word_pair(md5: Column, start: int) -> Column:
-    return F.struct(
-        ((_hex_to_bigint(F.substring(md5, start, 8)) + 1) / F.lit(float(WORD + 1))).alias("u"),
-        (_hex_to_bigint(F.substring(md5, start + 8, 8)) / F.lit(float(WORD))).alias("turn"),
-    )
-
-
-def _box_muller(pair: Column) -> Column:
-    angle = pair["turn"] * F.lit(2 * math.pi)
-    return let(F.sqrt(F.log(pair["u"]) * -2.0), lambda r: F.array(r * F.cos(angle), r * F.sin(angle)))
+    """Radius and angle from two 32-bit words of a digest."""
+    u = (_hex_to_bigint(F.substring(md5, start, 8)) + 1) / F.lit(float(WORD + 1))
+    turn = _hex_to_bigint(F.substring(md5, start + 8, 8)) / F.lit(float(WORD))
+    return F.struct(F.sqrt(F.log(u) * -2.0).alias("r"), (turn * F.lit(2 * math.pi)).alias("angle"))

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import doubles, let, whole_div
+from .arrays import doubles, let, map_with, whole_div
 
 
 def _positions(n: int) -> Column:
@@ -45,17 +45,14 @@ def collect_pixels(df: DataFrame, keys: list[str], width: int, channels: int, im
 def _pool_2x2(image: Column, height: int, width: int, channels: int, merge: Callable[..., Column]) -> Column:
     out_h, out_w = height // 2, width // 2
 
-    def build(img: Column) -> Column:
-        def cell(j: Column) -> Column:
-            y = _div(j, out_w * channels)
-            x = _div(j, channels) % out_w
-            base = ((y * 2) * width + x * 2) * channels + j % channels
-            below = base + width * channels
-            return merge(*[F.get(img, p) for p in (base, base + channels, below, below + channels)])
+    def cell(j: Column, img: Column) -> Column:
+        y = _div(j, out_w * channels)
+        x = _div(j, channels) % out_w
+        base = ((y * 2) * width + x * 2) * channels + j % channels
+        below = base + width * channels
+        return merge(*[F.get(img, p) for p in (base, base + channels, below, below + channels)])
 
-        return F.transform(_positions(out_h * out_w * channels), cell)
-
-    return let(doubles(image), build)
+    return map_with(_positions(out_h * out_w * channels), doubles(image), cell)
 
 
 def avg_pool_2x2(image: Column, height: int, width: int, channels: int = 1) -> Column:
@@ -74,29 +71,24 @@ def upsample_nearest(image: Column, height: int, width: int, channels: int = 1,
         return doubles(image)
     out_w = width * factor
 
-    def build(img: Column) -> Column:
-        def cell(j: Column) -> Column:
-            y = _div(j, out_w * channels * factor)
-            x = _div(_div(j, channels) % out_w, factor)
-            return F.get(img, (y * width + x) * channels + j % channels)
-
-        return F.transform(_positions(height * factor * out_w * channels), cell)
+    def cell(j: Column, img: Column) -> Column:
+        y = _div(j, out_w * channels * factor)
+        x = _div(_div(j, channels) % out_w, factor)
+        return F.get(img, (y * width + x) * channels + j % channels)
 
-    return let(doubles(image), build)
+    return map_with(_positions(height * factor * out_w * channels), doubles(image), cell)
 
 
 def spatial_sum(image: Column, channels: int, each: Callable[[Column], Column] = lambda v: v) -> Column:
     """Per channel, the sum of ``each(value)`` over all positions."""
 
-    def build(img: Column) -> Column:
+    def add_up(img: Column) -> Column:
         places = F.sequence(F.lit(0), _div(F.size(img), channels) - 1)
+        pixels = map_with(places, img, lambda p, whole: F.slice(whole, p * channels + 1, channels))
+        zeros = F.array_repeat(F.lit(0.0), channels)
+        return F.aggregate(pixels, zeros, lambda acc, pixel: F.zip_with(acc, pixel, lambda a, v: a + each(v)))
 
-        def channel(c: Column) -> Column:
-            return F.aggregate(places, F.lit(0.0), lambda acc, p: acc + each(F.get(img, p * channels + c)))
-
-        return F.transform(_positions(channels), channel)
-
-    return let(doubles(image), build)
+    return let(doubles(image), add_up)
 
 
 def squarest_grid(n: Column) -> Column:

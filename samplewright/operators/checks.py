@@ -26,7 +26,8 @@ def shape_report(df: DataFrame, vector: str, size: int, rows: int | None = None,
 
 def require_shape(df: DataFrame, vector: str, size: int) -> DataFrame:
     """The same rows; a vector of another length is an error when it is read."""
-    fault = F.raise_error(F.concat(F.lit(f"expected length {size}, found "), F.size(vector).cast("string")))
+    found = F.coalesce(F.size(vector).cast("string"), F.lit("null"))
+    fault = F.raise_error(F.concat(F.lit(f"expected length {size}, found "), found))
     return df.filter(F.when(F.size(vector) == size, True).otherwise(fault.cast("boolean")))
 
 

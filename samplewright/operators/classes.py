@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import dot, doubles, let, relu, vector_literal
+from ..functions.arrays import dot, doubles, let, relu, vector_literal, whole_div
 from ..functions.images import spatial_sum
 from .moments import channel_moments, moments_as_arrays
 
@@ -44,13 +44,8 @@ def _normalize(
         stats["mean"],
         lambda f, m: F.struct(f["scale"].alias("scale"), (f["beta"] - m * f["scale"]).alias("shift")),
     )
-    return let(
-        factors,
-        lambda fs: F.transform(
-            doubles(image),
-            lambda x, i: let(F.get(fs, i % channels), lambda f: x * f["scale"] + f["shift"]),
-        ),
-    )
+    tiled = F.flatten(F.array_repeat(factors, whole_div(F.size(image), channels).cast("int")))
+    return F.zip_with(doubles(image), tiled, lambda x, f: x * f["scale"] + f["shift"])
 
 
 def conditional_normalize(

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.arrays import L2_EPSILON, dot, doubles, l2_normalize, let, vector_literal
+from ..functions.arrays import L2_EPSILON, dot, doubles, l2_normalize, map_with, vector_literal
 from ..functions.hashing import normal_vector
 from .kernels import DOUBLES, arrow_kernel, matrix_to_vectors, vectors_to_matrix
 
@@ -113,7 +113,7 @@ def _power_step(matrix: DataFrame, weights: str, u: Column, eps: float) -> DataF
 def divide_by(df: DataFrame, weights: str, sigma: Column) -> DataFrame:
     """Every element of a vector column divided by a scalar (a column or scalar subquery)."""
     # A scalar subquery may not stand inside a lambda, so it becomes a column first.
-    scaled = let(F.col("_divisor"), lambda s: F.transform(doubles(F.col(weights)), lambda x: x / s))
+    scaled = map_with(doubles(F.col(weights)), F.col("_divisor"), lambda x, s: x / s)
     return df.withColumn("_divisor", sigma).withColumn(weights, scaled).drop("_divisor")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.arrays import doubles, let, log_sum_exp, required
+from ..functions.arrays import log_softmax, required
 from .moments import TILE, vector_moments
 
 # Both matrices of a comparison are put together in one task: 2 x 512 MB at this length.
@@ -113,8 +113,7 @@ def score_parts(df: DataFrame, logits: str, keys: Sequence[str] = ()) -> DataFra
 
     Rows of several parts add up, so appended data needs only its own pass.
     """
-    x = doubles(required(F.col(logits), logits))
-    logs = let(log_sum_exp(x), lambda z: F.transform(x, lambda v: v - z))
+    logs = log_softmax(required(F.col(logits), logits))
     tall = df.select(*keys, F.posexplode(logs).alias("class_id", "_log_p"))
     tall = tall.withColumn("_p", F.exp("_log_p"))
     p_log_p = F.when(F.col("_p") > 0, F.col("_p") * F.col("_log_p")).otherwise(F.col("_p"))

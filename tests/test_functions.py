@@ -121,3 +121,16 @@ def test_squarest_grid(spark):
     df = spark.createDataFrame([(i, n) for i, n in enumerate([64, 12, 7, 1, 16, 36])], "id int, n bigint")
     got = [tuple(g) for g in column(df, I.squarest_grid(F.col("n")))]
     assert got == [(8, 8), (4, 3), (7, 1), (1, 1), (4, 4), (6, 6)]
+
+
+def test_expressions_can_feed_a_python_function(spark):
+    # Spark inlines them into the function's arguments.
+    same = F.arrow_udf(lambda x: x, "array<double>")
+    v = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda b: (b + F.col("id")).cast("double"))
+    for expr in (
+        A.l2_normalize(v), A.softmax(v), A.log_softmax(v), A.scale_pixels(v), A.to_unit_range(v), A.add_scaled(v, v, 2.0),
+        I.avg_pool_2x2(v, 4, 4), I.max_pool_2x2(v, 4, 4), I.upsample_nearest(v, 4, 4), I.spatial_sum(v, 4, A.relu),
+        H.normal_vector(1, F.col("id"), 6),
+    ):
+        df = spark.range(5).select("id", expr.alias("direct"), same(expr).alias("through"))
+        assert all(r.direct == r.through for r in df.collect())

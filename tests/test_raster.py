@@ -86,17 +86,24 @@ def test_montage_of_a_sheet_that_is_not_square(spark, order):
     assert all(int(np.floor((p.v + 1) * 127.5)) == want[p.y, p.x, p.c] for p in pixels)
 
 
-def _make_classifier():
-    return lambda images: {"pool": images[:, :3] * 2, "logits": images[:, :4]}
+def _models():
+    """Model factories local to a function, which is how Spark ships them by value."""
 
+    def make_classifier():
+        return lambda images: {"pool": images[:, :3] * 2, "logits": images[:, :4]}
 
-def _make_generator():
-    return lambda z, class_id: {"image": z + class_id[:, None]}
+    def make_generator():
+        return lambda z, class_id: {"image": z + class_id[:, None]}
+
+    return make_classifier, make_generator
+
+
+make_classifier, make_generator = _models()
 
 
 def test_scoring_keeps_rows_and_order_of_values(spark):
     x = RNG.normal(size=(250, 6))
-    scored = scoring.score(table(spark, x), _make_classifier, {"v": 6}, ["pool", "logits"], batch_size=32)
+    scored = scoring.score(table(spark, x), make_classifier, {"v": 6}, ["pool", "logits"], batch_size=32)
     assert scored.columns == ["id", "v", "pool", "logits"]
     assert np.allclose([r.pool for r in scored.orderBy("id").collect()], x[:, :3] * 2)
     assert scored.filter(F.size("logits") == 4).count() == 250
@@ -104,7 +111,7 @@ def test_scoring_keeps_rows_and_order_of_values(spark):
 
 def test_generated_samples_do_not_depend_on_partitions(spark):
     def samples(df):
-        made = scoring.generate_samples(df, "id", _make_generator, 6, 5, ["image"], seed=4)
+        made = scoring.generate_samples(df, "id", make_generator, 6, 5, ["image"], seed=4)
         return {r.id: (r.class_id, r.image) for r in made.collect()}
 
     assert samples(spark.range(60).repartition(1)) == samples(spark.range(60).repartition(7))
@@ -112,7 +119,7 @@ def test_generated_samples_do_not_depend_on_partitions(spark):
 
 def test_evaluation_job(spark):
     real = table(spark, RNG.normal(size=(200, 6)))
-    got = {r.name: r.value for r in jobs.evaluate(real, "id", "v", 6, _make_classifier, _make_generator, 6, 5).collect()}
+    got = {r.name: r.value for r in jobs.evaluate(real, "id", "v", 6, make_classifier, make_generator, 6, 5).collect()}
     assert set(got) == {"fid", "incscore"}
     assert got["fid"] > 1 and 1 <= got["incscore"] <= 4
 
