@@ -95,9 +95,16 @@ def softmax(vector: Column) -> Column:
 
 def one_hot(index: Column, size: int) -> Column:
     """Indicator vector; an index off the range gives all zeros."""
-    hit = F.lit(1.0).cast("float")
-    miss = F.lit(0.0).cast("float")
-    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.when(i == index, hit).otherwise(miss))
+    inside = index.between(0, size - 1)
+    vector = single_entry(F.when(inside, index).otherwise(0), F.when(inside, 1.0).otherwise(0.0), size)
+    return vector.cast("array<float>")
+
+
+def single_entry(position: Column, value: Column, size: int) -> Column:
+    """Zeros but for ``value`` at ``position``, which must be in [0, size)."""
+    at = position.cast("int")
+    zero = F.lit(0.0)
+    return F.concat(F.array_repeat(zero, at), F.array(value), F.array_repeat(zero, F.lit(size - 1) - at))
 
 
 def add_scaled(x: Column, y: Column, scale: float | Column = 1.0) -> Column:

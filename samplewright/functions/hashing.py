@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 KEY_BITS = 60
 WORD = 1 << 32
+HALF_KEY = 1 << 30
 
 
 def digest(*parts: Column | str | int) -> Column:
@@ -28,9 +29,13 @@ def _hex_to_bigint(text: Column) -> Column:
     return F.conv(text, 16, 10).cast("bigint")
 
 
+def _key_at(md5: Column, start: int) -> Column:
+    return _hex_to_bigint(F.substring(md5, start, KEY_BITS // 4))
+
+
 def hash_key(*parts: Column | str | int) -> Column:
     """60-bit key in [0, 2**60) for shuffling rows."""
-    return _hex_to_bigint(F.substring(digest(*parts), 1, KEY_BITS // 4))
+    return _key_at(digest(*parts), 1)
 
 
 def hash_word(*parts: Column | str | int) -> Column:
@@ -48,16 +53,18 @@ def uniform_int(word: Column, n: int) -> Column:
 def normal_vector(seed: int, row: Column, size: int) -> Column:
     """``size`` independent N(0,1) values for a row id.
 
-    One digest holds four 32-bit words, i.e. two Box-Muller pairs, i.e. four values.
+    The two halves of a digest give a 60-bit key each, a key two 30-bit words, and two words a Box-Muller
+    pair: four values per digest.
     """
     digests = F.transform(F.sequence(F.lit(0), F.lit((size + 3) // 4 - 1)), lambda b: digest(seed, row, b))
-    pairs = F.flatten(F.transform(digests, lambda d: F.array(_word_pair(d, 1), _word_pair(d, 17))))
+    keys = F.flatten(F.transform(digests, lambda d: F.array(_key_at(d, 1), _key_at(d, 17))))
+    pairs = F.transform(keys, _polar)
     values = F.transform(pairs, lambda p: F.array(p["r"] * F.cos(p["angle"]), p["r"] * F.sin(p["angle"])))
     return F.slice(F.flatten(values), 1, size)
 
 
-def _word_pair(md5: Column, start: int) -> Column:
-    """Radius and angle from two 32-bit words of a digest."""
-    u = (_hex_to_bigint(F.substring(md5, start, 8)) + 1) / F.lit(float(WORD + 1))
-    turn = _hex_to_bigint(F.substring(md5, start + 8, 8)) / F.lit(float(WORD))
+def _polar(key: Column) -> Column:
+    """Radius and angle from the two 30-bit words of a key."""
+    u = (F.shiftright(key, 30) + 1) / F.lit(float(HALF_KEY))
+    turn = key.bitwiseAND(F.lit(HALF_KEY - 1)) / F.lit(float(HALF_KEY))
     return F.struct(F.sqrt(F.log(u) * -2.0).alias("r"), (turn * F.lit(2 * math.pi)).alias("angle"))

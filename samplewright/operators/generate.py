@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from ..functions.arrays import single_entry
 from ..functions.hashing import WORD, hash_word, normal_vector, uniform_int
 from .ranking import ordered_rank
 
@@ -52,6 +53,8 @@ def latent_traversal(df: DataFrame, row: str, z_dim: int, dims: int) -> DataFram
     Step k of B (rows in order of ``row``) is the zero vector with k/B in the swept dimension. Columns:
     ``dim``, ``step``, ``value``, ``z``.
     """
+    if dims > z_dim:
+        raise ValueError(f"{dims} dimensions to sweep, vectors have {z_dim}")
     ranked = ordered_rank(df.select(row), row, rank="step", total="_steps")
     swept = ranked.select(
         row,
@@ -59,8 +62,4 @@ def latent_traversal(df: DataFrame, row: str, z_dim: int, dims: int) -> DataFram
         "step",
         (F.col("step") / F.col("_steps")).alias("value"),
     )
-    return swept.withColumn("z", _only(F.col("dim"), F.col("value"), z_dim))
-
-
-def _only(dim: Column, value: Column, size: int) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.when(i == dim, value).otherwise(F.lit(0.0)))
+    return swept.withColumn("z", single_entry(F.col("dim"), F.col("value"), z_dim))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,3 +42,13 @@ def matrix_to_vectors(matrix: np.ndarray) -> pa.Array:
     rows, size = matrix.shape
     offsets = np.arange(rows + 1, dtype=np.int32) * np.int32(size)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(matrix, np.float64).ravel()))
+
+
+def group_rows(batch: pa.RecordBatch, n_keys: int) -> Iterator[tuple[tuple, np.ndarray | None]]:
+    """(key, row numbers) of a batch whose first columns are keys; no keys give one group of all rows."""
+    if not n_keys:
+        yield (), None
+        return
+    frame = batch.select(list(range(n_keys))).to_pandas()
+    for index in frame.groupby(list(frame.columns), dropna=False, sort=False).indices.values():
+        yield tuple(batch.column(i)[int(index[0])].as_py() for i in range(n_keys)), index

@@ -10,9 +10,10 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.arrays import whole_div
-from .kernels import vectors_to_matrix
+from .kernels import group_rows, vectors_to_matrix
 from .ranking import ordered_rank
 
 
@@ -104,7 +105,7 @@ TILE = 256
 FOLD_BYTES = 256 << 20
 
 
-def _tile_schema(df: DataFrame, keys: Sequence[str]) -> T.StructType:
+def tile_schema(df: DataFrame, keys: Sequence[str]) -> T.StructType:
     fields = [df.schema[k] for k in keys]
     return T.StructType([
         *fields,
@@ -141,7 +142,7 @@ def vector_moments(
     """
     keys = list(keys)
     rows = df.select(*keys, F.col(vector).alias("_vector"))
-    schema = _tile_schema(df, keys)
+    schema = tile_schema(df, keys)
     key_types = [df.schema[k].dataType for k in keys]
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,7 +152,7 @@ def vector_moments(
             if not batch.num_rows:
                 continue
             matrix = vectors_to_matrix(batch.column(len(keys)))
-            for key, index in _group_rows(batch, len(keys)):
+            for key, index in group_rows(batch, len(keys)):
                 x = matrix if index is None else matrix[index]
                 mean = x.mean(axis=0)
                 x = x - mean
@@ -184,19 +185,7 @@ def merge_moments(moments: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return _merge_tiles(moments, keys, None, [moments.schema[k].dataType for k in keys])
 
 
-def _group_rows(batch: pa.RecordBatch, n_keys: int):
-    if not n_keys:
-        yield (), None
-        return
-    frame = batch.select(list(range(n_keys))).to_pandas()
-    for key, index in frame.groupby(list(frame.columns), dropna=False, sort=False).indices.items():
-        first = batch.slice(int(index[0]), 1)
-        yield tuple(first.column(i)[0].as_py() for i in range(n_keys)), index
-
-
 def _tile_batch(key, ti, tj, branch, part, keys, key_types) -> pa.RecordBatch:
-    from pyspark.sql.pandas.types import to_arrow_type
-
     n, mean_i, mean_j, cross = part
     vectors = pa.list_(pa.float64())
     columns = [pa.array([k], to_arrow_type(t)) for k, t in zip(key, key_types)]

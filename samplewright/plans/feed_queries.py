@@ -154,14 +154,16 @@ def accumulate_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _normal_sql(source: str, row: str, size: int, seed: int) -> str:
-    """normal(row, pos, z): four values per digest, two Box-Muller pairs."""
+    """normal(row, pos, z): two 60-bit keys per digest, a Box-Muller pair from the two halves of a key."""
     return f"""digests AS (
   SELECT {row} AS row, b, md5('{seed}:' || {row} || ':' || b) AS d
   FROM {source}, (SELECT unnest(range({(size + 3) // 4})) AS b)),
-words AS (
-  SELECT row, b, k, (('0x' || substr(d, 1 + (k // 2 * 16)::INTEGER, 8))::BIGINT + 1) / 4294967297.0::DOUBLE AS u,
-    ('0x' || substr(d, 9 + (k // 2 * 16)::INTEGER, 8))::BIGINT / 4294967296.0::DOUBLE AS turn
+keys AS (
+  SELECT row, b, k, ('0x' || substr(d, 1 + (k // 2 * 16)::INTEGER, 15))::BIGINT AS key
   FROM digests, (SELECT unnest(range(4)) AS k)),
+words AS (
+  SELECT row, b, k, ((key >> 30) + 1) / 1073741824.0::DOUBLE AS u, (key & 1073741823) / 1073741824.0::DOUBLE AS turn
+  FROM keys),
 normal AS (
   SELECT row, (b * 4 + k)::INTEGER AS pos, sqrt(-2.0 * ln(u)) *
     CASE WHEN k % 2 = 0 THEN cos(2 * pi() * turn) ELSE sin(2 * pi() * turn) END AS z

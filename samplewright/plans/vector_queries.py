@@ -10,6 +10,7 @@ from ..functions import arrays as A
 from ..functions import images as I
 from ..operators import attention, classes, linalg, moments, scoring
 from ..operators.checks import prefix_split, shape_report
+from ..session import store
 from .feed_queries import _normal_sql
 from .registry import EMB, query, rounded, sql_hash, table
 
@@ -220,7 +221,9 @@ def embedding_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each row's class vector, the map divided by its dominant singular value (start: ones)."""
     vectors = _embeddings(spark, sf_dir)
     class_map = linalg.aligned_vector_mean(vectors, "label", "embedding").select("label", F.col("mean").alias("vec"))
-    rescaled = linalg.rescale_map(class_map.withColumn("u", F.lit(1.0)), "vec", "u").select("label", "vec")
+    # Rescaling reads the map several times; it has one row per class.
+    class_map = store(class_map.withColumn("u", F.lit(1.0)), "class-map")
+    rescaled = linalg.rescale_map(class_map, "vec", "u").select("label", "vec")
     return _tall(classes.lookup_class(vectors.select("vec_id", "label"), "label", rescaled), "vec", "label")
 
 

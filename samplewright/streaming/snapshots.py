@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.moments import _tile_schema, merge_moments, vector_moments
-from ..operators.quality import frechet_from_moments, score_from_parts, score_parts
+from ..operators.moments import tile_schema, merge_moments, vector_moments
+from ..operators.quality import add_parts, frechet_from_moments, score_from_parts, score_parts
 from .state import VersionedTable
 
 SIDE = "is_generated"
@@ -28,7 +28,7 @@ class SnapshotMetrics:
         self.expected, self.path = expected, path.rstrip("/")
         spark = samples.sparkSession
         key = samples.schema[snapshot]
-        moment_schema = _tile_schema(samples, [snapshot, SIDE])
+        moment_schema = tile_schema(samples, [snapshot, SIDE])
         part_schema = T.StructType([
             key, T.StructField("class_id", T.IntegerType()), T.StructField("n", T.LongType()),
             T.StructField("p", T.DoubleType()), T.StructField("p_log_p", T.DoubleType()),
@@ -55,10 +55,7 @@ class SnapshotMetrics:
         fresh = vector_moments(batch, self.features, [key, SIDE])
         moments = self.moments.write(merge_moments(open_moments.unionByName(fresh), [key, SIDE]), version)
         new_parts = score_parts(batch.filter(F.col(SIDE)), self.logits, [key])
-        summed = open_parts.unionByName(new_parts).groupBy(key, "class_id").agg(
-            F.sum("n").alias("n"), F.sum("p").alias("p"), F.sum("p_log_p").alias("p_log_p")
-        )
-        parts = self.parts.write(summed, version)
+        parts = self.parts.write(add_parts(open_parts.unionByName(new_parts), [key]), version)
 
         counts = moments.filter((F.col("ti") == 0) & (F.col("tj") == 0)).groupBy(key).agg(
             F.count_if(F.col("n") == self.expected).alias("_full"), F.max("n").alias("_most")
