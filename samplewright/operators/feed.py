@@ -32,6 +32,7 @@ def interleave_shards(df: DataFrame, shard: str, record: str, cycle_length: int,
     cycles = placed.groupBy("cycle").agg(
         F.array_sort(F.collect_list(F.struct("slot", "_length"))).alias("_lengths"), F.sum("_length").alias("_rows")
     )
+    # One window over one row per cycle, i.e. one per cycle_length files.
     earlier = Window.orderBy("cycle").rowsBetween(Window.unboundedPreceding, -1)
     cycles = cycles.select("cycle", "_lengths", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_start"))
     shards = placed.drop("_length").join(cycles, "cycle")
@@ -70,10 +71,13 @@ def shuffle_records(
     """
     repeated = repeat_epochs(df, epochs)
     keyed = repeated.withColumn("shuffle_key", hash_key(seed, F.col("epoch"), F.col(record)))
-    bucket = F.col("epoch").cast("bigint") * F.lit(1 << bits).cast("bigint") + hash_bucket(F.col("shuffle_key"), bits)
-    return bucketed_rank(
-        keyed.withColumn("_bucket", bucket), "_bucket", ["epoch", "shuffle_key", record], rank="rank", total=total
-    )
+    keyed = keyed.withColumn("_bucket", hash_bucket(F.col("shuffle_key"), bits))
+    ranked = bucketed_rank(keyed, "_bucket", ["shuffle_key", record], group=["epoch"], rank="_within", total="_rows")
+    # Every epoch holds every row once.
+    ranked = ranked.withColumn("rank", F.col("epoch") * F.col("_rows") + F.col("_within"))
+    if total is not None:
+        ranked = ranked.withColumn(total, F.col("_rows") * epochs)
+    return ranked.drop("_rows", "_within")
 
 
 def assign_batches(ranked: DataFrame, batch_size: int, drop_remainder: bool = False, total: str | None = None) -> DataFrame:

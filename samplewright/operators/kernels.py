@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DOUBLES = T.ArrayType(T.DoubleType())
+FLOATS = T.ArrayType(T.FloatType())
 INTS = T.ArrayType(T.IntegerType())
 
 
@@ -37,11 +38,13 @@ def vectors_to_matrix(column: pa.Array) -> np.ndarray:
     return flat.to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(rows, size)
 
 
-def matrix_to_vectors(matrix: np.ndarray) -> pa.Array:
+def matrix_to_vectors(matrix: np.ndarray, dtype: type = np.float64) -> pa.Array:
     """Rows of a matrix as an ARRAY column."""
     rows, size = matrix.shape
+    if rows * size > np.iinfo(np.int32).max:
+        raise ValueError("batch too large; lower spark.sql.execution.arrow.maxRecordsPerBatch")
     offsets = np.arange(rows + 1, dtype=np.int32) * np.int32(size)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(matrix, np.float64).ravel()))
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(matrix, dtype).ravel()))
 
 
 def group_rows(batch: pa.RecordBatch, n_keys: int) -> Iterator[tuple[tuple, np.ndarray | None]]:

@@ -85,7 +85,11 @@ def ordered_rank(
     as_double = df.select(F.col(order).cast("double").alias("_at"))
     cuts = as_double.approxQuantile("_at", [i / buckets for i in range(1, buckets)], 1 / (4 * buckets))
     splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
-    bucketizer = Bucketizer(splits=splits, inputCol="_at", outputCol="_bucket", handleInvalid="keep")
-    tagged = bucketizer.transform(df.withColumn("_at", F.col(order).cast("double"))).drop("_at")
-    tagged = tagged.withColumn("_bucket", F.col("_bucket").cast("int"))
+    tagged = df.withColumn("_at", F.col(order).cast("double"))
+    if len(splits) > 2:
+        bucketizer = Bucketizer(splits=splits, inputCol="_at", outputCol="_bucket", handleInvalid="keep")
+        tagged = bucketizer.transform(tagged).withColumn("_bucket", F.col("_bucket").cast("int"))
+    else:
+        tagged = tagged.withColumn("_bucket", F.lit(0))
+    tagged = tagged.drop("_at")
     return bucketed_rank(tagged, "_bucket", [order], group=group, rank=rank, total=total, per_group=per_group)

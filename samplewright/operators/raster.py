@@ -12,13 +12,14 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.arrays import doubles, to_uint8, whole_div
 from ..functions.images import explode_pixels
-from .kernels import DOUBLES, INTS, arrow_kernel, matrix_to_vectors, vectors_to_matrix
+from .kernels import DOUBLES, FLOATS, INTS, arrow_kernel, matrix_to_vectors, vectors_to_matrix
 
 
 def decode_bytes(data: Column, size: int) -> Column:
@@ -26,16 +27,40 @@ def decode_bytes(data: Column, size: int) -> Column:
 
     @arrow_kernel(INTS)
     def decode(blobs: pa.Array) -> pa.Array:
-        lengths = np.array([-1 if b is None else len(b) for b in blobs.to_pylist()])
-        if np.any(lengths != size):
-            raise ValueError(f"expected {size} bytes, found {sorted(set(lengths[lengths != size].tolist()))[:3]}")
-        values = np.frombuffer(b"".join(blobs.to_pylist()), dtype=np.uint8).astype(np.int32)
-        offsets = np.arange(0, len(values) + 1, size, dtype=np.int32) if len(blobs) else np.zeros(1, np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+        return matrix_to_vectors(_bytes_to_matrix(blobs, size), np.int32)
 
     return decode(data)
 
 
+def decode_image(data: Column, size: int) -> Column:
+    """BINARY of exactly ``size`` bytes to ARRAY<FLOAT> in [-1, 1].
+
+    Same values as ``scale_pixels(decode_bytes(...))`` to single precision, without the whole numbers
+    in between: a fraction of the time and half the memory.
+    """
+
+    @arrow_kernel(FLOATS)
+    def decode(blobs: pa.Array) -> pa.Array:
+        pixels = _bytes_to_matrix(blobs, size).astype(np.float32)
+        pixels *= np.float32(2.0 / 255)
+        pixels -= np.float32(1.0)
+        return matrix_to_vectors(pixels, np.float32)
+
+    return decode(data)
+
+
+def _bytes_to_matrix(blobs: pa.Array, size: int) -> np.ndarray:
+    lengths = pc.fill_null(pc.binary_length(blobs), -1).to_numpy(zero_copy_only=False)
+    if np.any(lengths != size):
+        raise ValueError(f"expected {size} bytes, found {sorted(set(lengths[lengths != size].tolist()))[:3]}")
+    if not len(blobs):
+        return np.empty((0, size), dtype=np.uint8)
+    _, offsets, data = blobs.buffers()
+    kind = np.int64 if pa.types.is_large_binary(blobs.type) else np.int32
+    start = int(np.frombuffer(offsets, dtype=kind)[blobs.offset])
+    return np.frombuffer(data, dtype=np.uint8, count=len(blobs) * size, offset=start).reshape(len(blobs), size)
+
+
 def resize_bilinear(image: Column, height: int, width: int, channels: int, out_height: int, out_width: int) -> Column:
     """Bilinear resize; source position = target position * in / out, neighbours clamped to the edge."""
     rows, cols = _axis(height, out_height), _axis(width, out_width)

@@ -29,10 +29,10 @@ def scale_pixels_to_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {EMB}
 SELECT vec_id, (label - 1)::INTEGER AS label, j::INTEGER AS pos,
-  round(floor((v + 1.0) * 127.5) * (2.0::DOUBLE / 255) - 1.0, 6) + 0.0 AS scaled
+  round((floor((v + 1.0) * 127.5)::FLOAT * (2.0::DOUBLE / 255)::FLOAT - 1::FLOAT)::DOUBLE, 6) + 0.0 AS scaled
 FROM emb""")
 def tfrecord_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every embedding written as an image record, and read back through the file format."""
+    """Every embedding written as an image record, and read back through the file format (single precision)."""
     register(spark)
     path = scratch_path(spark, "records")
     records = table(spark, sf_dir, "embeddings").select(
@@ -41,7 +41,7 @@ def tfrecord_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     records.write.format("tfrecord").mode("append").save(path)
     images = jobs.read_images(spark, path, image_bytes=64, label_offset=-1, extra="vec_id BIGINT NOT NULL")
     tall = images.select("vec_id", "label", F.posexplode("image").alias("pos", "v"))
-    return tall.select("vec_id", "label", "pos", rounded("v").alias("scaled"))
+    return tall.select("vec_id", "label", "pos", rounded(F.col("v").cast("double")).alias("scaled"))
 
 
 @query("""SELECT doc_id, source, (quality - 1)::INTEGER AS label

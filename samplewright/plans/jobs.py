@@ -7,12 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.arrays import label_with_offset, scale_pixels
+from ..functions.arrays import label_with_offset
 from ..functions.hashing import hash_word, normal_vector, uniform_int
 from ..operators.feed import assign_batches, shuffle_records, split_towers
 from ..operators.metriclog import metric_rows
 from ..operators.quality import classifier_score, frechet_distance
-from ..operators.raster import decode_bytes
+from ..operators.raster import decode_image
 from ..operators.scoring import generate_samples, score
 from ..sources import register
 
@@ -25,7 +25,7 @@ def read_images(
     schema = f"image_raw BINARY NOT NULL, label BIGINT NOT NULL{', ' + extra if extra else ''}"
     records = spark.read.format("tfrecord").schema(schema).options(imageBytes=str(image_bytes), **options).load(path)
     return records.withColumns({
-        "image": scale_pixels(decode_bytes(F.col("image_raw"), image_bytes)),
+        "image": decode_image(F.col("image_raw"), image_bytes),
         "label": label_with_offset(F.col("label"), label_offset),
     }).drop("image_raw")
 

@@ -55,6 +55,22 @@ def test_shuffle_does_not_depend_on_partitioning_or_buckets(spark):
     assert order(records(spark, 500, 1), 16) == order(records(spark, 500, 11), 4)
 
 
+def test_empty_and_missing_ids(spark):
+    assert feed.shuffle_records(spark.range(0), "id", seed=1).count() == 0
+    assert ordered_rank(spark.range(0), "id").count() == 0
+    df = spark.createDataFrame([(3,), (None,), (1,)], "id bigint")
+    assert sorted(r["rank"] for r in feed.shuffle_records(df, "id", seed=1).collect()) == [0, 1, 2]
+    assert sorted(r["rank"] for r in ordered_rank(df, "id").collect()) == [0, 1, 2]
+
+
+def test_rows_move_once(spark):
+    """One exchange carries the rows; the other three carry bucket counts."""
+    wide = spark.range(100).withColumn("payload", F.lit("x"))
+    plan = feed.shuffle_records(wide, "id", seed=1, epochs=2)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 4
+    assert "BroadcastExchange" not in plan and "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 def test_batches_cross_epochs_and_drop_the_remainder(spark):
     shuffled = feed.shuffle_records(records(spark, 10), "id", seed=1, epochs=2, total="n")
     got = feed.assign_batches(shuffled, 6, drop_remainder=True, total="n").collect()

@@ -145,3 +145,28 @@ def test_log_every(spark):
     assert sorted((r.step, r.name, r.value) for r in logged.collect()) == sorted(
         [(s, "a", float(s)) for s in (0, 200, 400, 600)] + [(s, "b", 1.0) for s in (0, 200, 400, 600)]
     )
+
+
+def test_empty_input(spark):
+    none = spark.createDataFrame([], "v array<double>, fake boolean, x double")
+    assert moments.vector_moments(none, "v").count() == 0
+    assert quality.frechet_distance(none, "v", "fake").count() == 0
+    assert quality.classifier_score(none, "v").first().classifier_score is None
+    assert losses.losses(none, "x", F.col("fake")).first().d_loss is None
+
+
+def test_nan_is_not_hidden(spark):
+    x = np.random.default_rng(6).normal(size=(20, 3))
+    x[7, 1] = np.nan
+    df = frame(spark, x, fake=[bool(i % 2) for i in range(20)])
+    assert quality.frechet_distance(df, "v", "fake").first().frechet_distance is None
+    assert np.isnan(quality.classifier_score(df, "v").first().classifier_score)
+
+
+@pytest.mark.parametrize("kind", ["null vector", "null inside"])
+def test_missing_values_are_an_error(spark, kind):
+    rows = [(1, [1.0, 2.0]), (2, None if kind == "null vector" else [None, 1.0])]
+    df = spark.createDataFrame(rows, "id int, v array<double>")
+    for run in (moments.vector_moments, quality.score_parts):
+        with pytest.raises(PySparkException, match=kind):
+            run(df, "v").collect()

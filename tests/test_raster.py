@@ -117,11 +117,20 @@ def test_generated_samples_do_not_depend_on_partitions(spark):
     assert samples(spark.range(60).repartition(1)) == samples(spark.range(60).repartition(7))
 
 
-def test_evaluation_job(spark):
-    real = table(spark, RNG.normal(size=(200, 6)))
+def test_evaluation_job_matches_numpy(spark):
+    x = RNG.normal(size=(200, 6))
+    real = table(spark, x)
     got = {r.name: r.value for r in jobs.evaluate(real, "id", "v", 6, make_classifier, make_generator, 6, 5).collect()}
-    assert set(got) == {"fid", "incscore"}
-    assert got["fid"] > 1 and 1 <= got["incscore"] <= 4
+    made = scoring.generate_samples(real, "id", make_generator, 6, 5, ["image"]).collect()
+    y = np.array([r.image for r in made])
+    a, b = x[:, :3] * 2, y[:, :3] * 2
+    roots = np.sqrt(np.clip(np.linalg.eigvals(np.cov(a.T) @ np.cov(b.T)).real, 0, None)).sum()
+    gap = a.mean(axis=0) - b.mean(axis=0)
+    assert np.isclose(got["fid"], gap @ gap + np.trace(np.cov(a.T)) + np.trace(np.cov(b.T)) - 2 * roots)
+    p = np.exp(y[:, :4])
+    p /= p.sum(axis=1, keepdims=True)
+    score = np.exp(np.mean(np.sum(p * (np.log(p) - np.log(p.mean(axis=0))), axis=1)))
+    assert np.isclose(got["incscore"], score)
 
 
 def test_shape_report_and_requirement(spark):
