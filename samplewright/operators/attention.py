@@ -37,49 +37,58 @@ def softmax_attend(
     meets every key block of its group, and the partial softmax sums of a query merge exactly.
     A query whose group has no keys gets null.
     """
-    q = queries.select(group, F.col(query_id).alias("_id"), doubles(F.col(query)).alias("_q"))
-    k = keys.select(group, F.col(key_id).alias("_id"), doubles(F.col(key)).alias("_k"), doubles(F.col(value)).alias("_v"))
-    q_sizes = q.groupBy(group).agg(F.count(F.lit(1)).alias("_nq"))
-    k_sizes = k.groupBy(group).agg(F.count(F.lit(1)).alias("_nk"))
-    largest = q_sizes.agg(F.max("_nq")).unionAll(k_sizes.agg(F.max("_nk"))).agg(F.max("max(_nq)")).first()[0] or 0
-    group_field = queries.schema[group]
+    # New column names on both sides: queries and keys may come from the same table.
+    q = queries.select(F.col(group).alias("_g"), F.col(query_id).alias("_id"), doubles(F.col(query)).alias("_q"))
+    k = keys.select(
+        F.col(group).alias("_g"), F.col(key_id).alias("_id"),
+        doubles(F.col(key)).alias("_k"), doubles(F.col(value)).alias("_v"),
+    )
+    q_sizes = q.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
+    k_sizes = k.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
+    largest = q_sizes.unionAll(k_sizes).agg(F.max("_n")).first()[0] or 0
+    group_field = T.StructField("_g", queries.schema[group].dataType)
     id_field = T.StructField("_id", queries.schema[query_id].dataType)
     partial_schema = T.StructType([
         group_field, T.StructField("_qb", T.IntegerType()), id_field,
         T.StructField("_max", T.DoubleType()), T.StructField("_sum", T.DoubleType()), T.StructField("_acc", DOUBLES),
     ])
     if largest <= block_rows:
-        q, k = q.withColumn("_qb", F.lit(0)), k.withColumn("_qb", F.lit(0))
-        parts = q.groupBy(group).cogroup(k.groupBy(group)).applyInArrow(_attend_block, partial_schema)
-        return parts.select(
-            group, F.col("_id").alias(query_id), F.transform("_acc", lambda x: x / F.col("_sum")).alias(output)
-        )
+        parts = q.withColumn("_qb", F.lit(0)).groupBy("_g").cogroup(k.groupBy("_g")).applyInArrow(_attend_block, partial_schema)
+        attended = F.transform("_acc", lambda x: x / F.col("_sum"))
+        return parts.select(F.col("_g").alias(group), F.col("_id").alias(query_id), attended.alias(output))
 
-    blocks = q_sizes.join(k_sizes, group, "left").select(
-        group,
+    blocks = q_sizes.withColumnRenamed("_n", "_nq").join(k_sizes.withColumnRenamed("_n", "_nk"), "_g", "left")
+    blocks = blocks.select(
+        "_g",
         F.ceil(F.col("_nq") / block_rows).cast("int").alias("_q_blocks"),
         F.coalesce(F.ceil(F.col("_nk") / block_rows), F.lit(1)).cast("int").alias("_k_blocks"),
     )
-    q = q.join(blocks, group).select(
-        group, "_id", "_q",
+    # A block pair is little data but much arithmetic, so the number of tasks must not follow from the bytes.
+    pairs = blocks.agg(F.sum(F.col("_q_blocks").cast("bigint") * F.col("_k_blocks"))).first()[0]
+    spark = queries.sparkSession
+    tasks = min(pairs, 8 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+    q = q.join(blocks, "_g").select(
+        "_g", "_id", "_q",
         F.pmod(F.xxhash64("_id"), F.col("_q_blocks")).cast("int").alias("_qb"),
         F.explode(F.sequence(F.lit(0), F.col("_k_blocks") - 1)).alias("_kb"),
     )
-    k = k.join(blocks, group).select(
-        group, "_k", "_v",
-        F.pmod(F.xxhash64("_id"), F.col("_k_blocks")).cast("int").alias("_kb"),
-        F.explode(F.sequence(F.lit(0), F.col("_q_blocks") - 1)).alias("_qb"),
+    k = k.join(blocks, "_g").select(
+        F.col("_g").alias("_kg"), "_k", "_v",
+        F.pmod(F.xxhash64("_id"), F.col("_k_blocks")).cast("int").alias("_with_kb"),
+        F.explode(F.sequence(F.lit(0), F.col("_q_blocks") - 1)).alias("_with_qb"),
     )
-    by = [group, "_qb", "_kb"]
-    parts = q.groupBy(*by).cogroup(k.groupBy(*by)).applyInArrow(_attend_block, partial_schema)
+    q = q.repartition(tasks, "_g", "_qb", "_kb")
+    k = k.repartition(tasks, "_kg", "_with_qb", "_with_kb")
+    met = q.groupBy("_g", "_qb", "_kb").cogroup(k.groupBy("_kg", "_with_qb", "_with_kb"))
+    parts = met.applyInArrow(_attend_block, partial_schema)
     out_schema = T.StructType([group_field, id_field, T.StructField(output, DOUBLES)])
-    merged = parts.groupBy(group, "_qb").applyInArrow(_merger(out_schema), out_schema)
-    return merged.withColumnRenamed("_id", query_id)
+    merged = parts.groupBy("_g", "_qb").applyInArrow(_merger(out_schema), out_schema)
+    return merged.withColumnsRenamed({"_g": group, "_id": query_id})
 
 
 def _attend_block(q: pa.Table, k: pa.Table) -> pa.Table:
     """Unnormalised attention of one query block over one key block, shifted by each row's maximum."""
-    group = q.column(0).combine_chunks()
+    group = q.column("_g").combine_chunks()
     ids = q.column("_id").combine_chunks()
     n = q.num_rows
     q_matrix = _matrix(q, "_q")
@@ -92,7 +101,7 @@ def _attend_block(q: pa.Table, k: pa.Table) -> pa.Table:
     else:
         top, total, acc = np.full(n, -np.inf), np.zeros(n), pa.nulls(n, pa.list_(pa.float64()))
     block = q.column("_qb").combine_chunks().cast(pa.int32())
-    names = [q.column_names[0], "_qb", "_id", "_max", "_sum", "_acc"]
+    names = ["_g", "_qb", "_id", "_max", "_sum", "_acc"]
     return pa.table([group, block, ids, pa.array(top), pa.array(total), acc], names=names)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,10 +10,10 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import label_with_offset
 from ..functions.hashing import hash_word, normal_vector, uniform_int
-from ..operators.feed import assign_batches, shuffle_records, split_towers
+from ..operators.feed import assign_batches, head_per_batch, shuffle_records, split_towers, take_batches
 from ..operators.metriclog import metric_rows
 from ..operators.quality import classifier_score, frechet_distance
-from ..operators.raster import decode_image
+from ..operators.raster import decode_image, montage_sheets, resize_bilinear
 from ..operators.scoring import generate_samples, score
 from ..sources import register
 
@@ -62,36 +63,61 @@ def write_feed(feed: DataFrame, path: str, steps_per_folder: int, files: int) ->
     ordered.write.partitionBy("step_range").parquet(path)
 
 
+def grid_size(n: int) -> tuple[int, int]:
+    """(height, width) of the most square grid of n tiles; see ``images.squarest_grid``."""
+    width = max(d for d in range(1, math.isqrt(n) + 1) if n % d == 0)
+    return n // width, width
+
+
+def contact_sheets(batched: DataFrame, image: str, height: int, width: int, channels: int, show: int) -> DataFrame:
+    """One sheet per batch with its first ``show`` images: (batch_id, height, width, canvas)."""
+    rows, cols = grid_size(show)
+    return montage_sheets(
+        head_per_batch(batched, show), image, "position", ["batch_id"], height, width, channels, rows, cols
+    )
+
+
+def draw_sample(records: DataFrame, record: str, batch_size: int, num_batches: int, seed: int = 0) -> DataFrame:
+    """``num_batches`` whole batches of shuffled records; too few records are an error."""
+    ranked = shuffle_records(records, record, seed)
+    return take_batches(ranked, batch_size, num_batches, records.select(record).count())
+
+
 def evaluate(
     real: DataFrame,
     row: str,
     image: str,
-    image_size: int,
+    shape: tuple[int, int, int],
     make_classifier: Callable[[], Callable],
     make_generator: Callable[[], Callable],
     z_dim: int,
     num_classes: int,
+    classifier_size: int | None = None,
     seed: int = 0,
     step: int = 0,
 ) -> DataFrame:
     """``fid`` and ``incscore`` as (step, name, value) rows.
 
-    The classifier returns ``pool`` and ``logits`` for an ``image``; the generator returns an ``image``
-    for noise and a class. As many samples are generated as there are real rows. Both sides stream
-    through the models into moments; no feature is kept.
+    The generator returns an ``image`` of ``shape`` (height, width, channels) for noise and a class; as
+    many are made as there are real rows. The classifier returns ``pool`` and ``logits`` for an image,
+    resized to ``classifier_size`` squared if given. Both sides stream through the models into moments;
+    no feature is kept.
     """
     generated = generate_samples(real, row, make_generator, z_dim, num_classes, ["image"], seed)
-    scored_real = score(real.select(F.col(image).alias("image")), make_classifier, {"image": image_size}, ["pool", "logits"])
-    scored_fake = score(generated.select("image"), make_classifier, {"image": image_size}, ["pool", "logits"])
+
+    def classify(images: DataFrame) -> DataFrame:
+        size = shape
+        if classifier_size is not None:
+            size = (classifier_size, classifier_size, shape[2])
+            images = images.select(resize_bilinear(F.col("image"), *shape, *size[:2]).alias("image"))
+        return score(images, make_classifier, {"image": math.prod(size)}, ["pool", "logits"])
+
+    scored_real = classify(real.select(F.col(image).alias("image")))
+    scored_fake = classify(generated.select("image"))
     sides = scored_real.select("pool", F.lit(False).alias("is_generated")).unionByName(
         scored_fake.select("pool", F.lit(True).alias("is_generated"))
     )
-    return metric_rows(
-        frechet_distance(sides, "pool", "is_generated")
-        .select(F.lit(step).cast("bigint").alias("step"), F.col("frechet_distance").alias("fid")),
-        "step", ["fid"],
-    ).unionByName(metric_rows(
-        classifier_score(scored_fake, "logits")
-        .select(F.lit(step).cast("bigint").alias("step"), F.col("classifier_score").alias("incscore")),
-        "step", ["incscore"],
-    ))
+    at = F.lit(step).cast("bigint").alias("step")
+    fid = frechet_distance(sides, "pool", "is_generated").select(at, F.col("frechet_distance").alias("fid"))
+    incscore = classifier_score(scored_fake, "logits").select(at, F.col("classifier_score").alias("incscore"))
+    return metric_rows(fid, "step", ["fid"]).unionByName(metric_rows(incscore, "step", ["incscore"]))

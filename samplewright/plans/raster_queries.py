@@ -7,8 +7,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import images as I
-from ..operators import raster
+from ..operators import feed, raster
 from ..operators.ranking import ordered_rank
+from . import jobs
+from .feed_queries import _shuffled_sql
 from .registry import EMB, query, rounded, table
 
 IMAGE = "image AS (SELECT vec_id, label, j // 8 AS y, j % 8 AS x, v FROM emb)"
@@ -122,13 +124,27 @@ FROM image JOIN ranked USING (vec_id) GROUP BY label, r // 16""")
 def montage_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same sheets filled by columns, as bytes; compared by a position-weighted sum."""
     sheets = raster.montage_sheets(_tiles(spark, sf_dir), "image", "tile", ["label", "sheet"], 8, 8, 1, 4, 4, order="column")
-    values = raster.decode_bytes(F.col("canvas"), 32 * 32)
-    tall = sheets.select("label", "sheet", "height", "width", F.posexplode(values).alias("at", "pixel"))
-    return tall.groupBy("label", "sheet", "height", "width").agg(
+    return _checksums(sheets, ["label", "sheet"], 32 * 32)
+
+
+def _checksums(sheets: DataFrame, keys: list[str], size: int) -> DataFrame:
+    pixels = raster.decode_bytes(F.col("canvas"), size)
+    tall = sheets.select(*keys, "height", "width", F.posexplode(pixels).alias("at", "pixel"))
+    return tall.groupBy(*keys, "height", "width").agg(
         F.sum(F.col("pixel").cast("bigint") * (F.col("at") + 1)).alias("checksum")
     )
 
 
+@query(f"""WITH {EMB}, {IMAGE}, {_shuffled_sql("embeddings", "vec_id", 17, 1)}
+SELECT rank // 50 AS batch_id, 32::INTEGER AS height, 24::INTEGER AS width,
+  sum(floor((v + 1) * 127.5)::BIGINT * ((rank % 50 // 3 * 8 + y) * 24 + rank % 50 % 3 * 8 + x + 1))::BIGINT AS checksum
+FROM image JOIN shuffled USING (vec_id) WHERE rank % 50 < 12 GROUP BY rank // 50""")
+def contact_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A 4 x 3 sheet of the first 12 images of every shuffled batch of 50."""
+    batched = feed.assign_batches(feed.shuffle_records(_images(spark, sf_dir), "vec_id", seed=17), 50)
+    return _checksums(jobs.contact_sheets(batched, "image", 8, 8, 1, show=12), ["batch_id"], 32 * 24)
+
+
 @query("""WITH n AS (SELECT p_size, count(*) AS n FROM part GROUP BY p_size),
 d AS (SELECT p_size, n, unnest(range(1, sqrt(n)::BIGINT + 2)) AS d FROM n)
 SELECT p_size, n, n // max(d) AS height, max(d) AS width FROM d WHERE d * d <= n AND n % d = 0 GROUP BY p_size, n""")

@@ -11,6 +11,7 @@ from ..functions import images as I
 from ..operators import attention, classes, linalg, moments, scoring
 from ..operators.checks import prefix_split, shape_report
 from ..session import store
+from . import jobs
 from .feed_queries import _normal_sql
 from .registry import EMB, query, rounded, sql_hash, table
 
@@ -327,3 +328,19 @@ def name_split(spark: SparkSession, sf_dir: str) -> DataFrame:
   0::BIGINT AS incomplete, min(len(embedding)) = 64 AND max(len(embedding)) = 64 AS ok FROM embeddings GROUP BY label""")
 def shape_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shape_report(_embeddings(spark, sf_dir), "embedding", 64, keys=["label"])
+
+
+@query()
+def evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole evaluation job on all embeddings as 8 x 8 images; tests repeat it in NumPy."""
+    weights = np.array([[((j * 7 + k * 3) % 11 - 5) / 10.0 for k in range(4)] for j in range(144)])
+
+    def make_classifier():
+        return lambda image: {"pool": np.tanh(image @ weights[:, :3]), "logits": image @ weights}
+
+    def make_generator():
+        return lambda z, class_id: {"image": np.tanh(z / 8.0 + class_id[:, None] / 100.0)}
+
+    real = _embeddings(spark, sf_dir)
+    made = jobs.evaluate(real, "vec_id", "embedding", (8, 8, 1), make_classifier, make_generator, 64, 10, classifier_size=12)
+    return made.withColumn("value", rounded("value"))

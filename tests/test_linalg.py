@@ -156,6 +156,14 @@ def test_attention_with_a_hot_group(spark, block_rows):
         assert np.allclose(got[i], vector)
 
 
+@pytest.mark.parametrize("block_rows", [1000, 9])
+def test_attention_of_a_table_to_itself(spark, block_rows):
+    x = RNG.normal(size=(40, 4))
+    rows = spark.createDataFrame([("g", i, v.tolist()) for i, v in enumerate(x)], "g string, id int, x array<double>")
+    made = attention.softmax_attend(rows, rows, "g", "id", "id", "x", "x", "x", block_rows=block_rows)
+    assert np.allclose(matrix_of(made, "id", "attended"), _attend(x, x, x))
+
+
 @pytest.mark.parametrize("shape", [(4, 4, 3), (5, 6, 2)])
 def test_self_attention(spark, shape):
     h, w, c = shape

@@ -117,20 +117,36 @@ def test_generated_samples_do_not_depend_on_partitions(spark):
     assert samples(spark.range(60).repartition(1)) == samples(spark.range(60).repartition(7))
 
 
-def test_evaluation_job_matches_numpy(spark):
-    x = RNG.normal(size=(200, 6))
+@pytest.mark.parametrize("classifier_size", [None, 3])
+def test_evaluation_job_matches_numpy(spark, classifier_size):
+    x = RNG.normal(size=(200, 2, 3, 1))
     real = table(spark, x)
-    got = {r.name: r.value for r in jobs.evaluate(real, "id", "v", 6, make_classifier, make_generator, 6, 5).collect()}
     made = scoring.generate_samples(real, "id", make_generator, 6, 5, ["image"]).collect()
-    y = np.array([r.image for r in made])
+    y = np.array([r.image for r in made]).reshape(-1, 2, 3, 1)
+    job = jobs.evaluate(real, "id", "v", (2, 3, 1), make_classifier, make_generator, 6, 5, classifier_size)
+    got = {r.name: r.value for r in job.collect()}
+    if classifier_size:
+        x, y = (np.array([_bilinear(i, 3, 3) for i in images]) for images in (x, y))
+    x, y = x.reshape(200, -1), y.reshape(200, -1)
     a, b = x[:, :3] * 2, y[:, :3] * 2
     roots = np.sqrt(np.clip(np.linalg.eigvals(np.cov(a.T) @ np.cov(b.T)).real, 0, None)).sum()
     gap = a.mean(axis=0) - b.mean(axis=0)
     assert np.isclose(got["fid"], gap @ gap + np.trace(np.cov(a.T)) + np.trace(np.cov(b.T)) - 2 * roots)
     p = np.exp(y[:, :4])
     p /= p.sum(axis=1, keepdims=True)
-    score = np.exp(np.mean(np.sum(p * (np.log(p) - np.log(p.mean(axis=0))), axis=1)))
-    assert np.isclose(got["incscore"], score)
+    assert np.isclose(got["incscore"], np.exp(np.mean(np.sum(p * (np.log(p) - np.log(p.mean(axis=0))), axis=1))))
+
+
+def test_sample_draw_is_exact(spark):
+    drawn = jobs.draw_sample(spark.range(105), "id", 10, 10, seed=2)
+    assert drawn.count() == 100 and drawn.select("id").distinct().count() == 100
+    with pytest.raises(ValueError, match="only 105 rows"):
+        jobs.draw_sample(spark.range(105), "id", 10, 11)
+
+
+@pytest.mark.parametrize("n, grid", [(64, (8, 8)), (12, (4, 3)), (7, (7, 1)), (1, (1, 1))])
+def test_grid_size(n, grid):
+    assert jobs.grid_size(n) == grid
 
 
 def test_shape_report_and_requirement(spark):
