@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ..functions.arrays import doubles
+from ..functions.arrays import doubles, required
 from .kernels import DOUBLES, arrow_kernel, matrix_to_vectors, vectors_to_matrix
 
 # A task holds one block of queries, one of keys and their block_rows^2 scores (32 MB).
@@ -32,15 +32,16 @@ def softmax_attend(
 ) -> DataFrame:
     """sum_k softmax_k(q . k) v_k over the keys of the query's group: (group, query_id, output).
 
-    ``query_id`` and ``key_id`` are unique within a group. Scores are raw dot products. Queries and keys meet as blocks, and no (query, key) pair ever
-    becomes a row. Groups larger than a block are cut into blocks on both sides; every query block
-    meets every key block of its group, and the partial softmax sums of a query merge exactly.
-    A query whose group has no keys gets null.
+    ``query_id`` and ``key_id`` are unique within a group. Scores are raw dot products. Queries and keys
+    meet as blocks, and no (query, key) pair ever becomes a row. Groups larger than a block are cut into
+    blocks on both sides; every query block meets every key block of its group, and the partial softmax
+    sums of a query merge exactly. A query whose group has no keys gets null; a null group is an error.
     """
     # New column names on both sides: queries and keys may come from the same table.
-    q = queries.select(F.col(group).alias("_g"), F.col(query_id).alias("_id"), doubles(F.col(query)).alias("_q"))
+    in_group = required(F.col(group), group).alias("_g")
+    q = queries.select(in_group, F.col(query_id).alias("_id"), doubles(F.col(query)).alias("_q"))
     k = keys.select(
-        F.col(group).alias("_g"), F.col(key_id).alias("_id"),
+        in_group, F.col(key_id).alias("_id"),
         doubles(F.col(key)).alias("_k"), doubles(F.col(value)).alias("_v"),
     )
     q_sizes = q.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))

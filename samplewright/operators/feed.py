@@ -10,7 +10,7 @@ from pyspark.sql import Window
 
 from ..functions.arrays import whole_div
 from ..functions.hashing import hash_key
-from .ranking import DEFAULT_BITS, bucketed_rank, hash_bucket, hash_rank, ordered_rank
+from .ranking import DEFAULT_BITS, bucketed_rank, hash_bucket, ordered_rank
 
 
 def interleave_shards(df: DataFrame, shard: str, record: str, cycle_length: int, seed: int = 0) -> DataFrame:
@@ -20,22 +20,24 @@ def interleave_shards(df: DataFrame, shard: str, record: str, cycle_length: int,
     within the shard) and ``seq``, the position in the interleaved order (cycle, pos, slot). ``seq``
     follows from the shard lengths alone, so the rows are never sorted by it.
     """
+    # One row per file from here to `shards`, so plain windows will do.
     lengths = df.groupBy(shard).agg(F.count(F.lit(1)).alias("_length"))
     keyed = lengths.withColumn("_key", hash_key(seed, F.col(shard).cast("string")))
-    placed = hash_rank(keyed, "_key", [shard], rank="_shard_rank").select(
+    place = F.row_number().over(Window.orderBy("_key", shard)) - 1
+    placed = keyed.withColumn("_place", place).select(
         shard,
         "_length",
-        whole_div(F.col("_shard_rank"), cycle_length).alias("cycle"),
-        (F.col("_shard_rank") % cycle_length).cast("int").alias("slot"),
+        whole_div(F.col("_place"), cycle_length).alias("cycle"),
+        (F.col("_place") % cycle_length).cast("int").alias("slot"),
     )
-    # One array of at most cycle_length lengths per cycle.
-    cycles = placed.groupBy("cycle").agg(
-        F.array_sort(F.collect_list(F.struct("slot", "_length"))).alias("_lengths"), F.sum("_length").alias("_rows")
+    earlier_cycles = Window.orderBy("cycle").rangeBetween(Window.unboundedPreceding, -1)
+    shards = placed.select(
+        shard,
+        "cycle",
+        "slot",
+        F.coalesce(F.sum("_length").over(earlier_cycles), F.lit(0)).alias("_start"),
+        F.collect_list(F.struct("slot", "_length")).over(Window.partitionBy("cycle")).alias("_lengths"),
     )
-    # One window over one row per cycle, i.e. one per cycle_length files.
-    earlier = Window.orderBy("cycle").rowsBetween(Window.unboundedPreceding, -1)
-    cycles = cycles.select("cycle", "_lengths", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_start"))
-    shards = placed.drop("_length").join(cycles, "cycle")
 
     ranked = ordered_rank(df, record, group=[shard], rank="pos", per_group=shards)
     # Records already out before round `pos`, and in this round from earlier slots.

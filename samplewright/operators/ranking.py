@@ -61,13 +61,6 @@ def bucketed_rank(
     return ranked.withColumn(rank, (F.col("_offset") + F.col("_inside")).cast("bigint")).drop("_offset", "_inside", bucket)
 
 
-def hash_rank(
-    df: DataFrame, key: str, tie: Sequence[str], rank: str = "rank", total: str | None = None, bits: int = DEFAULT_BITS
-) -> DataFrame:
-    """Position in the order of (key, tie), where ``key`` is a 60-bit hash key."""
-    return bucketed_rank(df.withColumn("_bucket", hash_bucket(F.col(key), bits)), "_bucket", [key, *tie], rank=rank, total=total)
-
-
 def ordered_rank(
     df: DataFrame,
     order: str,

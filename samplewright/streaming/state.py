@@ -1,7 +1,7 @@
 """Small state tables written once per micro-batch.
 
 Version n holds the state after micro-batch n. A micro-batch that runs again after a failure reads
-version n-1 and overwrites version n, so its input counts once.
+version n-1 and overwrites version n, so its input counts once. Older versions are removed.
 """
 
 from __future__ import annotations
@@ -24,4 +24,10 @@ class VersionedTable:
 
     def write(self, state: DataFrame, version: int) -> DataFrame:
         state.write.mode("overwrite").parquet(self._at(version))
+        if version >= 2:
+            self._remove(self._at(version - 2))
         return self.read(version)
+
+    def _remove(self, folder: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

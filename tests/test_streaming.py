@@ -4,7 +4,6 @@ import os
 
 import numpy as np
 import pytest
-from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from samplewright.operators import moments, quality
