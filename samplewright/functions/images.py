@@ -1,21 +1,11 @@
-"""Pooling, upsampling and layout of flat (y, x, channel) image arrays.
-
-The output array is built position by position from the input array of the same row, so none of
-these needs a shuffle.
-"""
+"""Layout of flat (y, x, channel) image arrays, and grid sizes."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import doubles, let, map_with, whole_div
-
-
-def _positions(n: int) -> Column:
-    return F.sequence(F.lit(0), F.lit(n - 1))
+from .arrays import let, whole_div
 
 
 def _div(a: Column, n: int) -> Column:
@@ -42,55 +32,6 @@ def collect_pixels(df: DataFrame, keys: list[str], width: int, channels: int, im
     return cells.select(*keys, F.transform("_cells", lambda cell: cell["v"]).alias(image))
 
 
-def _pool_2x2(image: Column, height: int, width: int, channels: int, merge: Callable[..., Column]) -> Column:
-    out_h, out_w = height // 2, width // 2
-
-    def cell(j: Column, img: Column) -> Column:
-        y = _div(j, out_w * channels)
-        x = _div(j, channels) % out_w
-        base = ((y * 2) * width + x * 2) * channels + j % channels
-        below = base + width * channels
-        return merge(*[F.get(img, p) for p in (base, base + channels, below, below + channels)])
-
-    return map_with(_positions(out_h * out_w * channels), doubles(image), cell)
-
-
-def avg_pool_2x2(image: Column, height: int, width: int, channels: int = 1) -> Column:
-    """Mean of 2x2 blocks; an odd last row or column is left out."""
-    return _pool_2x2(image, height, width, channels, lambda a, b, c, d: (a + b + c + d) / 4.0)
-
-
-def max_pool_2x2(image: Column, height: int, width: int, channels: int = 1) -> Column:
-    """Largest value of 2x2 blocks; an odd last row or column is left out."""
-    return _pool_2x2(image, height, width, channels, F.greatest)
-
-
-def upsample_nearest(image: Column, height: int, width: int, channels: int = 1, factor: int = 2) -> Column:
-    """Repeats each pixel in a factor x factor block; factor 1 returns the input."""
-    if factor == 1:
-        return doubles(image)
-    out_w = width * factor
-
-    def cell(j: Column, img: Column) -> Column:
-        y = _div(j, out_w * channels * factor)
-        x = _div(_div(j, channels) % out_w, factor)
-        return F.get(img, (y * width + x) * channels + j % channels)
-
-    return map_with(_positions(height * factor * out_w * channels), doubles(image), cell)
-
-
-def spatial_sum(image: Column, channels: int, each: Callable[[Column], Column] = lambda v: v) -> Column:
-    """Per channel, the sum of ``each(value)`` over all positions."""
-
-    def add_up(img: Column) -> Column:
-        places = F.sequence(F.lit(0), _div(F.size(img), channels) - 1)
-        pixels = map_with(places, img, lambda p, whole: F.slice(whole, p * channels + 1, channels))
-        zeros = F.array_repeat(F.lit(0.0), channels)
-        return F.aggregate(pixels, zeros, lambda acc, pixel: F.zip_with(acc, pixel, lambda a, v: a + each(v)))
-
-    return let(doubles(image), add_up)
-
-
 def squarest_grid(n: Column) -> Column:
     """(height, width) of the most square grid of n tiles: width = largest divisor up to the root."""
     roots = F.sequence(F.lit(1).cast("bigint"), F.floor(F.sqrt(n.cast("double"))).cast("bigint"))

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.arrays import doubles, required
-from .kernels import DOUBLES, arrow_kernel, matrix_to_vectors, vectors_to_matrix
+from .kernels import DOUBLES, image_kernel, matrix_to_vectors, vectors_to_matrix
 
 # A task holds one block of queries, one of keys and their block_rows^2 scores (32 MB).
 BLOCK_ROWS = 2048
@@ -177,18 +177,15 @@ def self_attention(
     """
     shape = (height, width, channels)
 
-    @arrow_kernel(DOUBLES)
-    def attend(images: pa.Array) -> pa.Array:
-        flat = vectors_to_matrix(images)
-        x = flat.reshape(len(images), height * width, channels)
-        if not len(x):
-            return matrix_to_vectors(np.empty((0, height * width * channels)))
+    @image_kernel
+    def attend(flat: np.ndarray) -> np.ndarray:
+        x = flat.reshape(-1, height * width, channels)
         keys = _max_pool(x @ phi, shape)
         values = _max_pool(x @ g, shape)
         scores = (x @ theta) @ keys.transpose(0, 2, 1)
         weights = np.exp(scores - scores.max(axis=2, keepdims=True))
         weights /= weights.sum(axis=2, keepdims=True)
-        return matrix_to_vectors((x + sigma * (weights @ values @ out)).reshape(len(x), -1))
+        return x + sigma * (weights @ values @ out)
 
     return attend(doubles(image))
 

@@ -12,9 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import dot, doubles, let, relu, vector_literal, whole_div
-from ..functions.images import spatial_sum
+from ..functions.arrays import dot, doubles, vector_literal, whole_div
 from .moments import channel_moments, moments_as_arrays
+from .raster import spatial_sum
 
 EPSILON = 1e-5
 
@@ -100,6 +100,7 @@ def projection_score(
 ) -> DataFrame:
     """w . h + b + h . e[class], where h sums relu(image) over positions per channel."""
     joined = lookup_class(df, class_id, class_map)
-    pooled = spatial_sum(F.col(image), len(weights), relu)
-    score = let(pooled, lambda h: dot(h, vector_literal(weights)) + F.lit(float(bias)) + dot(h, F.col(class_vector)))
-    return joined.withColumn(output, score).drop(class_vector)
+    pooled = joined.withColumn("_h", spatial_sum(F.col(image), len(weights), positive=True))
+    h = F.col("_h")
+    score = dot(h, vector_literal(weights)) + F.lit(float(bias)) + dot(h, F.col(class_vector))
+    return pooled.withColumn(output, score).drop("_h", class_vector)

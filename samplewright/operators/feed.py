@@ -10,7 +10,7 @@ from pyspark.sql import Window
 
 from ..functions.arrays import whole_div
 from ..functions.hashing import hash_key
-from .ranking import DEFAULT_BITS, bucketed_rank, hash_bucket, ordered_rank
+from .ranking import bucket_bits, bucketed_rank, hash_bucket, ordered_rank
 
 
 def interleave_shards(df: DataFrame, shard: str, record: str, cycle_length: int, seed: int = 0) -> DataFrame:
@@ -64,7 +64,7 @@ def shuffle_records(
     seed: int,
     epochs: int = 1,
     total: str | None = None,
-    bits: int = DEFAULT_BITS,
+    bits: int | None = None,
 ) -> DataFrame:
     """Full shuffle, drawn anew for each epoch; ``rank`` runs on across epochs.
 
@@ -73,7 +73,7 @@ def shuffle_records(
     """
     repeated = repeat_epochs(df, epochs)
     keyed = repeated.withColumn("shuffle_key", hash_key(seed, F.col("epoch"), F.col(record)))
-    keyed = keyed.withColumn("_bucket", hash_bucket(F.col("shuffle_key"), bits))
+    keyed = keyed.withColumn("_bucket", hash_bucket(F.col("shuffle_key"), bits or bucket_bits(df)))
     ranked = bucketed_rank(keyed, "_bucket", ["shuffle_key", record], group=["epoch"], rank="_within", total="_rows")
     # Every epoch holds every row once.
     ranked = ranked.withColumn("rank", F.col("epoch") * F.col("_rows") + F.col("_within"))

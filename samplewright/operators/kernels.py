@@ -24,6 +24,30 @@ def arrow_kernel(return_type: T.DataType) -> Callable:
     return lambda function: F.arrow_udf(function, return_type).asNondeterministic()
 
 
+# Images are worked on in slices of this many values, whatever the size of the Arrow batch.
+SLICE_VALUES = 4 << 20
+
+
+def image_kernel(function: Callable[[np.ndarray], np.ndarray]):
+    """Column function from a function of flat images (rows of a matrix) to one result per image.
+
+    Results come back in slices, so a batch of large images never has all of its results, or all of
+    the intermediate arrays, in memory at once.
+    """
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for images in batches:
+            values = max(1, len(images.flatten()) // max(1, len(images)))
+            step = max(1, SLICE_VALUES // values)
+            for start in range(0, len(images), step):
+                out = function(vectors_to_matrix(images.slice(start, step)))
+                yield matrix_to_vectors(out.reshape(len(out), -1))
+
+    # Spark tells an iterator function from these names.
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return arrow_kernel(DOUBLES)(run)
+
+
 def vectors_to_matrix(column: pa.Array) -> np.ndarray:
     """ARRAY column of equally long, complete vectors as a float64 matrix."""
     if column.null_count:

@@ -17,11 +17,25 @@ from pyspark.sql import functions as F
 from ..functions.arrays import required
 from ..functions.hashing import KEY_BITS
 
-# 2**16 buckets: 15 million rows each at 10**12 rows, an offset table of about 1 MB.
-DEFAULT_BITS = 16
+# Wanted size of a bucket, and the limits of their number: 2**20 buckets of 100 MB make 100 TB, and
+# their offsets a table of some 16 MB.
+BUCKET_BYTES = 16 << 20
+FEWEST_BITS, MOST_BITS = 8, 20
+MOST_CUTS = 1 << 14
 
 
-def hash_bucket(key: Column, bits: int = DEFAULT_BITS) -> Column:
+def estimated_bytes(df: DataFrame) -> int:
+    """Spark's own size estimate of a plan, without running it."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def bucket_bits(df: DataFrame) -> int:
+    """Bits of a hash that make buckets of a comfortable size. Only speed depends on the estimate."""
+    wanted = estimated_bytes(df) // BUCKET_BYTES
+    return min(max(wanted.bit_length(), FEWEST_BITS), MOST_BITS)
+
+
+def hash_bucket(key: Column, bits: int) -> Column:
     """Leading bits of a 60-bit hash key; buckets follow the order of the key."""
     return F.shiftright(key, KEY_BITS - bits)
 
@@ -67,7 +81,7 @@ def ordered_rank(
     group: Sequence[str] = (),
     rank: str = "rank",
     total: str | None = None,
-    buckets: int = 1024,
+    buckets: int | None = None,
     per_group: DataFrame | None = None,
 ) -> DataFrame:
     """Position in the order of a numeric column that is unique within its group.
@@ -75,6 +89,8 @@ def ordered_rank(
     Bucket limits are approximate quantiles of the column, found in one pass over that column. They
     only steer how evenly the work is cut; the ranks are exact.
     """
+    if buckets is None:
+        buckets = min(2 << bucket_bits(df), MOST_CUTS)
     as_double = df.select(F.col(order).cast("double").alias("_at"))
     cuts = as_double.approxQuantile("_at", [i / buckets for i in range(1, buckets)], 1 / (4 * buckets))
     splits = [float("-inf"), *sorted(set(cuts)), float("inf")]

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.images import spatial_sum as channel_sums
 from ..operators import losses as L
 from ..operators import metriclog, moments, quality
+from ..operators.raster import spatial_sum as channel_sums
 from .registry import EMB, query, rounded, table
 
 LOSS_NAMES = ["d_loss_real", "d_loss_fake", "d_loss", "g_loss", "logit_real", "logit_fake"]

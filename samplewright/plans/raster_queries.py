@@ -34,7 +34,7 @@ def raster_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {EMB} SELECT vec_id, (j % 4)::INTEGER AS channel, round(sum(v), 6) + 0.0 AS total FROM emb GROUP BY ALL""")
 def spatial_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sums = _images(spark, sf_dir).select("vec_id", F.posexplode(I.spatial_sum(F.col("image"), 4)).alias("channel", "total"))
+    sums = _images(spark, sf_dir).select("vec_id", F.posexplode(raster.spatial_sum(F.col("image"), 4)).alias("channel", "total"))
     return sums.withColumn("total", rounded("total"))
 
 
@@ -46,18 +46,18 @@ FROM image GROUP BY vec_id, y // 2, x // 2"""
 
 @query(_pool_sql("avg"))
 def avg_pool_2x2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pixels(_images(spark, sf_dir), I.avg_pool_2x2(F.col("image"), 8, 8), 4)
+    return _pixels(_images(spark, sf_dir), raster.avg_pool_2x2(F.col("image"), 8, 8), 4)
 
 
 @query(_pool_sql("max"))
 def max_pool_2x2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pixels(_images(spark, sf_dir), I.max_pool_2x2(F.col("image"), 8, 8), 4)
+    return _pixels(_images(spark, sf_dir), raster.max_pool_2x2(F.col("image"), 8, 8), 4)
 
 
 @query(f"""WITH {EMB}, {IMAGE}, o AS (SELECT unnest(range(2)) AS o)
 SELECT vec_id, (y * 2 + a.o)::INTEGER AS y, (x * 2 + b.o)::INTEGER AS x, round(v, 6) + 0.0 AS v FROM image, o a, o b""")
 def upsample_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pixels(_images(spark, sf_dir), I.upsample_nearest(F.col("image"), 8, 8), 16)
+    return _pixels(_images(spark, sf_dir), raster.upsample_nearest(F.col("image"), 8, 8), 16)
 
 
 @query(f"""WITH {EMB}, {IMAGE},

@@ -7,8 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
-from ..functions import images as I
-from ..operators import attention, classes, linalg, moments, scoring
+from ..operators import attention, classes, linalg, moments, raster, scoring
 from ..operators.checks import prefix_split, shape_report
 from ..session import store
 from . import jobs
@@ -234,7 +233,7 @@ SELECT vec_id, round(0.1 + sum(h * (e + CASE c WHEN 0 THEN 0.5 WHEN 1 THEN -0.25
 FROM h JOIN map USING (label, c) GROUP BY vec_id""")
 def projection_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _embeddings(spark, sf_dir)
-    sums = vectors.select("label", I.spatial_sum(F.col("embedding"), CHANNELS).alias("s"))
+    sums = vectors.select("label", raster.spatial_sum(F.col("embedding"), CHANNELS).alias("s"))
     per_class = linalg.aligned_vector_mean(sums, "label", "s")
     class_map = per_class.select("label", F.transform("mean", lambda x: x / (64 / CHANNELS)).alias("vec"))
     scored = classes.projection_score(vectors, "embedding", "label", class_map, "vec", [0.5, -0.25, 0.125, 1.0], 0.1)
