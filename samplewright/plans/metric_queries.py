@@ -156,7 +156,7 @@ def frechet_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def frechet_distance_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """On all 64 dimensions; SQL has no matrix root, so tests compare with NumPy."""
+    """On all 64 dimensions; SQL has no matrix root, so tests compare the operator with NumPy."""
     made = quality.frechet_distance(_sides(spark, sf_dir), "embedding", "is_generated")
     return made.withColumn("frechet_distance", rounded("frechet_distance"))
 

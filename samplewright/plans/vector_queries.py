@@ -331,7 +331,7 @@ def shape_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole evaluation job on all embeddings as 8 x 8 images; tests repeat it in NumPy."""
+    """The whole evaluation job on all embeddings as 8 x 8 images; tests compare the job with NumPy."""
     weights = np.array([[((j * 7 + k * 3) % 11 - 5) / 10.0 for k in range(4)] for j in range(144)])
 
     def make_classifier():
