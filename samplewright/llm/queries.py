@@ -136,12 +136,12 @@ b AS (
 n AS (SELECT DISTINCT least(10, len(w)) AS n FROM b WHERE len(w) > 0),
 bw AS (SELECT DISTINCT item, least(10, len(w)) AS n, unnest(list_transform(range(1, len(w) - least(10, len(w)) + 2), lambda i: array_to_string(w[i:i + least(10, len(w)) - 1], ' '))) AS win
        FROM b WHERE len(w) > 0),
-dw AS (SELECT doc_id, n.n, unnest(range(1, len(w) - n.n + 2)) AS at,
+dw AS (SELECT doc_id, n.n, unnest(range(1, len(w) - n.n + 2)) AS p0,
               unnest(list_transform(range(1, len(w) - n.n + 2), lambda i: array_to_string(w[i:i + n.n - 1], ' '))) AS win
        FROM d, n WHERE len(w) >= n.n),
-h AS (SELECT doc_id, at, dw.n, item FROM dw JOIN bw USING (n, win)),
+h AS (SELECT doc_id, p0, dw.n, item FROM dw JOIN bw USING (n, win)),
 p AS (SELECT doc_id, count(DISTINCT pos) AS n_hit
-      FROM (SELECT doc_id, unnest(range(at, at + n)) AS pos FROM (SELECT DISTINCT doc_id, at, n FROM h)) GROUP BY doc_id),
+      FROM (SELECT doc_id, unnest(range(p0, p0 + n)) AS pos FROM (SELECT DISTINCT doc_id, p0, n FROM h)) GROUP BY doc_id),
 m AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS names FROM h GROUP BY doc_id)
 SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated

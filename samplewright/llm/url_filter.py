@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,18 +52,20 @@ def url_path(url: Column) -> Column:
 
 def ngram_buckets(host: Column, path: Column, sizes: Sequence[int], buckets: int) -> Column:
     """Distinct hash buckets of the character n-grams of the host and of the path, which hash apart."""
+    def grams(mark: str, chars: Column, n: int) -> Callable[[Column], Column]:
+        def bucket(i: Column) -> Column:
+            gram = F.concat(*[F.element_at(chars, i + j) for j in range(n)])
+            return F.pmod(F.xxhash64(F.lit(mark), gram), F.lit(buckets).cast("long")).cast("int")
+
+        return bucket
+
     parts = []
     for mark, value in (("h", F.concat(F.lit("^"), host, F.lit("$"))), ("p", path)):
         chars = F.split(value, "")
         for n in sizes:
             steps = F.sequence(F.lit(1), F.greatest(F.length(value) - n + 1, F.lit(0)), F.lit(1))
             starts = F.when(F.length(value) >= n, steps).otherwise(F.array().cast("array<int>"))
-
-            def bucket(i: Column, chars: Column = chars, n: int = n, mark: str = mark) -> Column:
-                gram = F.concat(*[F.element_at(chars, i + j) for j in range(n)])
-                return F.pmod(F.xxhash64(F.lit(mark), gram), F.lit(buckets).cast("long")).cast("int")
-
-            parts.append(F.transform(starts, bucket))
+            parts.append(F.transform(starts, grams(mark, chars, n)))
     return F.array_distinct(F.concat(*parts))
 
 
@@ -73,7 +75,7 @@ def train(
     label_col: str = "label",
     sizes: Sequence[int] = (3, 4),
     buckets: int = 4096,
-    steps: int = 300,
+    steps: int = 150,
     rate: float = 2.0,
     decay: float = 0.002,
     max_rows: int = 2000,
@@ -98,20 +100,25 @@ def train(
     one = rows.agg(F.array_sort(F.collect_list(F.struct("url", "y", "f"))).alias("t"))
     scale = lambda r: 1.0 / F.sqrt(F.greatest(F.size(r["f"]), F.lit(1)))
     alike = lambda a, b: F.size(F.array_intersect(a["f"], b["f"])) * scale(a) * scale(b) + 1.0
-    gram = one.select("t", F.transform("t", lambda a: F.transform("t", lambda b: alike(a, b))).alias("k"))
-
-    count = F.size("t")
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
 
-    def step(alpha: Column, _: Column) -> Column:
-        def moved(a: Column, i: Column) -> Column:
-            p = 1.0 / (1.0 + F.exp(-dot(F.col("k")[i], alpha)))
-            return a * (1 - rate * decay) - (p - F.col("t")[i]["y"]) * F.lit(rate) / count
+    def descend(k: Column, y: Column) -> Column:
+        def step(alpha: Column, _: Column) -> Column:
+            def moved(a: Column, i: Column) -> Column:
+                p = 1.0 / (1.0 + F.exp(-dot(F.get(k, i), alpha)))
+                return a * (1 - rate * decay) - (p - F.get(y, i)) * F.lit(rate) / F.size(y)
+
+            return F.transform(alpha, moved)
 
-        return F.transform(alpha, moved)
+        zero = F.transform(y, lambda _: F.lit(0.0))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), zero, step)
 
-    zero = F.transform("t", lambda _: F.lit(0.0))
-    fitted = gram.select("t", F.aggregate(F.sequence(F.lit(1), F.lit(steps)), zero, step).alias("alpha"))
+    # Arrays of one element bind their value to a lambda variable: named as columns, the table and its
+    # products would be worked out again in every step.
+    products = lambda t: F.transform(t, lambda a: F.transform(t, lambda b: alike(a, b)))
+    labels = lambda t: F.transform(t, lambda a: a["y"])
+    coefficients = lambda t: F.get(F.transform(F.array(products(t)), lambda k: F.get(F.transform(F.array(labels(t)), lambda y: descend(k, y)), F.lit(0))), F.lit(0))
+    fitted = one.select(F.inline(F.transform(F.array("t"), lambda t: F.struct(t.alias("t"), coefficients(t).alias("alpha")))))
     each = fitted.select(F.explode(F.arrays_zip("t", "alpha")).alias("r")).select("r.t.f", "r.alpha")
     each = each.select("alpha", (F.col("alpha") / F.sqrt(F.greatest(F.size("f"), F.lit(1)))).alias("part"), "f")
     found = each.select(F.explode("f").alias("bucket"), "part").groupBy("bucket").agg(F.sum("part").alias("w"))
