@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.registry import table
-from . import exact_dedup, line_dedup, mixing, url_filter, winnowing
+from . import exact_dedup, line_dedup, mixing, order_minhash, url_filter, winnowing
 
 Build = Callable[[SparkSession, str], DataFrame]
 
@@ -102,6 +102,13 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(pages, "page_id", "url", RULES)
 
 
+@query()
+def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = order_minhash.near_duplicates(docs, "doc_id", "text")
+    return found.select("doc_id", "class_id", "group_size", "kept")
+
+
 @query(r"""
 WITH l AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
