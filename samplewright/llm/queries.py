@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.registry import table
-from . import exact_dedup, line_dedup, mixing, order_minhash, url_filter, winnowing
+from . import exact_dedup, language, line_dedup, mixing, order_minhash, url_filter, winnowing
 
 Build = Callable[[SparkSession, str], DataFrame]
 
@@ -166,3 +166,18 @@ def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+def held_out(divisor: int):
+    """Whether a document is held out of training: crc32 of its id as text, modulo the divisor, is 2."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % divisor == 2, F.lit(False))
+
+
+@query()
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.fit(docs.where(~held_out(4)), "text", "lang")
+    found = language.identify(docs.select("doc_id", "text"), "text", model, keep=["doc_id"])
+    return found.select("row.doc_id", "lang_pred", "score", "rejected").select(
+        "doc_id", held_out(4).alias("held_out"), "lang_pred", "score", "rejected"
+    )
