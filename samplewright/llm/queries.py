@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.registry import table
-from . import exact_dedup, language, line_dedup, mixing, order_minhash, url_filter, winnowing
+from . import exact_dedup, html_tree, language, line_dedup, mixing, order_minhash, url_filter, winnowing
 
 Build = Callable[[SparkSession, str], DataFrame]
 
@@ -181,3 +181,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "lang_pred", "score", "rejected").select(
         "doc_id", held_out(4).alias("held_out"), "lang_pred", "score", "rejected"
     )
+
+
+@query()
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    found = html_tree.extract_text(pages, "page_id", "url", "html")
+    return found.withColumn("n_chars", F.length("text").cast("long"))
