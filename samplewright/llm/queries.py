@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.registry import table
-from . import exact_dedup, html_tree, language, line_dedup, mixing, order_minhash, url_filter, winnowing
+from . import backoff_lm, exact_dedup, html_tree, language, line_dedup, mixing, order_minhash, url_filter, winnowing
 
 Build = Callable[[SparkSession, str], DataFrame]
 
@@ -188,3 +188,11 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     found = html_tree.extract_text(pages, "page_id", "url", "html")
     return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query()
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = backoff_lm.fit(docs.where(~held_out(7)), "text")
+    found = backoff_lm.score(docs, "doc_id", "text", model)
+    return found.select("doc_id", held_out(7).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
