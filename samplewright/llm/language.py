@@ -134,7 +134,8 @@ def fit(
     from a sample of at most ``fit_rows`` rows of it, those with the smallest hashes of their text, so that
     repeated texts and the order of rows don't matter. The floor below which a text is rejected is ``slack``
     times the smallest cosine that a sampled text of the same language and length class has to its nearest
-    centroid, 0 where there is none. Raises ValueError if nothing can be learned.
+    centroid, 0 where there is none. If there is nothing to learn from,
+    the model knows no language and rejects every text.
     """
     ship(training.sparkSession)
     rows = training.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
@@ -154,7 +155,7 @@ def fit(
     found = picked.dropDuplicates(["lang", "text_h"]).select("lang", "text").mapInArrow(_sampled_vectors, "lang string, counts binary").collect()
     languages = sorted({r.lang for r in found})
     if not languages:
-        raise ValueError("no labelled text with letters to learn from")
+        return Centroids(idf, np.zeros((0, DIM), np.float32), np.zeros(0, int), [], np.zeros((0, len(LENGTH_CLASSES) + 1)))
     rng = np.random.default_rng(7)
     all_rows, language_of = [], []
     floors = np.zeros((len(languages), len(LENGTH_CLASSES) + 1))
@@ -185,7 +186,7 @@ def _predict(shared, schema: T.StructType):
             for start in range(0, n, _ROWS):
                 vectors = [_vector(t or "") for t in texts.slice(start, _ROWS).to_pylist()]
                 known = [i for i, v in enumerate(vectors) if v is not None]
-                if known:
+                if known and model.languages:
                     at = start + np.array(known)
                     language[at], score[at], rejected[at] = model.predict(np.stack([vectors[i] for i in known]))
             columns = [batch.column(0), pa.array(names[language], pa.string()), pa.array(score), pa.array(rejected)]
@@ -199,7 +200,7 @@ def identify(docs: DataFrame, text_col: str, model: Centroids, keep: Sequence[st
 
     The language is that of the nearest of all centroids by cosine over the whole text, score that cosine.
     Texts without letters, null and empty ones too, are 'und' with score 0 and rejected. Others always get a
-    learned language; ``rejected`` says that the text is farther from all centroids than the floor of its
+    learned language, if there is one; ``rejected`` says that the text is farther from all centroids than the floor of its
     language and length class. Columns may have any names.
     """
     ship(docs.sparkSession)

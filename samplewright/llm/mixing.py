@@ -71,7 +71,7 @@ def mix_sources(
     quality: Column | None = None,
     seed: int = 1,
 ) -> DataFrame:
-    """How often each document goes into the mix: (id, size, source, source_size, target, copies, taken).
+    """How often each document goes into the mix: (id, text_key, size, source, source_size, target, copies, taken).
 
     Each source gets a target (``source_targets``). Complete epochs of a source come first; the rest of its
     target is filled by sampling without replacement with probability in proportion to quality: a
@@ -83,12 +83,13 @@ def mix_sources(
     before, so that no window holds a source: the number of buckets follows the source's rows.
 
     Null and empty texts have size 0. A source of size 0 has target 0. Null is a source like others, the
-    last. Repeated rows are rows of their own. Other columns are ignored. An empty table gives none.
+    last. Repeated rows are rows of their own; text_key is a hash of the text. Other columns are ignored. An empty table gives none.
     """
     weight = text_quality(F.col(text_col)) if quality is None else quality
     base = docs.select(
         F.col(id_col).alias("id"),
         F.col(source_col).alias("source"),
+        F.xxhash64(text_col).alias("text_key"),
         word_count(F.col(text_col)).alias("size"),
         F.greatest(weight, F.lit(1e-6)).alias("quality"),
     )
@@ -122,5 +123,5 @@ def mix_sources(
     middle = F.col("offset") + F.col("upto") - F.col("size") / 2
     copies = F.col("epochs") + F.when((F.col("rest") > 0) & (middle <= F.col("rest")), 1).otherwise(0)
     return summed.select(
-        F.col("id").alias(id_col), "size", "source", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken")
+        F.col("id").alias(id_col), "text_key", "size", "source", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken")
     )

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.registry import table
-from . import backoff_lm, exact_dedup, html_tree, language, line_dedup, mixing, order_minhash, url_filter, winnowing
+from . import backoff_lm, exact_dedup, html_tree, language, line_dedup, mixing, order_minhash, token_files, url_filter, winnowing
 
 Build = Callable[[SparkSession, str], DataFrame]
 
@@ -196,3 +196,20 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = backoff_lm.fit(docs.where(~held_out(7)), "text")
     found = backoff_lm.score(docs, "doc_id", "text", model)
     return found.select("doc_id", held_out(7).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+#: The id that ends a document.
+END_ID = 2
+
+
+def tokenizer_file() -> str:
+    """Where the public tokenizer of the contract lies."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query()
+def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_files.encode_and_read(docs, "doc_id", "text", tokenizer_file(), END_ID)

@@ -125,11 +125,12 @@ def decontaminate(
     k: int = 5,
     filter_bits: int = 1 << 23,
 ) -> DataFrame:
-    """Words of documents that lie in benchmark windows: (id, n_words, n_hit, n_items, item_ids).
+    """Words of documents that lie in benchmark windows: (id, text_key, n_words, n_hit, n_items, item_ids).
 
     A window is ``span`` consecutive words of an item, or all words of an item that has fewer, but some.
     A document's word is hit if it lies in any occurrence of a window. item_ids holds the items with windows
-    in the document as strings in code-point order. Null texts, and null ids of items, have no words and
+    in the document as strings in code-point order; text_key, a hash of the text, tells rows with equal ids
+    apart. Null texts, and null ids of items, have no words and
     no part. Rows with equal id and text are reported alike; other columns are ignored; an empty table on
     either side gives no hits.
 
@@ -163,6 +164,7 @@ def decontaminate(
     none = F.array().cast("array<string>")
     return counted.join(report, same, "left").select(
         F.col("id").alias(id_col),
+        "text_key",
         "n_words",
         F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
         F.coalesce(F.size("item_ids"), F.lit(0)).cast("long").alias("n_items"),
