@@ -55,6 +55,7 @@ class Node:
     names: tuple[str, ...] = ()
     hidden: bool = False
     parts: list[str] = field(default_factory=list)
+    size: int = 0
     linked: int = 0
     text: str = ""
     label: str | None = None
@@ -123,12 +124,21 @@ def parse(page: str) -> list[Node]:
         if tag in RAW:
             close = re.compile(rf"</{tag}\b", re.I).search(page, at)
             at = close.start() if close else end
-    for node in nodes:
+    for i in range(len(nodes) - 1, -1, -1):  # children come after their parents
+        node = nodes[i]
         if node.tag == "#":
             node.text = _SPACE.sub(" ", html.unescape("".join(node.parts))).strip()
+            node.size = len(node.text)
+            node.linked = min(node.linked, node.size)
+        if i:
+            nodes[node.parent].size += node.size
+            nodes[node.parent].linked += node.linked
     return nodes
 
 
+LISTS = frozenset("ul ol dl table".split())
+
+
 def kind_of(node: Node) -> str:
     """Which table of parent and child states a node falls under."""
     return "text" if node.tag == "#" else "group" if node.tag in GROUPS else "block"
@@ -140,10 +150,11 @@ def features(node: Node) -> Iterator[str]:
         yield f"tag {node.tag}"
         for name in node.names:
             yield f"name {name}"
+        if node.tag in LISTS and node.size:
+            yield f"list links {4 * node.linked // node.size}"
         return
-    n = len(node.text)
-    yield f"links {min(4, 4 * node.linked // max(1, n))}"
-    yield f"stop {node.text[-1:] in '.!?…' and n > 0}"
+    yield f"links {4 * node.linked // max(1, node.size)}"
+    yield f"stop {node.size > 0 and node.text[-1] in '.!?…'}"
 
 
 @dataclass
@@ -211,6 +222,7 @@ def fit(pages: list[str], smoothing: float = 0.2) -> TreeModel:
     pairs: Counter = Counter()
     seen: Counter = Counter()
     totals: Counter = Counter()
+    kind_seen: dict[str, str] = {}
     for page in pages:
         nodes = parse(page)
         states: list[int] = []
@@ -225,9 +237,12 @@ def fit(pages: list[str], smoothing: float = 0.2) -> TreeModel:
                 state_counts[state] += 1
             if node.hidden:
                 continue
-            totals[kind == "text", state] += 1
+            totals[kind, state] += 1
             for name in features(node):
                 seen[name, state] += 1
+                kind_seen[name] = "list" if name.startswith("list ") else kind
+            if node.tag in LISTS:
+                totals["list", state] += 1
     child = {}
     for kind in ("text", "group", "block"):
         rows = []
@@ -237,8 +252,8 @@ def fit(pages: list[str], smoothing: float = 0.2) -> TreeModel:
         child[kind] = tuple(rows)
     table = {}
     for name in {n for n, _ in seen}:
-        in_text = not name.startswith(("tag ", "name "))
-        chance = [(seen[name, s] + smoothing) / (totals[in_text, s] + 2 * smoothing) for s in (0, 1)]
+        # How often it is seen at a node of its kind in either state.
+        chance = [(seen[name, s] + smoothing) / (totals[kind_seen[name], s] + 2 * smoothing) for s in (0, 1)]
         table[name] = (math.log(chance[0]), math.log(chance[1]))
     first = [state_counts[s] + smoothing for s in (0, 1)]
     return TreeModel(tuple(math.log(c / sum(first)) for c in first), child, table)

@@ -61,8 +61,8 @@ def _body(n: int) -> str:
         f"<ul><li>{_prose(n + 1)}</li><li>{_prose(n + 4)[:25]}</li></ul>",
         f"<blockquote><p>{_prose(n + 6)}</p></blockquote>",
         f"<h2>{_prose(n + 2)[:28]}</h2><p>{_prose(n + 7)}</p>",
-        f"<pre>{_prose(n)}</pre>",
-        f"<figure><figcaption>{_prose(n + 3)}</figcaption></figure>",
+        f"<pre>{_prose(n)}</pre><ol><li>{_prose(n)}</li><li>{_prose(n + 4)}</li><li>{_prose(n + 1)[:15]}</li></ol>",
+        f"<figure><figcaption>{_prose(n + 3)}</figcaption></figure><ul><li>{_prose(n + 5)[:20]}<li>{_prose(n + 6)}</ul>",
         f"<table><tr><td>{_prose(n)[:12]}</td><td>{n}</td></tr></table>",
         f"<ol><li>{_prose(n + 2)}</li></ol><h3>{_prose(n)[:20]}</h3><p><a href='/x'>{_prose(n + 1)[:30]}</a> {_prose(n + 5)}</p>",
         f"<section><h2>{_prose(n)[:22]}</h2><p>{_prose(n + 1)}</p></section><div><p>{_prose(n + 2)}</p></div>",
@@ -76,13 +76,15 @@ def _marked(part: str) -> str:
     return part[:end] + ' data-label="other"' + part[end:]
 
 
-def labelled_pages(count: int = 120) -> list[str]:
+def labelled_pages(count: int = 160) -> list[str]:
     """Pages that go through the ways to mark an article and the parts around it and inside it."""
     pages = []
     for n in range(count):
         name = NAMES_OF_CONTENT[n % len(NAMES_OF_CONTENT)]
         part = lambda k, n=n: OTHER[(n * 5 + k * 7) % len(OTHER)]
         body = _body(n)
+        if n % 9 == 4:  # very little text
+            body = f"<p>{_prose(n)[:-1]}</p>"
         if n % 4 == 1:  # something else inside the article
             body += _marked(part(11)) + f"<p>{_prose(n + 3)}</p>"
         if n % 11 == 7:  # no element around the article
@@ -96,7 +98,9 @@ def labelled_pages(count: int = 120) -> list[str]:
             f'<div class="{name}" data-label="content">{body}</div>',
             f'<main data-label="content">{body}</main>',
             f'<div id="{name}" data-label="content"><div>{body}</div></div>',
-        )[n % 6]
+            f'<article data-label="content">{body}</article>',
+            f'<section><article data-label="content">{body}</article></section>',
+        )[n % 8]
         around = [part(k) for k in range(2 + n % 4)]
         half = (n % 3) + 1
         inner = "".join(around[:half]) + article + "".join(around[half:])
