@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..session import store
 from ..shipping import ship
+from .arrow import pieces
 from .text import SPACES
 
 #: The filters travel in this many pieces.
@@ -39,27 +40,39 @@ def _cells(keys: list[bytes], cells: int) -> np.ndarray:
     return (np.frombuffer(b"".join(keys), "<u8").reshape(-1, 2) % np.uint64(cells)).astype(np.int64)
 
 
+def _set(bits: np.ndarray, cells: np.ndarray) -> None:
+    """Sets bits of a packed array; cells are sorted and distinct."""
+    byte, first = np.unique(cells >> 3, return_index=True)
+    bits[byte] |= np.bitwise_or.reduceat((128 >> (cells & 7)).astype(np.uint8), first)
+
+
+def _is_set(bits: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    return (bits[cells >> 3] >> (7 - (cells & 7)) & 1).astype(bool)
+
+
 def _fill(cells: int, min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice = np.zeros(cells, bool), np.zeros(cells, bool)
+        once, twice = np.zeros(cells // 8, np.uint8), np.zeros(cells // 8, np.uint8)
         for batch in batches:
-            keys = [k for text in batch.column(0).to_pylist() for k in _keys(text, min_chars)]
-            if not keys:
-                continue
-            for column in _cells(keys, cells).T:
-                at, n = np.unique(column, return_counts=True)
-                twice[at] |= once[at] | (n > 1)
-                once[at] = True
+            for piece in pieces(batch, 0):
+                keys = [k for text in piece.column(0).to_pylist() for k in _keys(text, min_chars)]
+                if not keys:
+                    continue
+                for column in _cells(keys, cells).T:
+                    at, n = np.unique(column, return_counts=True)
+                    again = at[_is_set(once, at) | (n > 1)]
+                    if len(again):
+                        _set(twice, again)
+                    _set(once, at)
         if once.any():
             parts = zip(np.split(once, _SEGMENTS), np.split(twice, _SEGMENTS), strict=True)
-            rows = [(i, _pack(a), _pack(b)) for i, (a, b) in enumerate(parts) if a.any()]
-            yield _segments(rows)
+            yield _segments([(i, _pack(a), _pack(b)) for i, (a, b) in enumerate(parts) if a.any()])
 
     return run
 
 
 def _pack(bits: np.ndarray) -> bytes:
-    return zlib.compress(np.packbits(bits).tobytes(), 1)
+    return zlib.compress(bits.tobytes(), 1)
 
 
 def _unpack(data: bytes) -> np.ndarray:
@@ -85,7 +98,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 a, b = a | a0, b | b0 | (a & a0)
             sums[segment] = (a, b)
     if sums:
-        yield _segments([(k, zlib.compress(a.tobytes(), 1), zlib.compress(b.tobytes(), 1)) for k, (a, b) in sums.items()])
+        yield _segments([(k, _pack(a), _pack(b)) for k, (a, b) in sums.items()])
 
 
 def seen_twice(docs: DataFrame, text_col: str, min_chars: int, cells: int) -> np.ndarray:
@@ -104,15 +117,15 @@ def _suspect(twice, cells: int, min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = twice.value
         for batch in batches:
-            out: list[list[bytes]] = []
-            for text in batch.column(1).to_pylist():
-                keys = _keys(text, min_chars)
-                if keys:
-                    at = _cells(keys, cells)
-                    hit = ((bits[at >> 3] >> (7 - (at & 7))) & 1).all(axis=1)
-                    keys = [k for k, h in zip(keys, hit, strict=True) if h]
-                out.append(keys)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.binary()))], ["id", "keys"])
+            for piece in pieces(batch, 1):
+                out: list[list[bytes]] = []
+                for text in piece.column(1).to_pylist():
+                    keys = _keys(text, min_chars)
+                    if keys:
+                        hit = _is_set(bits, _cells(keys, cells)).all(axis=1)
+                        keys = [k for k, h in zip(keys, hit, strict=True) if h]
+                    out.append(keys)
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(out, pa.list_(pa.binary()))], ["id", "keys"])
 
     return run
 
@@ -120,18 +133,19 @@ def _suspect(twice, cells: int, min_chars: int):
 def _rewrite(min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, n_lines, n_dropped = [], [], []
-            for text, drop in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                lines = (text or "").split("\n")
-                gone = set(drop or ())
-                stay = [x for x in lines if line_key(x, min_chars) not in gone] if gone else lines
-                texts.append("\n".join(stay))
-                n_lines.append(len(lines))
-                n_dropped.append(len(lines) - len(stay))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(texts, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())],
-                ["id", "text", "n_lines", "n_dropped"],
-            )
+            for piece in pieces(batch, 1):
+                texts, n_lines, n_dropped = [], [], []
+                for text, drop in zip(piece.column(1).to_pylist(), piece.column(2).to_pylist(), strict=True):
+                    lines = (text or "").split("\n")
+                    gone = set(drop or ())
+                    stay = [x for x in lines if line_key(x, min_chars) not in gone] if gone else lines
+                    texts.append("\n".join(stay))
+                    n_lines.append(len(lines))
+                    n_dropped.append(len(lines) - len(stay))
+                yield pa.RecordBatch.from_arrays(
+                    [piece.column(0), pa.array(texts, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())],
+                    ["id", "text", "n_lines", "n_dropped"],
+                )
 
     return run
 
@@ -163,11 +177,11 @@ def line_dedup(
     lines = store(suspects.select("id", F.explode("keys").alias("key")), "lines")
 
     counted = lines.groupBy("key").agg(F.count("*").alias("n"), F.max("id").alias("keep"))
-    repeated = counted.where(F.col("n") >= min_docs).select("key", "keep")
+    # Written out, so that both sides of the join are plain tables and a very common line can be split among tasks.
+    repeated = store(counted.where(F.col("n") >= min_docs).select("key", "keep"), "repeated")
+    lost = lines.join(repeated, "key").where(~F.col("id").eqNullSafe(F.col("keep"))).select("id", "key")
     drops = (
-        lines.join(repeated, "key")
-        .where(~F.col("id").eqNullSafe(F.col("keep")))
-        .groupBy("id")
+        lost.groupBy("id")
         .agg(F.collect_set("key").alias("drop"))
         .withColumnRenamed("id", "drop_id")
     )
