@@ -67,8 +67,16 @@ def vector_sum(vector: Column) -> Column:
     return F.aggregate(vector, F.lit(0.0), lambda acc, x: acc + x)
 
 
+def same_size(a: Column, b: Column) -> Column:
+    """``a``, provided that it is as long as ``b``; another length is an error, a null stays null."""
+    sizes = F.concat(F.size(a).cast("string"), F.lit(" against "), F.size(b).cast("string"))
+    fault = F.raise_error(F.concat(F.lit("vectors of different lengths: "), sizes)).cast("array<double>")
+    return F.when(a.isNull() | b.isNull() | (F.size(a) == F.size(b)), a).otherwise(fault)
+
+
 def dot(a: Column, b: Column) -> Column:
-    return vector_sum(F.zip_with(doubles(a), doubles(b), lambda x, y: x * y))
+    """Inner product; vectors of different lengths are an error."""
+    return vector_sum(F.zip_with(same_size(doubles(a), b), doubles(b), lambda x, y: x * y))
 
 
 def l2_norm(vector: Column) -> Column:
@@ -108,9 +116,9 @@ def single_entry(position: Column, value: Column, size: int) -> Column:
 
 
 def add_scaled(x: Column, y: Column, scale: float | Column = 1.0) -> Column:
-    """x + scale * y, element by element (residual add, bias add)."""
+    """x + scale * y, element by element (residual add, bias add); different lengths are an error."""
     factor = scale if isinstance(scale, Column) else F.lit(float(scale))
-    return F.zip_with(doubles(x), doubles(y), lambda a, b: a + factor * b)
+    return F.zip_with(same_size(doubles(x), y), doubles(y), lambda a, b: a + factor * b)
 
 
 # --- pixels -------------------------------------------------------------------------------------
@@ -124,8 +132,13 @@ def bytes_to_ints(data: Column) -> Column:
 
 
 def ints_to_bytes(pixels: Column) -> Column:
-    """ARRAY<INT> in 0..255 to BINARY."""
-    return F.unhex(F.array_join(F.transform(pixels, lambda p: F.lpad(F.hex(p), 2, "0")), ""))
+    """ARRAY<INT> in 0..255 to BINARY; other values are an error."""
+
+    def digits(p: Column) -> Column:
+        fault = F.raise_error(F.concat(F.lit("not a byte: "), F.coalesce(p.cast("string"), F.lit("null"))))
+        return F.when(p.between(0, 255), F.lpad(F.hex(p), 2, "0")).otherwise(fault.cast("string"))
+
+    return F.unhex(F.array_join(F.transform(pixels, digits), ""))
 
 
 def scale_pixels(pixels: Column) -> Column:
@@ -133,13 +146,23 @@ def scale_pixels(pixels: Column) -> Column:
     return F.transform(doubles(pixels), lambda v: v * (2.0 / 255) - 1.0)
 
 
-def to_uint8(image: Column, rounding: str = "truncate") -> Column:
-    """[-1, 1] to 0..255. The default cuts off the fraction; 'nearest' undoes :func:`scale_pixels`."""
-    if rounding == "truncate":
-        return F.transform(doubles(image), lambda v: F.floor((v + 1.0) * 127.5).cast("int"))
-    if rounding == "nearest":
-        return F.transform(doubles(image), lambda v: F.floor((v + 1.0) * 127.5 + 0.5).cast("int"))
-    raise ValueError(f"unknown rounding {rounding!r}")
+def to_uint8(image: Column, rounding: str = "truncate", saturate: bool = False) -> Column:
+    """[-1, 1] to 0..255. The default cuts off the fraction; 'nearest' undoes :func:`scale_pixels`.
+
+    A value outside the range is an error, or goes to the nearest limit with ``saturate``.
+    """
+    if rounding not in ("truncate", "nearest"):
+        raise ValueError(f"unknown rounding {rounding!r}")
+    half = 0.5 if rounding == "nearest" else 0.0
+
+    def pixel(v: Column) -> Column:
+        level = F.floor((v + 1.0) * 127.5 + half)
+        if saturate:
+            return F.greatest(F.lit(0), F.least(F.lit(255), level)).cast("int")
+        fault = F.raise_error(F.concat(F.lit("value off [-1, 1]: "), v.cast("string"))).cast("int")
+        return F.when(level.isNull() | level.between(0, 255), level.cast("int")).otherwise(fault)
+
+    return F.transform(doubles(image), pixel)
 
 
 def to_unit_range(image: Column) -> Column:

@@ -56,7 +56,7 @@ def normal_vector(seed: int, row: Column, size: int) -> Column:
     The two halves of a digest give a 60-bit key each, a key two 30-bit words, and two words a Box-Muller
     pair: four values per digest.
     """
-    digests = F.transform(F.sequence(F.lit(0), F.lit((size + 3) // 4 - 1)), lambda b: digest(seed, row, b))
+    digests = F.transform(F.sequence(F.lit(0), F.lit((size + 3) // 4 - 1)), lambda b: digest(seed, "noise", row, b))
     keys = F.flatten(F.transform(digests, lambda d: F.array(_key_at(d, 1), _key_at(d, 17))))
     pairs = F.transform(keys, _polar)
     values = F.transform(pairs, lambda p: F.array(p["r"] * F.cos(p["angle"]), p["r"] * F.sin(p["angle"])))

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import dot, doubles, vector_literal, whole_div
+from ..functions.arrays import dot, doubles, same_size, vector_literal, whole_div
 from .moments import channel_moments, moments_as_arrays
 from .raster import spatial_sum
 
@@ -45,7 +45,7 @@ def _normalize(
         lambda f, m: F.struct(f["scale"].alias("scale"), (f["beta"] - m * f["scale"]).alias("shift")),
     )
     tiled = F.flatten(F.array_repeat(factors, whole_div(F.size(image), channels).cast("int")))
-    return F.zip_with(doubles(image), tiled, lambda x, f: x * f["scale"] + f["shift"])
+    return F.zip_with(same_size(doubles(image), tiled), tiled, lambda x, f: x * f["scale"] + f["shift"])
 
 
 def conditional_normalize(

@@ -22,7 +22,7 @@ def interleave_shards(df: DataFrame, shard: str, record: str, cycle_length: int,
     """
     # One row per file from here to `shards`, so plain windows will do.
     lengths = df.groupBy(shard).agg(F.count(F.lit(1)).alias("_length"))
-    keyed = lengths.withColumn("_key", hash_key(seed, F.col(shard).cast("string")))
+    keyed = lengths.withColumn("_key", hash_key(seed, "shards", F.col(shard).cast("string")))
     place = F.row_number().over(Window.orderBy("_key", shard)) - 1
     placed = keyed.withColumn("_place", place).select(
         shard,
@@ -72,7 +72,7 @@ def shuffle_records(
     table and gives the same order on every run.
     """
     repeated = repeat_epochs(df, epochs)
-    keyed = repeated.withColumn("shuffle_key", hash_key(seed, F.col("epoch"), F.col(record)))
+    keyed = repeated.withColumn("shuffle_key", hash_key(seed, "shuffle", F.col("epoch"), F.col(record)))
     keyed = keyed.withColumn("_bucket", hash_bucket(F.col("shuffle_key"), bits or bucket_bits(df)))
     ranked = bucketed_rank(keyed, "_bucket", ["shuffle_key", record], group=["epoch"], rank="_within", total="_rows")
     # Every epoch holds every row once.

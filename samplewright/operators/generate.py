@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from ..functions.arrays import single_entry
+from ..functions.arrays import required, single_entry
 from ..functions.hashing import WORD, hash_word, normal_vector, uniform_int
 from .ranking import ordered_rank
 
@@ -26,12 +26,16 @@ def with_weighted_class(
 ) -> DataFrame:
     """Class drawn with probability proportional to ``weights(class_id, weight)``, weights >= 0.
 
+    Null row ids, negative or null weights, and weights that add up to nothing are errors. Rows are never lost.
+
     [0, 1) is cut into cells and each class interval listed under the cells it touches, so a draw
     finds its class by an equality join on the cell, not by comparing with every class. Cells are hit
     evenly because draws are uniform. The class table is a parameter of the draw and goes through one
     window.
     """
     by_class = Window.orderBy("class_id")
+    fault = F.raise_error(F.concat(F.lit("weight below 0 or missing: "), F.col("class_id").cast("string"))).cast("double")
+    weights = weights.withColumn("weight", F.when(F.col("weight") >= 0, F.col("weight").cast("double")).otherwise(fault))
     upto = F.sum("weight").over(by_class.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     everything = F.sum("weight").over(by_class.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     bounds = weights.withColumn("_hi", upto / everything)
@@ -41,10 +45,13 @@ def with_weighted_class(
         "_cell",
         F.explode(F.sequence(F.floor(F.col("_lo") * cells), F.least(F.floor(F.col("_hi") * cells), F.lit(cells - 1)))),
     )
-    u = hash_word(seed, "class", F.col(row)) / F.lit(float(WORD))
+    u = hash_word(seed, "class", required(F.col(row), row)) / F.lit(float(WORD))
     drawn = df.withColumn("_u", u).withColumn("_cell", F.floor(F.col("_u") * cells))
-    hit = (F.col("_lo") <= F.col("_u")) & (F.col("_u") < F.col("_hi"))
-    return drawn.join(intervals, "_cell").filter(hit).drop("_cell", "_u", "_lo", "_hi")
+    inside = (F.col("_lo") <= F.col("_u")) & (F.col("_u") < F.col("_hi"))
+    intervals = intervals.withColumnRenamed("_cell", "_of")
+    hit = drawn.join(intervals, (F.col("_cell") == F.col("_of")) & inside, "left")
+    found = F.coalesce(F.col(column), F.raise_error(F.lit("no class has a weight above 0")).cast(bounds.schema[column].dataType))
+    return hit.withColumn(column, found).drop("_cell", "_of", "_u", "_lo", "_hi")
 
 
 def latent_traversal(df: DataFrame, row: str, z_dim: int, dims: int) -> DataFrame:

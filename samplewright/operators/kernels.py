@@ -76,6 +76,13 @@ def group_rows(batch: pa.RecordBatch, n_keys: int) -> Iterator[tuple[tuple, np.n
     if not n_keys:
         yield (), None
         return
-    frame = batch.select(list(range(n_keys))).to_pandas()
-    for index in frame.groupby(list(frame.columns), dropna=False, sort=False).indices.values():
+    codes = np.zeros(batch.num_rows, np.int64)
+    for i in range(n_keys):
+        # Codes, not values: a pandas column of whole numbers with a null would round them to doubles.
+        coded = batch.column(i).dictionary_encode(null_encoding="encode")
+        pair = codes * len(coded.dictionary) + coded.indices.to_numpy(zero_copy_only=False)
+        codes = np.unique(pair, return_inverse=True)[1]
+    order = np.argsort(codes, kind="stable")
+    starts = np.flatnonzero(np.diff(codes[order], prepend=-1))
+    for index in np.split(order, starts[1:]):
         yield tuple(batch.column(i)[int(index[0])].as_py() for i in range(n_keys)), index

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..functions.arrays import L2_EPSILON, dot, doubles, l2_normalize, map_with, vector_literal
+from ..functions.arrays import L2_EPSILON, dot, doubles, l2_normalize, map_with, vector_literal, whole_div
 from ..functions.hashing import normal_vector
-from .kernels import DOUBLES, arrow_kernel, matrix_to_vectors, vectors_to_matrix
+from ..session import store
+from .kernels import DOUBLES, arrow_kernel, group_rows, matrix_to_vectors, vectors_to_matrix
+from .moments import FOLD_BYTES
 
 # Largest matrix handed to every task: 64 MB. Larger ones go through `project_by_join`.
 MAX_SHIPPED_CELLS = 8_000_000
@@ -56,20 +61,72 @@ def project(vector: Column, matrix: np.ndarray, bias: Sequence[float] | None = N
     return multiply(doubles(vector))
 
 
+# Columns and rows of a matrix that one tile holds.
+TILE_COLUMNS, TILE_ROWS = 1024, 4096
+
+
 def project_by_join(
     df: DataFrame, row_id: str, vector: str, weights: DataFrame, output: str, bias: DataFrame | None = None
 ) -> DataFrame:
-    """x . W (+ b) for a matrix of any size: joins vector positions to matrix rows and sums up.
+    """x . W (+ b) for a matrix of any size, as (row_id, output); ``row_id`` is unique.
 
-    ``bias`` holds (``pos``, ``b``). Returns (row_id, output).
+    W is cut into tiles that are joined with the vectors' slices; a task multiplies Arrow batches of
+    slices by a tile, and the products are added up per vector. W is ``row`` from 0 and ``w``; ``bias`` holds
+    (``pos``, ``b``), 0 where a position is missing. Vectors that are not as long as W has rows, ragged or
+    missing rows of W, and positions off the output are errors.
     """
-    tall = df.select(row_id, F.posexplode(vector).alias("row", "_x"))
-    products = tall.join(weights, "row").select(row_id, "_x", F.posexplode("w").alias("pos", "_w"))
-    cells = products.groupBy(row_id, "pos").agg(F.sum(F.col("_x") * F.col("_w")).alias("_v"))
+    shape = weights.agg(
+        F.count(F.lit(1)).alias("n"), F.min("row").alias("first"), F.max("row").alias("last"),
+        F.count_distinct("row").alias("distinct"), F.min(F.size("w")).alias("short"), F.max(F.size("w")).alias("width"),
+    ).first()
+    if not shape.n:
+        raise ValueError("empty weight matrix")
+    if (shape.first, shape.last, shape.distinct) != (0, shape.n - 1, shape.n):
+        raise ValueError("matrix rows must be numbered from 0 without gaps")
+    if shape.short != shape.width:
+        raise ValueError("ragged weight matrix")
+    height, width = shape.n, shape.width
+
+    length = F.size(vector)
+    fault = F.raise_error(F.concat(F.lit(f"vector against {height} matrix rows: "), F.coalesce(length.cast("string"), F.lit("null"))))
+    checked = F.when(length == height, doubles(F.col(vector))).otherwise(fault.cast("array<double>"))
+    bands = F.sequence(F.lit(0), F.lit((height - 1) // TILE_ROWS))
+    slices = df.select(F.col(row_id).alias("_id"), checked.alias("_x")).select("_id", "_x", F.explode(bands).alias("_band"))
+    slices = slices.select("_id", "_band", F.slice("_x", F.col("_band") * TILE_ROWS + 1, TILE_ROWS).alias("_x"))
+
+    spans = F.sequence(F.lit(0), F.lit((width - 1) // TILE_COLUMNS))
+    cut = weights.select(F.col("row"), doubles(F.col("w")).alias("w"), F.explode(spans).alias("_span"))
+    cut = cut.select(whole_div(F.col("row"), TILE_ROWS).alias("_of"), "_span", "row",
+                     F.slice("w", F.col("_span") * TILE_COLUMNS + 1, TILE_COLUMNS).alias("_w"))
+    tiles = cut.groupBy("_of", "_span").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("row", "_w"))), lambda r: r["_w"])).alias("_tile"))
+    # Slices travel once per column span; a task holds one tile at a time.
+    met = slices.select("_id", "_band", "_x", F.explode(spans).alias("_at")).join(
+        tiles, (F.col("_band") == F.col("_of")) & (F.col("_at") == F.col("_span")))
+
+    schema = T.StructType([T.StructField("_id", df.schema[row_id].dataType), T.StructField("_span", T.IntegerType()), T.StructField("_part", DOUBLES)])
+    target = to_arrow_schema(schema)
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.stack([batch.column(1).to_numpy(), batch.column(3).to_numpy()]) if batch.num_rows else np.empty((2, 0))
+            edges = np.flatnonzero(np.any(np.diff(at, axis=1, prepend=-1) != 0, axis=0))
+            for start, stop in zip(edges, [*edges[1:], batch.num_rows]):
+                x = vectors_to_matrix(batch.column(2).slice(start, stop - start))
+                tile = batch.column(4)[int(start)].values.to_numpy().reshape(x.shape[1], -1)
+                columns = [batch.column(0).slice(start, stop - start), batch.column(3).slice(start, stop - start), matrix_to_vectors(x @ tile)]
+                yield pa.RecordBatch.from_arrays(columns, schema=target)
+
+    products = met.select("_id", "_band", "_x", F.col("_at").cast("int").alias("_at"), "_tile").mapInArrow(multiply, schema)
+    added = F.aggregate(F.slice("_parts", 2, F.size("_parts")), F.get("_parts", F.lit(0)), lambda a, x: F.zip_with(a, x, lambda p, q: p + q))
+    spans_of = products.groupBy("_id", "_span").agg(F.collect_list("_part").alias("_parts")).select("_id", "_span", added.alias("_part"))
+    whole = spans_of.groupBy("_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_span", "_part"))), lambda s: s["_part"])).alias(output))
     if bias is not None:
-        cells = cells.join(bias, "pos").withColumn("_v", F.col("_v") + F.col("b"))
-    whole = cells.groupBy(row_id).agg(F.array_sort(F.collect_list(F.struct("pos", "_v"))).alias("_all"))
-    return whole.select(row_id, F.transform("_all", lambda s: s["_v"]).alias(output))
+        outside = F.raise_error(F.lit(f"bias position off [0, {width})")).cast("int")
+        place = F.when(F.col("pos").between(0, width - 1), F.col("pos").cast("int")).otherwise(outside)
+        entries = bias.agg(F.map_from_entries(F.collect_list(F.struct(place, F.col("b").cast("double")))).alias("_b"))  # as long as the output
+        shift = entries.select(F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.element_at("_b", i), F.lit(0.0)))).scalar()
+        whole = whole.withColumn("_shift", shift).withColumn(output, F.zip_with(output, "_shift", lambda x, b: x + b)).drop("_shift")
+    return whole.select(F.col("_id").alias(row_id), output)
 
 
 # --- dominant singular value ---------------------------------------------------------------------
@@ -99,17 +156,47 @@ def dominant_singular_value(
 
 
 def _power_step(matrix: DataFrame, weights: str, u: Column, eps: float) -> DataFrame:
-    rows = matrix.select(doubles(F.col(weights)).alias("_w")).withColumn("_u", u)
-    tall = rows.select(dot(F.col("_w"), F.col("_u")).alias("_v"), F.posexplode("_w").alias("_j", "_x"))
-    sums = tall.groupBy("_j").agg(
-        F.sum(F.col("_v") * F.col("_x")).alias("_s"), F.sqrt(F.sum(F.col("_v") * F.col("_v"))).alias("_norm")
-    )
-    # As many rows as the matrix has columns.
-    packed = sums.agg(F.array_sort(F.collect_list(F.struct("_j", "_s"))).alias("_all"), F.max("_norm").alias("_norm"))
-    vw = packed.select(F.transform("_all", lambda s: s["_s"] / (F.col("_norm") + eps)).alias("_vw"))
+    rows = matrix.select(doubles(F.col(weights)).alias("_w"), doubles(u).alias("_u"))
+    folded = _folded_products(rows)
+    total = F.aggregate(F.slice("_all", 2, F.size("_all")), F.get("_all", F.lit(0)), lambda a, x: F.zip_with(a, x, lambda p, q: p + q))
+    # One row for each branch, of a length that is a matrix row's.
+    packed = folded.agg(F.collect_list("_vw").alias("_all"), F.sqrt(F.sum("_vv")).alias("_norm"))
+    vw = packed.select(map_with(total, F.col("_norm"), lambda x, n: x / (n + eps)).alias("_vw"))
     return vw.withColumn("u", l2_normalize(F.col("_vw"), eps)).select("u", dot(F.col("_vw"), F.col("u")).alias("sigma"))
 
 
+def _folded_products(rows: DataFrame, branches: int = 32) -> DataFrame:
+    """Sums of v w and v v over rows (_w, _u) with v = w . u: one row for each branch."""
+
+    def result(branch: int, vw: np.ndarray, vv: float) -> pa.RecordBatch:
+        columns = [pa.array([branch], pa.int32()), pa.array([vw], pa.list_(pa.float64())), pa.array([vv], pa.float64())]
+        return pa.RecordBatch.from_arrays(columns, ["_branch", "_vw", "_vv"])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vw, vv = None, 0.0
+        for batch in batches:
+            if batch.num_rows:
+                w = vectors_to_matrix(batch.column(0))
+                u = batch.column(1)[0].values.to_numpy()
+                if len(u) != w.shape[1]:
+                    raise ValueError(f"vectors of different lengths: {len(u)} against {w.shape[1]}")
+                v = w @ u
+                vw, vv = v @ w if vw is None else vw + v @ w, vv + float(v @ v)
+        if vw is not None:
+            yield result(TaskContext.get().partitionId() % branches, vw, vv)
+
+    def merge(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vw, vv = None, 0.0
+        for batch in batches:
+            for part, square in zip(batch.column("_vw"), batch.column("_vv").to_pylist()):
+                x = part.values.to_numpy()
+                vw, vv = x if vw is None else vw + x, vv + square
+        yield result(key[0].as_py(), vw, vv)
+
+    schema = "_branch int, _vw array<double>, _vv double"
+    return rows.mapInArrow(fold, schema).groupBy("_branch").applyInArrow(merge, schema)
+
+
 def divide_by(df: DataFrame, weights: str, sigma: Column) -> DataFrame:
     """Every element of a vector column divided by a scalar (a column or scalar subquery)."""
     # A scalar subquery may not stand inside a lambda, so it becomes a column first.
@@ -134,11 +221,15 @@ def rescale_map(class_map: DataFrame, vector: str, u: str, num_iters: int = 1, e
     if num_iters < 1:
         raise ValueError("num_iters must be at least 1")
     rows = class_map.withColumn(u, F.col(u).cast("double"))
+    # The iteration runs on the class table's rows; each step needs the step before twice, so its new
+    # column is written out and read again, and the plan of a step doesn't hold the steps before.
     for _ in range(num_iters):
-        tall = rows.select(u, F.posexplode(vector).alias("_j", "_x"))
-        sums = tall.groupBy("_j").agg(F.sum(F.col(u) * F.col("_x")).alias("_s"))
-        rows = rows.withColumn("_s", pack(sums, "_j", "_s")).withColumn("_v", l2_normalize(F.col("_s"), eps))
-        rows = rows.withColumn("_p", dot(F.col(vector), F.col("_v"))).drop("_s", "_v")
+        scaled = rows.select(map_with(doubles(F.col(vector)), F.col(u), lambda x, c: x * c).alias("_x"))
+        parts = _folded_sums(scaled, [], "_x")
+        total = F.aggregate(F.slice("_all", 2, F.size("_all")), F.get("_all", F.lit(0)), lambda a, x: F.zip_with(a, x, lambda p, q: p + q))
+        v = parts.agg(F.collect_list("_sum").alias("_all")).select(l2_normalize(total, eps)).scalar()
+        rows = rows.withColumn("_v", v)
+        rows = store(rows.withColumn("_p", dot(F.col(vector), F.col("_v"))).drop("_v"), "rescale-map")
         norm = rows.agg(F.sqrt(F.sum(F.col("_p") * F.col("_p")))).scalar()
         rows = rows.withColumn("_norm", norm).withColumn(u, F.col("_p") / (F.col("_norm") + eps))
         rows = rows.withColumn("sigma", F.col("_norm") * F.col("_norm") / (F.col("_norm") + eps)).drop("_p", "_norm")
@@ -191,25 +282,72 @@ class SpectralState:
 
 
 def aligned_vector_mean(df: DataFrame, name: str, vector: str, contributors: int | None = None) -> DataFrame:
-    """Element-wise mean over all rows of a name.
+    """Element-wise mean over all rows of a name: (name, contributors, mean).
 
     Vectors of a name must agree in length, and with ``contributors`` a name must have that many rows;
-    either mismatch is an error.
+    either mismatch is an error, and so are null and empty vectors. A task folds its rows into one sum
+    per name.
     """
-    tall = df.select(name, F.size(vector).alias("_size"), F.posexplode(vector).alias("pos", "_x"))
-    cells = tall.groupBy(name, "pos").agg(
-        F.avg(F.col("_x").cast("double")).alias("_mean"),
-        F.count(F.lit(1)).alias("_n"),
-        F.min("_size").alias("_short"),
-        F.max("_size").alias("_long"),
+    sums = _folded_sums(df.select(name, F.col(vector).alias("_x")), [name], "_x")
+    added = F.aggregate(F.slice("_sums", 2, F.size("_sums")), F.get("_sums", F.lit(0)), lambda a, x: F.zip_with(a, x, lambda p, q: p + q))
+    whole = sums.groupBy(name).agg(
+        F.collect_list("_sum").alias("_sums"),  # one for each task that has rows of the name, and FOLD_BYTES of others
+        F.sum("_n").alias("contributors"),
+        F.min(F.size("_sum")).alias("_short"),
+        F.max(F.size("_sum")).alias("_long"),
     )
     fine = F.col("_short") == F.col("_long")
     if contributors is not None:
-        fine = fine & (F.col("_n") == contributors)
-    fault = F.raise_error(F.concat(F.lit("vectors do not line up for "), F.col(name).cast("string")))
-    checked = F.when(fine, F.col("_mean")).otherwise(fault.cast("double"))
-    whole = cells.groupBy(name).agg(
-        F.array_sort(F.collect_list(F.struct("pos", checked.alias("_mean")))).alias("_all"),
-        F.max("_n").alias("contributors"),
-    )
-    return whole.select(name, "contributors", F.transform("_all", lambda s: s["_mean"]).alias("mean"))
+        fine = fine & (F.col("contributors") == contributors)
+    fault = F.raise_error(F.concat(F.lit("vectors do not line up for "), F.coalesce(F.col(name).cast("string"), F.lit("null"))))
+    total = F.when(fine, added).otherwise(fault.cast("array<double>"))
+    return whole.select(name, "contributors", map_with(total, F.col("contributors"), lambda x, n: x / n).alias("mean"))
+
+
+def _folded_sums(df: DataFrame, keys: Sequence[str], vector: str, branches: int = 32) -> DataFrame:
+    """Sums of a vector column per key, in at most ``branches`` rows of a key: (keys, _n, _sum).
+
+    Tasks fold Arrow batches; what they emit is added up once more per key and branch.
+    """
+    keys = list(keys)
+    schema = T.StructType([*[df.schema[k] for k in keys], T.StructField("_branch", T.IntegerType()),
+                           T.StructField("_n", T.LongType()), T.StructField("_sum", DOUBLES)])
+    target = to_arrow_schema(schema)
+
+    def batch_of(branch: int, held: dict[tuple, tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        for key, (n, total) in held.items():
+            values = [*key, branch, n, total]
+            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, target)], schema=target)
+
+    def add(held: dict, key: tuple, n: int, total: np.ndarray) -> int:
+        old = held.get(key)
+        if old is not None and old[1].shape != total.shape:
+            raise ValueError(f"vectors do not line up for {key[0] if key else 'the table'}")
+        held[key] = (n, total) if old is None else (old[0] + n, old[1] + total)
+        return total.nbytes if old is None else 0
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        branch = TaskContext.get().partitionId() % branches
+        held: dict = {}
+        held_bytes = 0
+        for batch in batches:
+            column = batch.column(len(keys))
+            for key, index in group_rows(batch, len(keys)) if batch.num_rows else ():
+                rows = vectors_to_matrix(column if index is None else column.take(pa.array(index)))
+                if not rows.shape[1]:
+                    raise ValueError("empty vector")
+                held_bytes += add(held, key, len(rows), rows.sum(axis=0))
+                if held_bytes > FOLD_BYTES:
+                    yield from batch_of(branch, held)
+                    held, held_bytes = {}, 0
+        yield from batch_of(branch, held)
+
+    def merge(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        values = tuple(k.as_py() for k in key)
+        for batch in batches:
+            for n, total in zip(batch.column("_n").to_pylist(), batch.column("_sum")):
+                add(held, values[:-1], n, total.values.to_numpy())
+        yield from batch_of(values[-1], held)
+
+    return df.select(*keys, doubles(F.col(vector)).alias("_x")).mapInArrow(fold, schema).groupBy(*keys, "_branch").applyInArrow(merge, schema)

@@ -14,6 +14,7 @@ def metric_rows(wide: DataFrame, step: str, names: Sequence[str]) -> DataFrame:
     return doubles.unpivot([step], list(names), "name", "value")
 
 
-def log_every(metrics: DataFrame, step: str, every: int = 200, stop_at: int = 2_000_000) -> DataFrame:
-    """The rows a periodic log keeps: every ``every`` steps, up to but not including ``stop_at``."""
-    return metrics.filter((F.col(step) % every == 0) & (F.col(step) < stop_at))
+def log_every(metrics: DataFrame, step: str, every: int = 200, stop_at: int | None = None) -> DataFrame:
+    """The rows a periodic log keeps: every ``every`` steps, to the end or up to but not including ``stop_at``."""
+    kept = metrics.filter(F.col(step) % every == 0)
+    return kept if stop_at is None else kept.filter(F.col(step) < stop_at)

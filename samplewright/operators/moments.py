@@ -98,8 +98,8 @@ def moving_moments(
 #
 # A task folds its rows into (n, mean, centred cross products) and emits the matrix in square tiles.
 # Tiles merge exactly by the pairwise update of Chan, Golub and LeVeque (1979), in two levels: first
-# within `fan_in` groups of tasks, then across them. No task ever holds more than one matrix per key
-# while folding, and one tile while merging.
+# within `fan_in` groups of tasks, then across them. While folding, a task holds FOLD_BYTES of matrices and
+# one more; while merging, one tile.
 
 TILE = 256
 FOLD_BYTES = 256 << 20
@@ -148,6 +148,7 @@ def vector_moments(
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         branch = TaskContext.get().partitionId() % fan_in
         held: dict[tuple, tuple] = {}
+        held_bytes = 0
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -156,11 +157,14 @@ def vector_moments(
                 x = matrix if index is None else matrix[index]
                 mean = x.mean(axis=0)
                 x = x - mean
+                new = key not in held
                 held[key] = _merge(held.get(key), (len(x), mean, mean, x.T @ x))
-            if sum(part[3].nbytes for part in held.values()) > FOLD_BYTES:
-                for key, part in held.items():
-                    yield from emit(key, part, branch)
-                held = {}
+                held_bytes += held[key][3].nbytes if new else 0
+                # Asked after every key: one batch may bring any number of them.
+                if held_bytes > FOLD_BYTES:
+                    for done, part in held.items():
+                        yield from emit(done, part, branch)
+                    held, held_bytes = {}, 0
         for key, part in held.items():
             yield from emit(key, part, branch)
 

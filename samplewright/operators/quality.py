@@ -135,6 +135,7 @@ def score_parts(df: DataFrame, logits: str, keys: Sequence[str] = ()) -> DataFra
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, tuple] = {}
+        held_bytes = 0
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -152,9 +153,10 @@ def score_parts(df: DataFrame, logits: str, keys: Sequence[str] = ()) -> DataFra
                 if old is not None and old[1].shape != part[1].shape:
                     raise ValueError("ragged logits")
                 held[key] = part if old is None else tuple(a + b for a, b in zip(old, part))
-            if sum(part[1].nbytes for part in held.values()) > FOLD_BYTES:
-                yield from (emit(key, part) for key, part in held.items())
-                held = {}
+                held_bytes += part[1].nbytes if old is None else 0
+                if held_bytes > FOLD_BYTES:
+                    yield from (emit(done, whole) for done, whole in held.items())
+                    held, held_bytes = {}, 0
         yield from (emit(key, part) for key, part in held.items())
 
     return add_parts(rows.mapInArrow(fold, schema), keys)

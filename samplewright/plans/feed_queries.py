@@ -52,7 +52,7 @@ def label_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH shards AS (
-  SELECT source, row_number() OVER (ORDER BY {sql_hash("'3:' || source", 15)}, source) - 1 AS shard_rank
+  SELECT source, row_number() OVER (ORDER BY {sql_hash("'3:shards:' || source", 15)}, source) - 1 AS shard_rank
   FROM (SELECT DISTINCT source FROM documents)),
 placed AS (
   SELECT doc_id, source, shard_rank // 4 AS cycle, (shard_rank % 4)::INTEGER AS slot,
@@ -70,7 +70,7 @@ def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _shuffled_sql(source: str, record: str, seed: int, epochs: int, extra: str = "") -> str:
     """Rows of every epoch with shuffle_key and rank."""
-    key = sql_hash(f"'{seed}:' || epoch || ':' || {record}", 15)
+    key = sql_hash(f"'{seed}:shuffle:' || epoch || ':' || {record}", 15)
     return f"""keyed AS (
   SELECT {record}{extra}, epoch::INTEGER AS epoch, {key} AS shuffle_key
   FROM {source}, (SELECT unnest(range({epochs})) AS epoch)),
@@ -156,7 +156,7 @@ def accumulate_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _normal_sql(source: str, row: str, size: int, seed: int) -> str:
     """normal(row, pos, z): two 60-bit keys per digest, a Box-Muller pair from the two halves of a key."""
     return f"""digests AS (
-  SELECT {row} AS row, b, md5('{seed}:' || {row} || ':' || b) AS d
+  SELECT {row} AS row, b, md5('{seed}:noise:' || {row} || ':' || b) AS d
   FROM {source}, (SELECT unnest(range({(size + 3) // 4})) AS b)),
 keys AS (
   SELECT row, b, k, ('0x' || substr(d, 1 + (k // 2 * 16)::INTEGER, 15))::BIGINT AS key

@@ -227,6 +227,30 @@ def embedding_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tall(classes.lookup_class(vectors.select("vec_id", "label"), "label", rescaled), "vec", "label")
 
 
+def _lookup_steps_sql(steps: int) -> str:
+    parts = ["u0 AS (SELECT label, 1.0::DOUBLE AS u FROM map GROUP BY label)"]
+    for i in range(1, steps + 1):
+        parts.append(f"""s{i} AS (SELECT j, sum(e * u) AS s FROM map JOIN u{i - 1} USING (label) GROUP BY j),
+v{i} AS (SELECT j, s / (sqrt((SELECT sum(s * s) FROM s{i})) + 1e-12) AS v FROM s{i}),
+p{i} AS (SELECT label, sum(e * v) AS p FROM map JOIN v{i} USING (j) GROUP BY label),
+n{i} AS (SELECT sqrt(sum(p * p)) AS n FROM p{i}),
+u{i} AS (SELECT label, p / (n + 1e-12) AS u FROM p{i}, n{i})""")
+    return ", ".join(parts)
+
+
+@query(f"""WITH {EMB}, map AS (SELECT label, j, avg(v) AS e FROM emb GROUP BY label, j), {_lookup_steps_sql(3)}
+SELECT label, j::INTEGER AS pos, round(e / (n * n / (n + 1e-12)), 6) + 0.0 AS v, round(u, 6) + 0.0 AS u
+FROM map JOIN u3 USING (label), n3""")
+def embedding_lookup_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class map after three power iterations."""
+    vectors = _embeddings(spark, sf_dir)
+    class_map = linalg.aligned_vector_mean(vectors, "label", "embedding").select("label", F.col("mean").alias("vec"))
+    class_map = store(class_map.withColumn("u", F.lit(1.0)), "class-map")
+    rescaled = linalg.rescale_map(class_map, "vec", "u", num_iters=3)
+    tall = rescaled.select("label", rounded("u").alias("u"), F.posexplode("vec").alias("pos", "v"))
+    return tall.withColumn("v", rounded("v"))
+
+
 @query(f"""WITH {EMB}, h AS (SELECT vec_id, label, j % 4 AS c, sum(greatest(v, 0.0)) AS h FROM emb GROUP BY ALL),
 map AS (SELECT label, j % 4 AS c, avg(v) AS e FROM emb GROUP BY label, j % 4)
 SELECT vec_id, round(0.1 + sum(h * (e + CASE c WHEN 0 THEN 0.5 WHEN 1 THEN -0.25 WHEN 2 THEN 0.125 ELSE 1.0 END)), 6) + 0.0 AS score
@@ -303,6 +327,26 @@ def spectral_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tall(linalg.spectral_normalize(vectors, "embedding", A.vector_literal([1.0] * 64)), "embedding")
 
 
+def _power_steps_sql(steps: int) -> str:
+    parts = ["u0 AS (SELECT j, 1.0::DOUBLE AS u FROM emb GROUP BY j)"]
+    for i in range(1, steps + 1):
+        parts.append(f"""r{i} AS (SELECT vec_id, sum(v * u) AS r FROM emb JOIN u{i - 1} USING (j) GROUP BY vec_id),
+w{i} AS (SELECT j, sum(r * v) / ((SELECT sqrt(sum(r * r)) FROM r{i}) + 1e-12) AS s FROM emb JOIN r{i} USING (vec_id) GROUP BY j),
+u{i} AS (SELECT j, s / ((SELECT sqrt(sum(s * s)) FROM w{i}) + 1e-12) AS u FROM w{i})""")
+    return ", ".join(parts)
+
+
+@query(f"""WITH {EMB}, {_power_steps_sql(3)}
+SELECT j::INTEGER AS pos, round(u, 6) + 0.0 AS u,
+  (SELECT round(sum(s * u), 6) + 0.0 FROM w3 JOIN u3 USING (j)) AS sigma FROM u3""")
+def spectral_norm_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """u and sigma after three power iterations."""
+    ones = F.array_repeat(F.lit(1.0), 64)
+    made = linalg.dominant_singular_value(_embeddings(spark, sf_dir), "embedding", ones, num_iters=3)
+    tall = made.select(rounded("sigma").alias("sigma"), F.posexplode("u").alias("pos", "u"))
+    return tall.withColumn("u", rounded("u"))
+
+
 @query(f"""WITH {EMB}, n AS (SELECT *, (CASE WHEN label < 5 THEN 'model/d_' ELSE 'model/g_' END) || label AS name FROM emb)
 SELECT name, j::INTEGER AS pos, count(*) AS contributors, round(avg(v), 6) + 0.0 AS v FROM n GROUP BY name, j""")
 def aligned_vector_mean(spark: SparkSession, sf_dir: str) -> DataFrame:

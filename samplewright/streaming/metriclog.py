@@ -14,7 +14,7 @@ def start_metric_log(
     checkpoint: str,
     step: str = "step",
     every: int = 200,
-    stop_at: int = 2_000_000,
+    stop_at: int | None = None,
     trigger: dict | None = None,
 ) -> StreamingQuery:
     """Writes the logged rows of a (step, name, value) stream to Parquet, each exactly once."""
