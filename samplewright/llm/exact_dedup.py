@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import store
 from . import keyfilter
 from .text import SPACES
 
 
 def squeezed(text: Column) -> Column:
     """The text without any of the six ASCII white-space characters; null counts as empty."""
-    return F.translate(F.coalesce(text, F.lit("")), SPACES, "")
+    return functools.reduce(lambda t, space: F.replace(t, F.lit(space), F.lit("")), SPACES, F.coalesce(text, F.lit("")))
 
 
 def exact_dedup(
@@ -38,32 +41,28 @@ def exact_dedup(
     that repeat the kept row's id and length, one is kept. An empty table gives an empty result. Other
     columns are ignored.
     """
-    norm = squeezed(F.col("text"))
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    base = base.select("id", F.length(F.coalesce("text", F.lit(""))).alias("chars"), squeezed(F.col("text")).alias("norm"))
+    head = F.substring("norm", 1, prefix_chars)
+    base = base.select("id", "chars", "norm", F.length("norm").alias("n"), F.xxhash64(F.length("norm"), head).alias("p"))
 
-    # Level 1: length.
-    with_length = base.select("id", "text", F.length(norm).alias("n"))
-    lengths = with_length.groupBy("n").agg(F.count("*").alias("c")).where("c > 1")
-    lengths = lengths.select(F.xxhash64("n").alias("key"))
-    level1 = keyfilter.ask(
-        with_length.withColumn("key", F.xxhash64("n")), "key", keyfilter.build(lengths, "key", filter_bits), filter_bits, "shared"
-    )
-
-    # Level 2: length and prefix hash, where the length is shared.
-    prefix = F.when(F.col("shared"), F.xxhash64("n", F.substring(norm, 1, prefix_chars)))
-    with_prefix = level1.select("id", "text", "n", prefix.alias("p"))
-    heads = with_prefix.where("p is not null").groupBy("p").agg(F.count("*").alias("c")).where("c > 1")
-    level2 = keyfilter.ask(with_prefix, "p", keyfilter.build(heads, "p", filter_bits), filter_bits, "shared")
+    # Level 1: length. Level 2: length and prefix hash, where the length is shared. Both on narrow rows.
+    narrow = store(base.select("n", "p"), "lengths")
+    lengths = narrow.groupBy("n").agg(F.count("*").alias("c")).where("c > 1").select(F.xxhash64("n").alias("key"))
+    pages = keyfilter.build(lengths, "key", filter_bits)
+    level1 = keyfilter.ask(narrow.withColumn("key", F.xxhash64("n")), "key", pages, filter_bits, "shared")
+    heads = level1.where("shared").groupBy("p").agg(F.count("*").alias("c")).where("c > 1")
+    level2 = keyfilter.ask(base, "p", keyfilter.build(heads, "p", filter_bits), filter_bits, "shared")
 
     # Level 3: the full hash, where length and prefix are shared.
-    original = F.length(F.coalesce(F.col("text"), F.lit("")))
-    full = F.sha2(norm, 256)
+    full = F.sha2("norm", 256)
     level3 = level2.select(
         "id",
-        original.alias("chars"),
+        "chars",
         F.when(F.col("shared"), full).alias("full_hash"),
         (full if digests else F.lit(None).cast("string")).alias("digest"),
     )
+    level3 = store(level3, "hashes")
 
     best = F.min(F.struct((-F.col("chars")).alias("r"), F.col("id").isNull().alias("u"), "id"))
     groups = (
@@ -73,6 +72,8 @@ def exact_dedup(
         .where("size > 1")
         .select(F.col("full_hash").alias("group_key"), F.col("best.id").alias("first"), (-F.col("best.r")).alias("most"), "size")
     )
+    # Written out, so that the join's sides are plain tables and a large group can be split among tasks.
+    groups = store(groups, "groups")
     # Rows that stand alone get keys of their own, so that the join isn't skewed by nulls.
     own = F.coalesce("full_hash", F.concat(F.lit("-"), F.coalesce(F.col("id").cast("string"), F.lit(""))))
     joined = level3.withColumn("own", own).join(groups, F.col("own") == F.col("group_key"), "left")
