@@ -69,4 +69,9 @@ def latent_traversal(df: DataFrame, row: str, z_dim: int, dims: int) -> DataFram
         "step",
         (F.col("step") / F.col("_steps")).alias("value"),
     )
+    # The vectors are far larger than these rows. A stated number of partitions isn't merged by size, so
+    # the tasks that make the vectors follow the session's parallelism.
+    session = df.sparkSession
+    tasks = max(int(session.conf.get("spark.sql.shuffle.partitions")), session.sparkContext.defaultParallelism)
+    swept = swept.repartition(tasks, "dim", "step")
     return swept.withColumn("z", single_entry(F.col("dim"), F.col("value"), z_dim))

@@ -22,6 +22,8 @@ from ..functions.hashing import KEY_BITS
 BUCKET_BYTES = 16 << 20
 FEWEST_BITS, MOST_BITS = 8, 20
 MOST_CUTS = 1 << 14
+# Sources that don't know their size are estimated at about 2**63 bytes.
+UNKNOWN_BYTES, UNKNOWN_BITS = 1 << 57, 12
 
 
 def estimated_bytes(df: DataFrame) -> int:
@@ -31,7 +33,10 @@ def estimated_bytes(df: DataFrame) -> int:
 
 def bucket_bits(df: DataFrame) -> int:
     """Bits of a hash that make buckets of a comfortable size. Only speed depends on the estimate."""
-    wanted = estimated_bytes(df) // BUCKET_BYTES
+    size = estimated_bytes(df)
+    if size > UNKNOWN_BYTES:
+        return UNKNOWN_BITS
+    wanted = size // BUCKET_BYTES
     return min(max(wanted.bit_length(), FEWEST_BITS), MOST_BITS)
 
 
@@ -65,14 +70,14 @@ def bucketed_rank(
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_count"))
     over = Window.partitionBy(*group)
     before = over.orderBy(bucket).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    offsets = sizes.select(*keys, (F.sum("_count").over(before) - F.col("_count")).alias("_offset"),
+    offsets = sizes.select(*keys, (F.sum("_count").over(before) - F.col("_count")).alias("_bucket_offset"),
                            *([F.sum("_count").over(over).alias(total)] if total else []))
     if per_group is not None:
         offsets = offsets.join(per_group, group)
     inside = Window.partitionBy(*keys).orderBy(*order)
     numbered = df.withColumn("_inside", F.row_number().over(inside) - 1)
     ranked = numbered.join(offsets, keys)
-    return ranked.withColumn(rank, (F.col("_offset") + F.col("_inside")).cast("bigint")).drop("_offset", "_inside", bucket)
+    return ranked.withColumn(rank, (F.col("_bucket_offset") + F.col("_inside")).cast("bigint")).drop("_bucket_offset", "_inside", bucket)
 
 
 def ordered_rank(

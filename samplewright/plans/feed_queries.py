@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import ints_to_bytes, label_with_offset, scale_pixels, to_uint8
 from ..operators import feed, generate
-from ..session import scratch_path
+from ..session import scratch_path, store
 from ..sources import register
 from . import jobs
 from .registry import EMB, query, rounded, sql_hash, table
@@ -44,6 +44,37 @@ def tfrecord_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tall.select("vec_id", "label", "pos", rounded(F.col("v").cast("double")).alias("scaled"))
 
 
+@query("""WITH e AS (SELECT label, floor((embedding[1]::DOUBLE + 1.0) * 127.5)::INTEGER AS first FROM embeddings),
+epochs AS (SELECT unnest(range(2))::INTEGER AS epoch),
+n AS (SELECT count(*) AS n FROM e)
+SELECT epoch, label::INTEGER AS label, count(*) AS records, sum(first)::BIGINT AS first_pixels,
+  (SELECT n FROM n) AS ranks, (SELECT (n * 2 + 31) // 32 FROM n) AS batches
+FROM e, epochs GROUP BY epoch, label""")
+def records_to_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Record files of images and labels alone, read back, interleaved, shuffled over two epochs and batched.
+
+    File names are drawn at random, so the order can't be stated in SQL: per epoch and label, how many
+    records came through and the sum of their first pixels; over all, the ranks and batches given.
+    """
+    register(spark)
+    path = scratch_path(spark, "records")
+    records = table(spark, sf_dir, "embeddings").select(
+        ints_to_bytes(to_uint8(F.col("embedding"))).alias("image_raw"), F.col("label").cast("bigint").alias("label")
+    )
+    records.repartition(5).write.format("tfrecord").mode("append").save(path)
+    images = jobs.read_images(spark, path, image_bytes=64)
+    woven = feed.interleave_shards(images, "_shard", "_offset", cycle_length=2, seed=5)
+    shuffled = feed.shuffle_records(woven.drop("cycle", "slot", "pos"), "record", seed=5, epochs=2, total="total")
+    batched = feed.assign_batches(shuffled, 32, False, total="total")
+    first = F.round((F.get("image", F.lit(0)).cast("double") + 1.0) * 127.5).cast("bigint")
+    batched = store(batched.select("epoch", "label", "record", "seq", "batch_id", first.alias("first")), "batched")
+    by_label = batched.groupBy("epoch", "label").agg(
+        F.count_distinct("record").alias("records"), F.sum("first").alias("first_pixels")
+    )
+    whole = batched.agg(F.count_distinct("seq").alias("ranks"), F.count_distinct("batch_id").alias("batches"))
+    return by_label.withColumns({c: whole.select(c).scalar() for c in ("ranks", "batches")})
+
+
 @query("""SELECT doc_id, source, (quality - 1)::INTEGER AS label
 FROM documents JOIN labels USING (doc_id)""")
 def label_offset(spark: SparkSession, sf_dir: str) -> DataFrame:

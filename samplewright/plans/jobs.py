@@ -15,19 +15,25 @@ from ..operators.metriclog import metric_rows
 from ..operators.quality import classifier_score, frechet_distance
 from ..operators.raster import decode_image, montage_sheets, resize_bilinear
 from ..operators.scoring import generate_samples, score
+from ..session import store
 from ..sources import register
 
 
 def read_images(
     spark: SparkSession, path: str, image_bytes: int, label_offset: int = 0, extra: str = "", **options: str
 ) -> DataFrame:
-    """Images in [-1, 1] and INT labels from record files; a record of another size is an error."""
+    """Images in [-1, 1] and INT labels from record files; a record of another size is an error.
+
+    ``_shard`` and ``_offset`` identify a record, and ``record`` is both in one text, so the result can be
+    interleaved by (``_shard``, ``_offset``) and shuffled by ``record`` whatever the files hold.
+    """
     register(spark)
-    schema = f"image_raw BINARY NOT NULL, label BIGINT NOT NULL{', ' + extra if extra else ''}"
+    schema = f"image_raw BINARY NOT NULL, label BIGINT NOT NULL, _shard STRING, _offset BIGINT{', ' + extra if extra else ''}"
     records = spark.read.format("tfrecord").schema(schema).options(imageBytes=str(image_bytes), **options).load(path)
     return records.withColumns({
         "image": decode_image(F.col("image_raw"), image_bytes),
         "label": label_with_offset(F.col("label"), label_offset),
+        "record": F.concat_ws(":", "_shard", F.col("_offset").cast("string")),
     }).drop("image_raw")
 
 
@@ -100,8 +106,9 @@ def evaluate(
 
     The generator returns an ``image`` of ``shape`` (height, width, channels) for noise and a class; as
     many are made as there are real rows. The classifier returns ``pool`` and ``logits`` for an image,
-    resized to ``classifier_size`` squared if given. Both sides stream through the models into moments;
-    no feature is kept.
+    resized to ``classifier_size`` squared if given. Both sides go through the models once, together; pools
+    and logits are written to the scratch folder and both metrics read them there, so that they describe the
+    same samples even if a model isn't deterministic.
     """
     generated = generate_samples(real, row, make_generator, z_dim, num_classes, ["image"], seed)
 
@@ -109,15 +116,14 @@ def evaluate(
         size = shape
         if classifier_size is not None:
             size = (classifier_size, classifier_size, shape[2])
-            images = images.select(resize_bilinear(F.col("image"), *shape, *size[:2]).alias("image"))
+            images = images.withColumn("image", resize_bilinear(F.col("image"), *shape, *size[:2]))
         return score(images, make_classifier, {"image": math.prod(size)}, ["pool", "logits"])
 
-    scored_real = classify(real.select(F.col(image).alias("image")))
-    scored_fake = classify(generated.select("image"))
-    sides = scored_real.select("pool", F.lit(False).alias("is_generated")).unionByName(
-        scored_fake.select("pool", F.lit(True).alias("is_generated"))
+    images = real.select(F.col(image).alias("image"), F.lit(False).alias("is_generated")).unionByName(
+        generated.select("image", F.lit(True).alias("is_generated"))
     )
+    scored = store(classify(images).select("pool", "logits", "is_generated"), "scores")
     at = F.lit(step).cast("bigint").alias("step")
-    fid = frechet_distance(sides, "pool", "is_generated").select(at, F.col("frechet_distance").alias("fid"))
-    incscore = classifier_score(scored_fake, "logits").select(at, F.col("classifier_score").alias("incscore"))
+    fid = frechet_distance(scored, "pool", "is_generated").select(at, F.col("frechet_distance").alias("fid"))
+    incscore = classifier_score(scored.filter("is_generated"), "logits").select(at, F.col("classifier_score").alias("incscore"))
     return metric_rows(fid, "step", ["fid"]).unionByName(metric_rows(incscore, "step", ["incscore"]))

@@ -8,6 +8,11 @@ offset whose 12 bytes are a length and its checksum. A chance match inside a pay
 the reader of the range before, which knows the true record limits and fails the job rather than let
 both read on; ``splitBytes=0`` then reads each file in one piece.
 
+Columns are features of the messages, but for three: ``_shard STRING`` and ``_offset BIGINT``, the file and the
+byte at which a record begins, which together identify it, and ``_corrupt_record``.
+
+A path without a scheme is a local one; name the scheme on a cluster.
+
 Options: ``path``, ``pathGlobFilter`` (default ``*.tfrecords``), ``splitBytes``, ``verifyCrc``,
 ``mode`` (``FAILFAST``, or ``PERMISSIVE`` with a ``_corrupt_record BINARY`` column for payloads that
 cannot be decoded), ``imageBytes`` (required length of ``image_raw``).
@@ -38,12 +43,13 @@ from .crc32c import masked_crc32c, masked_crc32c_of_windows
 from .example import decode_example, encode_example
 
 SCHEMA = "image_raw BINARY NOT NULL, label BIGINT NOT NULL"
-CORRUPT = "_corrupt_record"
+CORRUPT, SHARD, OFFSET = "_corrupt_record", "_shard", "_offset"
 HEADER = 12
 TRAILER = 4
 DEFAULT_SPLIT = 128 << 20
 BATCH_BYTES = 16 << 20
 SCAN_BYTES = 1 << 20
+READ_BYTES = 8 << 20
 
 
 class RecordError(ValueError):
@@ -89,7 +95,10 @@ class TFRecordSource(DataSource):
 def _feature_types(schema: T.StructType) -> dict[str, type]:
     kinds = {}
     for field in schema.fields:
-        if field.name == CORRUPT:
+        if field.name in (CORRUPT, SHARD, OFFSET):
+            wanted = {SHARD: T.StringType, OFFSET: T.LongType}.get(field.name)
+            if wanted and not isinstance(field.dataType, wanted):
+                raise RecordError(f"column {field.name} must be {wanted().simpleString()}")
             continue
         if isinstance(field.dataType, T.BinaryType):
             kinds[field.name] = bytes
@@ -138,8 +147,8 @@ class TFRecordReader(DataSourceReader):
         filesystem, path = _open(partition.path)
         with filesystem.open_input_file(path) as file:
             rows, held = [], 0
-            for payload, intact in self._payloads(file, partition):
-                rows.append(self._row(payload, intact, partition.path))
+            for at, payload, intact in self._payloads(file, partition):
+                rows.append(self._row(payload, intact, partition.path) | {SHARD: partition.path, OFFSET: at})
                 held += len(payload)
                 if held >= BATCH_BYTES:
                     yield self._batch(rows)
@@ -147,13 +156,13 @@ class TFRecordReader(DataSourceReader):
             if rows:
                 yield self._batch(rows)
 
-    def _payloads(self, file, part: ByteRange) -> Iterator[tuple[bytes, bool]]:
+    def _payloads(self, file, part: ByteRange) -> Iterator[tuple[int, bytes, bool]]:
         at = part.start if part.start == 0 else _first_record(file, part.start, part.end, part.size)
         if at is None:
             return
-        file.seek(at)
+        blocks = _Blocks(file, part.end)
         while at < part.end and at < part.size:
-            header = file.read(HEADER)
+            header = blocks.read(at, HEADER)
             if len(header) < HEADER:
                 raise RecordError(f"{part.path}: truncated header at byte {at}")
             length = int.from_bytes(header[:8], "little")
@@ -161,12 +170,13 @@ class TFRecordReader(DataSourceReader):
                 raise RecordError(f"{part.path}: bad length checksum at byte {at}")
             if at + HEADER + length + TRAILER > part.size:
                 raise RecordError(f"{part.path}: truncated record at byte {at}")
-            payload, trailer = file.read(length), file.read(TRAILER)
+            framed = blocks.read(at + HEADER, length + TRAILER)
+            payload, trailer = framed[:length], framed[length:]
             intact = not self.verify or masked_crc32c(payload) == int.from_bytes(trailer, "little")
             if not intact and self.mode == "FAILFAST":
                 raise RecordError(f"{part.path}: bad payload checksum at byte {at}")
+            yield at, payload, intact
             at += HEADER + length + TRAILER
-            yield payload, intact
         if part.end < at and _first_record(file, part.end, at, part.size) is not None:
             raise RecordError(f"{part.path}: a payload looks like records near byte {part.end}; read with splitBytes=0")
 
@@ -191,6 +201,21 @@ class TFRecordReader(DataSourceReader):
         )
 
 
+class _Blocks:
+    """Reads a file in large blocks: an object store answers few requests, not three for each record."""
+
+    def __init__(self, file, end: int):
+        self.file, self.end = file, end
+        self.start, self.data = 0, b""
+
+    def read(self, at: int, n: int) -> bytes:
+        if not self.start <= at or at + n > self.start + len(self.data):
+            self.file.seek(at)
+            # Past the end of the range only as far as its last record reaches.
+            self.start, self.data = at, self.file.read(max(n, min(READ_BYTES, self.end - at)))
+        return self.data[at - self.start:at - self.start + n]
+
+
 def _first_record(file, start: int, end: int, size: int) -> int | None:
     """First offset in [start, end) that holds a length and its checksum."""
     at = start
@@ -247,12 +272,13 @@ class TFRecordWriter(DataSourceArrowWriter):
 
     def commit(self, messages: list[Written | None]) -> None:
         filesystem, root = _open(self.path)
-        if self.overwrite:
-            for old in _shards(self.path, "*.tfrecords")[1]:
-                filesystem.delete_file(old.path)
+        replaced = _shards(self.path, "*.tfrecords")[1] if self.overwrite else []
         for message in messages:
             if message is not None:
                 filesystem.move(message.pending, f"{root}/{os.path.basename(message.pending)}.tfrecords")
+        # Last, so that a failure on the way leaves old and new files, not neither.
+        for old in replaced:
+            filesystem.delete_file(old.path)
         self._clear(filesystem, root)
 
     def abort(self, messages: list[Written | None]) -> None:

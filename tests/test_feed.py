@@ -144,3 +144,16 @@ def test_feed_is_written_in_step_order(spark, tmp_path):
     sizes = back.groupBy("step_id", "tower_id").count().collect()
     assert len(sizes) == 40 and all(r["count"] == 5 for r in sizes)
     assert back.filter("fake_label between 0 and 3 and size(z) = 3").count() == 200
+
+
+def test_weighted_class_keeps_rows_or_fails(spark):
+    from pyspark.errors import PySparkException
+
+    ids = spark.range(10)
+    with pytest.raises(PySparkException, match="no class"):
+        generate.with_weighted_class(ids, "id", spark.createDataFrame([], "class_id int, weight double"), seed=1).collect()
+    with pytest.raises(PySparkException, match="below 0"):
+        generate.with_weighted_class(ids, "id", spark.createDataFrame([(1, -1.0), (2, 3.0)], "class_id int, weight double"), seed=1).collect()
+    with pytest.raises(PySparkException, match="must not be null"):
+        nulls = spark.createDataFrame([(None,)], "id long")
+        generate.with_weighted_class(nulls, "id", spark.createDataFrame([(1, 1.0)], "class_id int, weight double"), seed=1).collect()

@@ -136,3 +136,23 @@ def test_expressions_can_feed_a_python_function(spark):
     ):
         df = spark.range(5).select("id", expr.alias("direct"), same(expr).alias("through"))
         assert all(r.direct == r.through for r in df.collect())
+
+
+def test_vectors_of_different_lengths_are_refused(spark):
+    from pyspark.errors import PySparkException
+
+    df = spark.createDataFrame([([1.0, 2.0, 3.0], [1.0, 2.0])], "a array<double>, b array<double>")
+    for made in (A.dot(F.col("a"), F.col("b")), A.add_scaled(F.col("a"), F.col("b"))):
+        with pytest.raises(PySparkException, match="different lengths"):
+            df.select(made).collect()
+
+
+def test_pixels_outside_the_range(spark):
+    from pyspark.errors import PySparkException
+
+    df = spark.createDataFrame([([1.01, -1.2, 0.0],)], "v array<double>")
+    assert df.select(A.to_uint8(F.col("v"), saturate=True)).first()[0] == [255, 0, 127]
+    with pytest.raises(PySparkException, match="value off"):
+        df.select(A.to_uint8(F.col("v"))).collect()
+    with pytest.raises(PySparkException, match="not a byte"):
+        spark.range(1).select(A.ints_to_bytes(F.array(F.lit(256)))).collect()

@@ -187,3 +187,48 @@ def test_channel_moments_ignore_partitioning(spark):
     many = moments.channel_moments(df.repartition(9), "v", 2).orderBy("channel").collect()
     for a, b in zip(one, many):
         assert np.allclose((a["mean"], a.variance), (b["mean"], b.variance))
+
+
+def test_joined_projection_refuses_what_does_not_fit(spark):
+    from pyspark.errors import PySparkException
+
+    weights = spark.createDataFrame([(0, [1.0, 2.0]), (1, [3.0, 4.0])], "row int, w array<double>")
+    bias = spark.createDataFrame([(1, 10.0)], "pos int, b double")
+    fits = spark.createDataFrame([(1, [1.0, 1.0])], "id int, v array<double>")
+    assert linalg.project_by_join(fits, "id", "v", weights, "out", bias).first().out == [4.0, 16.0]
+    long = spark.createDataFrame([(1, [1.0, 1.0, 1.0])], "id int, v array<double>")
+    with pytest.raises(PySparkException, match="against 2 matrix rows"):
+        linalg.project_by_join(long, "id", "v", weights, "out").collect()
+    with pytest.raises(ValueError, match="ragged"):
+        linalg.project_by_join(fits, "id", "v", spark.createDataFrame([(0, [1.0]), (1, [1.0, 2.0])], "row int, w array<double>"), "out")
+
+
+def test_joined_projection_in_many_tiles(spark, monkeypatch):
+    monkeypatch.setattr(linalg, "TILE_ROWS", 4)
+    monkeypatch.setattr(linalg, "TILE_COLUMNS", 3)
+    rng = np.random.default_rng(1)
+    x, w = rng.normal(size=(50, 11)), rng.normal(size=(11, 8))
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id int, v array<double>").repartition(3)
+    weights = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(w)], "row int, w array<double>")
+    got = {r.id: r.out for r in linalg.project_by_join(df, "id", "v", weights, "out").collect()}
+    assert np.allclose([got[i] for i in range(50)], x @ w)
+
+
+def test_aligned_mean_refuses_null_and_empty_vectors(spark):
+    for bad in (None, []):
+        df = spark.createDataFrame([("a", [1.0]), ("b", bad)], "name string, v array<double>")
+        with pytest.raises(Exception, match="null vector|empty vector"):
+            linalg.aligned_vector_mean(df, "name", "v").collect()
+
+
+def test_plan_of_many_iterations_stays_small(spark):
+    import time
+
+    rows = spark.createDataFrame([(i, [float(i + j) for j in range(4)], 1.0) for i in range(5)], "c int, v array<double>, u double")
+    made = linalg.rescale_map(rows, "v", "u", num_iters=8)
+    started = time.time()
+    text = made._jdf.queryExecution().toString()
+    assert time.time() - started < 2 and len(text.splitlines()) < 400
+    matrix = np.array([[i + j for j in range(4)] for i in range(5)], float)
+    got = np.array([r.v for r in made.orderBy("c").collect()])
+    assert np.allclose(got, matrix / np.linalg.svd(matrix)[1][0])

@@ -170,3 +170,30 @@ def test_missing_values_are_an_error(spark, kind):
     for run in (moments.vector_moments, quality.score_parts):
         with pytest.raises(PySparkException, match=kind):
             run(df, "v").collect()
+
+
+def test_neighbouring_keys_beside_a_null_stay_apart():
+    import pyarrow as pa
+
+    from samplewright.operators.kernels import group_rows
+
+    big = 1 << 53
+    keys = [big, big + 1, None, big + 1, big, None, 5]
+    batch = pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(["a", "a", "a", "b", "a", None, None])], ["k", "s"])
+    got = {key: index.tolist() for key, index in group_rows(batch, 2)}
+    assert got == {(big, "a"): [0, 4], (big + 1, "a"): [1], (None, "a"): [2], (big + 1, "b"): [3], (None, None): [5], (5, None): [6]}
+
+
+def test_keyed_fold_is_bounded(spark, monkeypatch):
+    """Many keys in one batch: what is held never exceeds the limit by more than one matrix."""
+    from samplewright.operators import moments
+
+    monkeypatch.setattr(moments, "FOLD_BYTES", 3 * 8 * 16 * 16)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 16))
+    df = spark.createDataFrame([(i % 100, r.tolist()) for i, r in enumerate(x)], "k int, v array<double>").coalesce(1)
+    made = moments.vector_moments(df, "v", ["k"])
+    got = {r.k: np.array(r.cross).reshape(16, 16) for r in made.collect()}
+    for k in (0, 57, 99):
+        rows = x[k::100] - x[k::100].mean(axis=0)
+        assert np.allclose(got[k], rows.T @ rows)

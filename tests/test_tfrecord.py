@@ -171,3 +171,38 @@ def test_decode_bytes_checks_length(spark):
     assert rows.select(decode_bytes(F.col("b"), SIZE).alias("p")).first().p == list(image(3))
     with pytest.raises(PySparkException, match="expected 65 bytes"):
         rows.select(decode_bytes(F.col("b"), 65)).collect()
+
+
+def test_records_are_identified_and_read_in_blocks(spark, tmp_path, monkeypatch):
+    from samplewright.sources import register, tfrecord
+    from pyspark.sql import functions as F
+    from pyspark.sql import types as T
+
+    register(spark)
+    path = str(tmp_path / "records")
+    rows = spark.range(200).select(F.lit(b"x" * 50).alias("image_raw"), F.col("id").alias("label"))
+    rows.repartition(3).write.format("tfrecord").mode("append").save(path)
+    schema = "label BIGINT, _shard STRING, _offset BIGINT"
+    got = spark.read.format("tfrecord").schema(schema).option("splitBytes", 1000).load(path).collect()
+    assert len(got) == 200 == len({(r._shard, r._offset) for r in got})
+    assert len({r._shard for r in got}) == 3
+
+    reads = []
+
+    class Counting:
+        def __init__(self, file):
+            self.file = file
+
+        def seek(self, at):
+            self.file.seek(at)
+
+        def read(self, n):
+            reads.append(n)
+            return self.file.read(n)
+
+    reader = tfrecord.TFRecordReader(T._parse_datatype_string("label bigint"), {"path": path})
+    for part in reader.partitions():
+        filesystem, name = tfrecord._open(part.path)
+        with filesystem.open_input_file(name) as file:
+            assert list(reader._payloads(Counting(file), part))
+    assert len(reads) == 3
