@@ -133,12 +133,12 @@ def _merge(a: tuple, b: tuple) -> tuple:
 
 
 def vector_moments(
-    df: DataFrame, vector: str, keys: Sequence[str] = (), fan_in: int = 32
+    df: DataFrame, vector: str, keys: Sequence[str] = (), fan_in: int = 32, most_dims: int | None = None
 ) -> DataFrame:
     """Count, mean and centred cross products of a vector column per key, as tiles.
 
     Result rows can be stored and merged again with :func:`merge_moments`, so moments of appended data
-    need only the new rows.
+    need only the new rows. With ``most_dims`` longer vectors are an error.
     """
     keys = list(keys)
     rows = df.select(*keys, F.col(vector).alias("_vector"))
@@ -153,6 +153,8 @@ def vector_moments(
             if not batch.num_rows:
                 continue
             matrix = vectors_to_matrix(batch.column(len(keys)))
+            if most_dims is not None and matrix.shape[1] > most_dims:
+                raise ValueError(f"vectors of length {matrix.shape[1]}, at most {most_dims} are allowed")
             for key, index in group_rows(batch, len(keys)):
                 x = matrix if index is None else matrix[index]
                 mean = x.mean(axis=0)

@@ -16,20 +16,21 @@ from .kernels import group_rows, vectors_to_matrix
 from .moments import FOLD_BYTES, TILE, vector_moments
 
 # Both matrices of a comparison are put together in one task: 2 x 512 MB at this length.
-MAX_DIM = 8192
+MOST_DIMS = 8192
 
 
 def frechet_distance(
-    df: DataFrame, vector: str, is_generated: str, keys: Sequence[str] = ()
+    df: DataFrame, vector: str, is_generated: str, keys: Sequence[str] = (), most_dims: int = MOST_DIMS
 ) -> DataFrame:
     """Frechet distance between real and generated vectors (Heusel et al. 2017), per key.
 
     |m1 - m2|^2 + Tr(S1 + S2 - 2 (S1 S2)^1/2) with covariances of divisor n - 1. ``is_generated`` is a
     BOOLEAN column. Only the moments are shuffled, never the vectors. Fewer than two rows on a side give
-    null.
+    null. Vectors longer than ``most_dims`` are refused when the first one is read: a comparison holds two
+    matrices of that width in one task.
     """
     keys = list(keys)
-    return frechet_from_moments(vector_moments(df, vector, [*keys, is_generated]), is_generated, keys)
+    return frechet_from_moments(vector_moments(df, vector, [*keys, is_generated], most_dims=most_dims), is_generated, keys)
 
 
 def frechet_from_moments(moments: DataFrame, is_generated: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -62,8 +63,6 @@ def _assemble(tiles: pd.DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
     diagonal = tiles[tiles.ti == tiles.tj].sort_values("ti")
     mean = np.concatenate([np.asarray(m) for m in diagonal.mean_i])
     dim = len(mean)
-    if dim > MAX_DIM:
-        raise ValueError(f"vectors of length {dim}; the comparison of two matrices is limited to {MAX_DIM}")
     n = int(diagonal.n.iloc[0])
     cov = np.empty((dim, dim))
     for ti, tj, mi, mj, cross in zip(tiles.ti, tiles.tj, tiles.mean_i, tiles.mean_j, tiles.cross):

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..operators import losses as L
 from ..operators import metriclog, moments, quality
 from ..operators.raster import spatial_sum as channel_sums
+from ..session import scratch_path
+from ..streaming.moving import read_moving_moments, start_moving_moments
 from .registry import EMB, query, rounded, table
 
 LOSS_NAMES = ["d_loss_real", "d_loss_fake", "d_loss", "g_loss", "logit_real", "logit_fake"]
@@ -98,14 +100,17 @@ def mean_cov(spark: SparkSession, sf_dir: str) -> DataFrame:
     return moments.covariances(made, ["is_generated"]).withColumn("cov", rounded("cov", 8))
 
 
-@query("""WITH days AS (
+_MOVING_SQL = """WITH days AS (
   SELECT event_type, ts::DATE AS day, avg(value) AS m, var_pop(value) AS s FROM events GROUP BY ALL),
 t AS (
   SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY day) AS t, count(*) OVER (PARTITION BY event_type) AS n FROM days)
 SELECT event_type, round(sum(m * 0.001 * power(0.999::DOUBLE, n - t)), 6) + 0.0 AS moving_mean,
   round(power(0.999::DOUBLE, max(n)) + sum(s * 0.001 * power(0.999::DOUBLE, n - t)), 6) + 0.0 AS moving_variance,
   max(n) AS batches
-FROM t GROUP BY event_type""")
+FROM t GROUP BY event_type"""
+
+
+@query(_MOVING_SQL)
 def moving_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily mean and variance per event type, folded in day order."""
     days = table(spark, sf_dir, "events").groupBy("event_type", F.unix_date(F.to_date("ts")).alias("day")).agg(
@@ -117,6 +122,21 @@ def moving_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(_MOVING_SQL)
+def moving_moments_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a stream over the events that runs until it has read them all."""
+    events = table(spark, sf_dir, "events")
+    # The pattern makes a file source of a single file, too.
+    stream = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parque[t]")
+    daily = stream.select("event_type", F.unix_date(F.to_date("ts")).alias("day"), "value")
+    state, checkpoint = scratch_path(spark, "moving"), scratch_path(spark, "moving-checkpoint")
+    start_moving_moments(daily, ["event_type"], "day", "value", state, checkpoint).awaitTermination()
+    made = read_moving_moments(spark, state, ["event_type"], "day")
+    return made.select(
+        "event_type", rounded("moving_mean").alias("moving_mean"), rounded("moving_variance").alias("moving_variance"), "batches"
+    )
+
+
 # --- quality -------------------------------------------------------------------------------------
 
 

@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+# The scratch folder of local runs without a shared one; Python removes it when the process ends.
+_local: list[tempfile.TemporaryDirectory] = []
+
 
 def local_session(cores: int | str = 8, app: str = "samplewright", shuffle_partitions: int = 8) -> SparkSession:
     """Session for tests and the benchmark; on a cluster pass your own session instead."""
@@ -29,13 +32,15 @@ def local_session(cores: int | str = 8, app: str = "samplewright", shuffle_parti
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder below the cluster's shared ``spark.checkpoint.dir``.
 
-    A machine-local folder is made up only for a local master that names none.
+    A machine-local folder is made up only for a local master that names none, and removed with the process.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        shared = tempfile.mkdtemp(prefix="samplewright-")
+        if not _local:
+            _local.append(tempfile.TemporaryDirectory(prefix="samplewright-"))
+        shared = _local[0].name
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

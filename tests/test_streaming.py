@@ -1,14 +1,12 @@
 """Streams end in the state that a batch over the same rows gives."""
 
-import os
-
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from samplewright.operators import moments, quality
 from samplewright.streaming.metriclog import start_metric_log
-from samplewright.streaming.moving import start_moving_moments
+from samplewright.streaming.moving import read_moving_moments, start_moving_moments
 from samplewright.streaming.snapshots import SnapshotMetrics, read_metrics
 
 RNG = np.random.default_rng(5)
@@ -24,29 +22,29 @@ def _drop(df, path, name):
 
 
 def test_moving_moments_stream_equals_batch(spark, sf_dir, tmp_path):
+    """All days, the last one too, and rows of a day that come in different files and out of order."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select(
-        F.col("ts").cast("timestamp").alias("ts"), "event_type", "value"
+        F.unix_date(F.to_date("ts")).alias("day"), "event_type", "value"
     )
     source, state, checkpoint = (str(tmp_path / d) for d in ("in", "state", "checkpoint"))
-    _drop(events.filter("ts < '2024-01-11'"), source, "a")
-    _drop(events.filter("ts >= '2024-01-11' and ts < '2024-01-20'"), source, "b")
+    middle = F.lit(19733)  # 2024-01-11
+    late = F.pmod(F.xxhash64("value"), F.lit(5)) == 0
+    _drop(events.filter((F.col("day") >= middle) & ~late), source, "a")
+    _drop(events.filter((F.col("day") < middle) & ~late), source, "b")
 
     def run():
-        query = start_moving_moments(_stream(spark, events.schema, source), "event_type", "ts", "value", state, checkpoint)
-        query.awaitTermination()
+        stream = _stream(spark, events.schema, source)
+        start_moving_moments(stream, ["event_type"], "day", "value", state, checkpoint).awaitTermination()
 
     run()
-    # A second run takes up the stored state and the rest of the files.
-    _drop(events.filter("ts >= '2024-01-20'"), source, "c")
+    # A second run takes up where the first ended.
+    _drop(events.filter(late), source, "c")
     run()
-    last = max(int(name.split("=")[1]) for name in os.listdir(state))
-    got = {r.event_type: r for r in spark.read.parquet(f"{state}/version={last}").collect()}
-    days = events.groupBy("event_type", F.unix_date(F.to_date("ts")).alias("day")).agg(
-        F.avg("value").alias("mean"), F.var_pop("value").alias("variance")
-    )
-    # The last day stays open: nothing later has moved the watermark past it.
-    closed = days.filter(F.col("day") < days.agg(F.max("day")).first()[0])
-    for want in moments.moving_moments(closed, "day", ["event_type"]).collect():
+    got = {r.event_type: r for r in read_moving_moments(spark, state, ["event_type"], "day").collect()}
+    days = events.groupBy("event_type", "day").agg(F.avg("value").alias("mean"), F.var_pop("value").alias("variance"))
+    wanted = moments.moving_moments(days, "day", ["event_type"]).collect()
+    assert len(wanted) == len(got)
+    for want in wanted:
         row = got[want.event_type]
         assert row.batches == want.batches
         assert np.allclose((row.moving_mean, row.moving_variance), (want.moving_mean, want.moving_variance))
