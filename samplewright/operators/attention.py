@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,8 +15,9 @@ from pyspark.sql.pandas.types import to_arrow_type
 from ..functions.arrays import doubles, required
 from .kernels import DOUBLES, image_kernel, matrix_to_vectors, vectors_to_matrix
 
-# A task holds one block of queries, one of keys and their block_rows^2 scores (32 MB).
+# A task holds one span of queries, one of keys, and the scores of a block of each (32 MB).
 BLOCK_ROWS = 2048
+SPAN_ROWS = 1 << 17
 
 
 def softmax_attend(
@@ -33,9 +35,10 @@ def softmax_attend(
     """sum_k softmax_k(q . k) v_k over the keys of the query's group: (group, query_id, output).
 
     ``query_id`` and ``key_id`` are unique within a group. Scores are raw dot products. Queries and keys
-    meet as blocks, and no (query, key) pair ever becomes a row. Groups larger than a block are cut into
-    blocks on both sides; every query block meets every key block of its group, and the partial softmax
-    sums of a query merge exactly. A query whose group has no keys gets null; a null group is an error.
+    meet as spans, and no (query, key) pair ever becomes a row. Groups larger than a block are cut into
+    spans on both sides; every query span meets every key span of its group in one task, which works block
+    by block and gives one partial softmax sum per query; these merge exactly. A query whose group has no
+    keys gets null; a null group is an error.
     """
     # New column names on both sides: queries and keys may come from the same table.
     in_group = required(F.col(group), group).alias("_g")
@@ -44,66 +47,77 @@ def softmax_attend(
         in_group, F.col(key_id).alias("_id"),
         doubles(F.col(key)).alias("_k"), doubles(F.col(value)).alias("_v"),
     )
-    q_sizes = q.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
-    k_sizes = k.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
-    largest = q_sizes.unionAll(k_sizes).agg(F.max("_n")).first()[0] or 0
-    group_field = T.StructField("_g", queries.schema[group].dataType)
-    id_field = T.StructField("_id", queries.schema[query_id].dataType)
-    partial_schema = T.StructType([
-        group_field, T.StructField("_qb", T.IntegerType()), id_field,
-        T.StructField("_max", T.DoubleType()), T.StructField("_sum", T.DoubleType()), T.StructField("_acc", DOUBLES),
-    ])
-    if largest <= block_rows:
-        parts = q.withColumn("_qb", F.lit(0)).groupBy("_g").cogroup(k.groupBy("_g")).applyInArrow(_attend_block, partial_schema)
-        attended = F.transform("_acc", lambda x: x / F.col("_sum"))
-        return parts.select(F.col("_g").alias(group), F.col("_id").alias(query_id), attended.alias(output))
-
-    blocks = q_sizes.withColumnRenamed("_n", "_nq").join(k_sizes.withColumnRenamed("_n", "_nk"), "_g", "left")
-    blocks = blocks.select(
-        "_g",
-        F.ceil(F.col("_nq") / block_rows).cast("int").alias("_q_blocks"),
-        F.coalesce(F.ceil(F.col("_nk") / block_rows), F.lit(1)).cast("int").alias("_k_blocks"),
-    )
-    # A block pair is little data but much arithmetic, so the number of tasks must not follow from the bytes.
-    pairs = blocks.agg(F.sum(F.col("_q_blocks").cast("bigint") * F.col("_k_blocks"))).first()[0]
     spark = queries.sparkSession
-    tasks = min(pairs, 8 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
-    q = q.join(blocks, "_g").select(
+    # A pair of spans is little data but much arithmetic, so the number of tasks must not follow from the bytes.
+    tasks = 8 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    q_spans = _spans(q, "_q_spans", block_rows, tasks)
+    k_spans = _spans(k, "_k_spans", block_rows, tasks).withColumnRenamed("_g", "_kg")
+    spans = q_spans.join(k_spans, F.col("_g") == F.col("_kg"), "left").select(
+        "_g", "_q_spans", F.coalesce("_k_spans", F.lit(1)).alias("_k_spans")
+    )
+    q = q.join(spans, "_g").select(
         "_g", "_id", "_q",
-        F.pmod(F.xxhash64("_id"), F.col("_q_blocks")).cast("int").alias("_qb"),
-        F.explode(F.sequence(F.lit(0), F.col("_k_blocks") - 1)).alias("_kb"),
+        F.pmod(F.xxhash64("_id"), F.col("_q_spans")).cast("int").alias("_qb"),
+        F.explode(F.sequence(F.lit(0), F.col("_k_spans") - 1)).alias("_kb"),
     )
-    k = k.join(blocks, "_g").select(
+    k = k.join(spans, "_g").select(
         F.col("_g").alias("_kg"), "_k", "_v",
-        F.pmod(F.xxhash64("_id"), F.col("_k_blocks")).cast("int").alias("_with_kb"),
-        F.explode(F.sequence(F.lit(0), F.col("_q_blocks") - 1)).alias("_with_qb"),
+        F.pmod(F.xxhash64("_id"), F.col("_k_spans")).cast("int").alias("_with_kb"),
+        F.explode(F.sequence(F.lit(0), F.col("_q_spans") - 1)).alias("_with_qb"),
     )
     q = q.repartition(tasks, "_g", "_qb", "_kb")
     k = k.repartition(tasks, "_kg", "_with_qb", "_with_kb")
+    group_field = T.StructField("_g", queries.schema[group].dataType)
+    id_field = T.StructField("_id", queries.schema[query_id].dataType)
+    partial_schema = T.StructType([
+        group_field, T.StructField("_qb", T.IntegerType()), id_field,
+        T.StructField("_max", T.DoubleType()), T.StructField("_sum", T.DoubleType()), T.StructField("_acc", DOUBLES),
+    ])
     met = q.groupBy("_g", "_qb", "_kb").cogroup(k.groupBy("_kg", "_with_qb", "_with_kb"))
-    parts = met.applyInArrow(_attend_block, partial_schema)
+    parts = met.applyInArrow(_attender(block_rows), partial_schema)
     out_schema = T.StructType([group_field, id_field, T.StructField(output, DOUBLES)])
     merged = parts.groupBy("_g", "_qb").applyInArrow(_merger(out_schema), out_schema)
     return merged.withColumnsRenamed({"_g": group, "_id": query_id})
 
 
-def _attend_block(q: pa.Table, k: pa.Table) -> pa.Table:
-    """Unnormalised attention of one query block over one key block, shifted by each row's maximum."""
-    group = q.column("_g").combine_chunks()
-    ids = q.column("_id").combine_chunks()
-    n = q.num_rows
-    q_matrix = _matrix(q, "_q")
-    if n and k.num_rows:
-        scores = q_matrix @ _matrix(k, "_k").T
-        top = scores.max(axis=1)
-        weights = np.exp(scores - top[:, None])
-        total = weights.sum(axis=1)
-        acc = matrix_to_vectors(weights @ _matrix(k, "_v"))
-    else:
-        top, total, acc = np.full(n, -np.inf), np.zeros(n), pa.nulls(n, pa.list_(pa.float64()))
-    block = q.column("_qb").combine_chunks().cast(pa.int32())
-    names = ["_g", "_qb", "_id", "_max", "_sum", "_acc"]
-    return pa.table([group, block, ids, pa.array(top), pa.array(total), acc], names=names)
+def _spans(rows: DataFrame, name: str, block_rows: int, tasks: int) -> DataFrame:
+    """Spans per group: about the root of the tasks for large groups, so that a row is copied no more often.
+
+    More only where a span would have too many rows to hold.
+    """
+    n = F.count(F.lit(1))
+    shared = F.least(F.ceil(n / block_rows), F.lit(math.isqrt(tasks)))
+    return rows.groupBy("_g").agg(F.greatest(shared, F.ceil(n / SPAN_ROWS), F.lit(1)).cast("int").alias(name))
+
+
+def _attender(block_rows: int):
+    """Unnormalised attention of one query span over one key span, shifted by each row's maximum."""
+
+    def attend(q: pa.Table, k: pa.Table) -> pa.Table:
+        n, m = q.num_rows, k.num_rows
+        q_matrix = _matrix(q, "_q")
+        if n and m:
+            k_matrix, v_matrix = _matrix(k, "_k"), _matrix(k, "_v")
+            top, total, acc = np.full(n, -np.inf), np.zeros(n), np.zeros((n, v_matrix.shape[1]))
+            for i in range(0, n, block_rows):
+                here = slice(i, i + block_rows)
+                for j in range(0, m, block_rows):
+                    scores = q_matrix[here] @ k_matrix[j:j + block_rows].T
+                    peak = np.maximum(top[here], scores.max(axis=1))
+                    shrink = np.exp(top[here] - peak)
+                    weights = np.exp(scores - peak[:, None])
+                    total[here] = total[here] * shrink + weights.sum(axis=1)
+                    acc[here] = acc[here] * shrink[:, None] + weights @ v_matrix[j:j + block_rows]
+                    top[here] = peak
+            vectors = matrix_to_vectors(acc)
+        else:
+            top, total, vectors = np.full(n, -np.inf), np.zeros(n), pa.nulls(n, pa.list_(pa.float64()))
+        columns = [q.column(c).combine_chunks() for c in ("_g", "_qb", "_id")]
+        columns[1] = columns[1].cast(pa.int32())
+        names = ["_g", "_qb", "_id", "_max", "_sum", "_acc"]
+        return pa.table([*columns, pa.array(top), pa.array(total), vectors], names=names)
+
+    return attend
 
 
 def _matrix(table: pa.Table, name: str) -> np.ndarray:

@@ -267,20 +267,33 @@ def projection_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- attention -----------------------------------------------------------------------------------
 
 
-@query(f"""WITH {EMB},
+_ATTENTION_SQL = f"""WITH {EMB},
 dots AS (
   SELECT a.label, a.vec_id AS q, b.vec_id AS k, sum(a.v * b.v) AS s
   FROM emb a JOIN emb b ON a.label = b.label AND a.j = b.j GROUP BY ALL),
 e AS (SELECT *, exp(s - max(s) OVER (PARTITION BY q)) AS e FROM dots),
 a AS (SELECT q, k, e / sum(e) OVER (PARTITION BY q) AS a FROM e)
 SELECT q AS vec_id, j::INTEGER AS pos, round(sum(a * v), 6) + 0.0 AS v
-FROM a JOIN emb ON k = emb.vec_id GROUP BY q, j""")
+FROM a JOIN emb ON k = emb.vec_id GROUP BY q, j"""
+
+
+@query(_ATTENTION_SQL)
 def attention_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector attends to all vectors of its label."""
+    return _attention(spark, sf_dir, attention.BLOCK_ROWS)
+
+
+@query(_ATTENTION_SQL)
+def attention_group_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same in blocks small enough to cut each label into several spans."""
+    return _attention(spark, sf_dir, 16)
+
+
+def _attention(spark: SparkSession, sf_dir: str, block_rows: int) -> DataFrame:
     rows = _embeddings(spark, sf_dir).select(
         "label", "vec_id", F.col("embedding").alias("q"), F.col("embedding").alias("k"), F.col("embedding").alias("v")
     )
-    return _tall(attention.softmax_attend(rows, rows, "label", "vec_id", "vec_id"), "attended")
+    return _tall(attention.softmax_attend(rows, rows, "label", "vec_id", "vec_id", block_rows=block_rows), "attended")
 
 
 # Fixed 1x1 projections for 4 x 4 x 4 images: 4 -> 2, 4 -> 2, 4 -> 2, 2 -> 4.
