@@ -10,33 +10,102 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
-from ..functions.arrays import whole_div
+from ..functions.arrays import doubles, whole_div
 from .kernels import group_rows, vectors_to_matrix
 from .ranking import ordered_rank
 
 
-# --- per channel and per position: plain aggregates ----------------------------------------------
+# What a task holds of partial results before it passes them on.
+FOLD_BYTES = 256 << 20
+
+
+# --- per channel and per position ----------------------------------------------------------------
+
+
+def position_moments(df: DataFrame, vector: str, keys: Sequence[str] = (), branches: int = 32) -> DataFrame:
+    """Count, and mean and sum of squared deviations at each position, per key: (keys, n, mean, m2).
+
+    Tasks fold their rows into two vectors per key; these merge exactly, first within ``branches`` groups of
+    tasks, then across them. Ragged and null vectors are errors.
+    """
+    keys = list(keys)
+    schema = T.StructType([
+        *[df.schema[k] for k in keys], T.StructField("branch", T.IntegerType()), T.StructField("n", T.LongType()),
+        T.StructField("mean", T.ArrayType(T.DoubleType())), T.StructField("m2", T.ArrayType(T.DoubleType())),
+    ])
+    target = to_arrow_schema(schema)
+
+    def add(held: dict, key: tuple, n: int, mean: np.ndarray, m2: np.ndarray) -> int:
+        old = held.get(key)
+        if old is None:
+            held[key] = (n, mean, m2)
+            return mean.nbytes + m2.nbytes
+        if old[1].shape != mean.shape:
+            raise ValueError("vectors of different lengths")
+        total, gap = old[0] + n, mean - old[1]
+        held[key] = (total, old[1] + gap * (n / total), old[2] + m2 + gap * gap * (old[0] * n / total))
+        return 0
+
+    def result(held: dict, branch: int) -> Iterator[pa.RecordBatch]:
+        for key, part in held.items():
+            values = [*key, branch, *part]
+            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, target)], schema=target)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        branch = TaskContext.get().partitionId() % branches
+        held: dict = {}
+        held_bytes = 0
+        for batch in batches:
+            for key, index in group_rows(batch, len(keys)) if batch.num_rows else ():
+                column = batch.column(len(keys))
+                x = vectors_to_matrix(column if index is None else column.take(pa.array(index)))
+                mean = x.mean(axis=0)
+                held_bytes += add(held, key, len(x), mean, ((x - mean) ** 2).sum(axis=0))
+                if held_bytes > FOLD_BYTES:
+                    yield from result(held, branch)
+                    held, held_bytes = {}, 0
+        yield from result(held, branch)
 
+    def merge_on(levels: int):
+        def merge(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: dict = {}
+            values = tuple(k.as_py() for k in key)
+            for batch in batches:
+                for n, mean, m2 in zip(batch.column("n").to_pylist(), batch.column("mean"), batch.column("m2")):
+                    add(held, values[:len(keys)], n, mean.values.to_numpy(), m2.values.to_numpy())
+            yield from result(held, values[-1] if levels == 2 else 0)
 
-def _elements(df: DataFrame, vector: str, keys: Sequence[str]) -> DataFrame:
-    tall = df.select(*keys, F.posexplode(vector).alias("pos", "v"))
-    return tall.withColumn("v", F.col("v").cast("double"))
+        return merge
+
+    folded = df.select(*keys, doubles(F.col(vector)).alias("_x")).mapInArrow(fold, schema)
+    within = folded.groupBy(*keys, "branch").applyInArrow(merge_on(2), schema)
+    whole = within.withColumn("branch", F.lit(0)).groupBy(*keys, "branch").applyInArrow(merge_on(1), schema)
+    return whole.drop("branch")
+
+
+def _positions(df: DataFrame, vector: str, keys: Sequence[str]) -> DataFrame:
+    """(keys, n, pos, mean, m2): as many rows as a vector is long."""
+    pairs = F.arrays_zip("mean", "m2")
+    tall = position_moments(df, vector, keys).select(*keys, "n", F.posexplode(pairs).alias("pos", "_p"))
+    return tall.select(*keys, "n", "pos", F.col("_p.mean").alias("mean"), F.col("_p.m2").alias("m2"))
 
 
 def channel_moments(df: DataFrame, vector: str, channels: int, keys: Sequence[str] = ()) -> DataFrame:
-    """Mean and population variance per channel over all rows and positions of flat images."""
-    tall = _elements(df, vector, keys).withColumn("channel", F.col("pos") % channels)
-    return tall.groupBy(*keys, "channel").agg(F.avg("v").alias("mean"), F.var_pop("v").alias("variance"))
+    """Mean and population variance per channel over all rows and positions of flat images of one size."""
+    tall = _positions(df, vector, keys).withColumn("channel", F.col("pos") % channels)
+    # All positions have the same number of rows: the variance is that within positions and that of their means.
+    return tall.groupBy(*keys, "channel").agg(
+        F.avg("mean").alias("_mean"), (F.avg(F.col("m2") / F.col("n")) + F.var_pop("mean")).alias("variance")
+    ).withColumnRenamed("_mean", "mean").select(*keys, "channel", "mean", "variance")
 
 
 def batch_moments(df: DataFrame, vector: str, keys: Sequence[str] = ()) -> DataFrame:
     """Mean and variance over the rows at each position, then averaged over positions."""
-    per_position = _elements(df, vector, keys).groupBy(*keys, "pos").agg(
-        F.avg("v").alias("_m"), F.var_pop("v").alias("_s")
-    )
-    return per_position.groupBy(*keys).agg(F.avg("_m").alias("mean"), F.avg("_s").alias("mean_variance"))
+    return _positions(df, vector, keys).groupBy(*keys).agg(
+        F.avg("mean").alias("_mean"), F.avg(F.col("m2") / F.col("n")).alias("mean_variance")
+    ).withColumnRenamed("_mean", "mean")
 
 
 def moments_as_arrays(moments: DataFrame) -> Column:
@@ -102,7 +171,6 @@ def moving_moments(
 # one more; while merging, one tile.
 
 TILE = 256
-FOLD_BYTES = 256 << 20
 
 
 def tile_schema(df: DataFrame, keys: Sequence[str]) -> T.StructType:
