@@ -69,7 +69,7 @@ def _word_ids(words: list[str], tokenizer, known: dict[str, bytes], kind: type)
     plans, missing = [], {}
     for word in words:
         parts = (word,)
-        if word not in known and max(word) < "Ā":
+        if word and word not in known and max(word) < "Ā":
             low = word.lower()
             stem = low.rstrip(_MARKS)
             if stem.isalpha():
@@ -85,9 +85,8 @@ def _word_ids(words: list[str], tokenizer, known: dict[str, bytes], kind: type)
         for name, coded in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
             fresh[name] = np.array(coded.ids, kind).tobytes()
     out = [b"".join([fresh[p] if p in fresh else known[p] for p in parts]) for parts in plans]
-    if len(known) + len(fresh) > _REMEMBERED:
-        known.clear()
-    if len(fresh) <= _REMEMBERED:
+    # Frequent words come early; once the memory is full, rare ones are worked out again.
+    if len(known) < _REMEMBERED:
         known.update(fresh)
     return out
 
@@ -100,7 +99,7 @@ def _tokenize(shared, end_id: int, kind: type, by_word: bool, schema: T.StructTy
         end = np.array([end_id], kind)
         width = np.dtype(kind).itemsize
         for batch in batches:
-            for piece in pieces(batch, 1):
+            for piece in pieces(batch, 1, 8 << 20):
                 if by_word:
                     offsets, distinct, index = word_lists(mapped_bytes(piece.column(1), _SPACES))
                     coded = _word_ids(distinct.to_pylist(), tokenizer, known, kind)
@@ -129,8 +128,8 @@ def _tally(kind: type):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for data in batch.column(0).to_pylist():
-                seen = np.bincount(np.frombuffer(data, kind))
+            for piece in pieces(batch, 0):
+                seen = np.bincount(np.frombuffer(b"".join(piece.column(0).to_pylist()), kind))
                 if len(seen) > len(total):
                     total = np.concatenate([total, np.zeros(len(seen) - len(total), np.int64)])
                 total[: len(seen)] += seen
