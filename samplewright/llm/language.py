@@ -23,8 +23,8 @@ DIM = len(SIZES) * BUCKETS
 UNKNOWN = "und"
 #: Limits of the classes of text length (in letters and gaps) that have rejection distances of their own.
 LENGTH_CLASSES = (10, 25, 50, 200, 1000)
-#: Sampled texts a class needs to have a distance at all.
-LEAST_SAMPLED = 10
+#: Sampled texts a class needs to have a distance at all, and letters and gaps a text needs to be rejected by it.
+LEAST_SAMPLED, LEAST_LETTERS = 10, 200
 
 #: Texts whose vectors are held at once.
 _ROWS = 256
@@ -134,8 +134,8 @@ def fit(
     from a sample of at most ``fit_rows`` rows of it, those with the smallest hashes of their text, so that
     repeated texts and the order of rows don't matter. The floor below which a text is rejected is ``slack``
     times the smallest cosine that a sampled text of the same language and length class has to its nearest
-    centroid, 0 where there is none. If there is nothing to learn from,
-    the model knows no language and rejects every text.
+    centroid, 0 where there are fewer than ``LEAST_SAMPLED`` of them and for short texts, which say too
+    little. If there is nothing to learn from, the model knows no language and rejects every text.
     """
     ship(training.sparkSession)
     rows = training.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
@@ -149,9 +149,13 @@ def fit(
     idf = np.log((1 + total) / (1 + seen)).astype(np.float32) + 0.05
 
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text_h"))
+    # A first cut inside shares of a language, so that no task sees all of a common one.
+    share = F.pmod(F.col("text_h"), F.lit(64))
+    first = F.row_number().over(Window.partitionBy("lang", share).orderBy("h", "text_h"))
     keyed = rows.select("lang", "text", F.xxhash64("text").alias("text_h"), F.hash("text").alias("h"))
-    limits = keyed.select("lang", "h", "text_h").distinct().withColumn("rank", rank).where(F.col("rank") <= fit_rows)
-    picked = keyed.join(F.broadcast(limits.drop("rank")), ["lang", "h", "text_h"], "left_semi")
+    limits = keyed.select("lang", "h", "text_h").distinct().withColumn("first", first).where(F.col("first") <= fit_rows)
+    limits = limits.withColumn("rank", rank).where(F.col("rank") <= fit_rows)
+    picked = keyed.join(F.broadcast(limits.drop("rank", "first")), ["lang", "h", "text_h"], "left_semi")
     found = picked.dropDuplicates(["lang", "text_h"]).select("lang", "text").mapInArrow(_sampled_vectors, "lang string, counts binary").collect()
     languages = sorted({r.lang for r in found})
     if not languages:
@@ -169,7 +173,8 @@ def fit(
         length_class = np.searchsorted(LENGTH_CLASSES, _length(counts))
         for k in range(floors.shape[1]):
             mine = nearest[length_class == k]
-            floors[i, k] = mine.min() * slack if len(mine) >= LEAST_SAMPLED else 0.0
+            long_enough = k > 0 and LENGTH_CLASSES[k - 1] >= LEAST_LETTERS
+            floors[i, k] = mine.min() * slack if long_enough and len(mine) >= LEAST_SAMPLED else 0.0
     return Centroids(idf, np.concatenate(all_rows).astype(np.float32), np.array(language_of), languages, floors)
 
 
