@@ -178,7 +178,7 @@ def fit(
     return Centroids(idf, np.concatenate(all_rows).astype(np.float32), np.array(language_of), languages, floors)
 
 
-def _predict(shared, schema: T.StructType):
+def _predict(shared, schema: T.StructType, inside: str | None):
     target = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +187,8 @@ def _predict(shared, schema: T.StructType):
         for batch in batches:
             n = batch.num_rows
             language, score, rejected = np.full(n, len(model.languages)), np.zeros(n), np.ones(n, bool)
-            texts = batch.column(1)
+            # The text travels once: as a field of the row, if it is one of its columns.
+            texts = batch.column(1) if inside is None else batch.column(0).field(inside)
             for start in range(0, n, _ROWS):
                 vectors = [_vector(t or "") for t in texts.slice(start, _ROWS).to_pylist()]
                 known = [i for i, v in enumerate(vectors) if v is not None]
@@ -210,7 +211,9 @@ def identify(docs: DataFrame, text_col: str, model: Centroids, keep: Sequence[st
     """
     ship(docs.sparkSession)
     kept = [F.col(f"`{c}`") for c in (docs.columns if keep is None else keep)]
-    packed = docs.select(F.struct(*kept).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    inside = text_col if dict(docs.dtypes)[text_col] == "string" and (keep is None or text_col in keep) else None
+    extra = [] if inside else [F.col(f"`{text_col}`").cast("string").alias("text")]
+    packed = docs.select(F.struct(*kept).alias("row"), *extra)
     schema = T.StructType([packed.schema["row"]]).add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return packed.mapInArrow(_predict(shared, schema), schema)
+    return packed.mapInArrow(_predict(shared, schema, inside), schema)

@@ -29,7 +29,7 @@ from .arrow import mapped_bytes, pieces, word_lists
 #: Ids in a block, ids in a shard, steps between checkpoints.
 BLOCK_IDS, SHARD_IDS, CHECKPOINT_STEPS = 1 << 19, 1 << 24, 128
 #: Words whose ids a Python worker remembers.
-_REMEMBERED = 300_000
+_REMEMBERED = 200_000
 
 _SPACES = bytes(32 if c in b"\t\n\x0b\x0c\r" else c for c in range(256))
 _MARKS = "".join(c for c in string.punctuation if c != "'")
@@ -99,7 +99,7 @@ def _tokenize(shared, end_id: int, kind: type, by_word: bool, schema: T.StructTy
         end = np.array([end_id], kind)
         width = np.dtype(kind).itemsize
         for batch in batches:
-            for piece in pieces(batch, 1, 8 << 20):
+            for piece in pieces(batch, 1):
                 if by_word:
                     offsets, distinct, index = word_lists(mapped_bytes(piece.column(1), _SPACES))
                     coded = _word_ids(distinct.to_pylist(), tokenizer, known, kind)
