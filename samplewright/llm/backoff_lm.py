@@ -1,14 +1,16 @@
 """Language-model scores from a weighted backoff automaton.
 
-The lowest order is a unigram model over all words of the training texts. Higher orders hold the n-grams whose
-share of the training words is at least ``least_share``; so there are at most 1 / least_share n-grams of each
-order at any size of the corpus, and the automaton can be held by every task. An n-gram can only be that
-frequent if all its words are, so only runs of frequent words are ever counted.
+The lowest order is a unigram model over all words of the training texts. Higher orders hold the n-grams that
+occur at least twice, whatever the size of the corpus. An n-gram can only be kept if what it begins and ends with
+is, so filters over the order below leave few others to be counted.
 
 States are the contexts, arcs lead from a state over a word to a state and carry a log-probability (absolute
 discounting), and every state but the root has a failure arc to its suffix, whose weight makes the
-probabilities of all words add up to one. A text is scored in one walk from left to right. Rare words have no
-arcs: they fall through to the root, and their unigram terms are added in a join with the table of all words.
+probabilities of all words add up to one. The arcs of frequent n-grams are held by every task, which scores a
+text in one walk from left to right; there are at most 1 / least_share of each order. Each other n-gram
+changes the score of a text that has it by a fixed term: its own log-probability and its weight as a context,
+less what the walk gives for it by backing off. Tables hold these terms, and those of rare words, and a join
+adds them up.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +30,19 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..session import store
 from ..shipping import ship
+from . import keyfilter
 from .arrow import pieces, word_hashes, word_lists
 
 #: Hash of the end of a text, which counts as a word.
 END = 0x5DEECE66D
 #: Words per task that are summed up before they are passed on.
 _FLUSH = 4_000_000
+#: The same for n-grams.
+_HELD = 1_500_000
+#: How often an n-gram must occur to be kept.
+LEAST = 2
+#: Bits of the filters that tasks hold: 32 MB.
+_BITS = 1 << 28
 
 
 def _cut(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -82,38 +92,81 @@ def _number(words: np.ndarray, table: np.ndarray) -> np.ndarray:
     return np.where(table[at] == words, at + 1, 0)
 
 
-def _count_grams(frequent, order: int, bits: int):
-    """Counts of the n-grams of orders 2 to ``order`` whose words are all frequent, added up per task.
+def _pair(pre: np.ndarray, suf: np.ndarray) -> np.ndarray:
+    """Key of an n-gram by the keys of what it begins and what it ends with, which overlap but for a word each."""
+    x = pre * np.uint64(0x9E3779B97F4A7C15)
+    x = ((x ^ (x >> np.uint64(32))) + suf) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(32))
 
-    An n-gram is one number: its words' numbers, ``bits`` each, the last word lowest.
-    """
+
+def _grams(offsets: np.ndarray, words: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(keys, place of the last word, keys by place) of the n-grams of each order from 1, none over the end of a text."""
+    keys, whole = words, np.ones(len(words), bool)
+    first = np.zeros(len(words) + 1, bool)
+    first[offsets[:-1]] = True
+    for size in range(1, order + 1):
+        if size > 1:
+            keys = _pair(keys[:-1], keys[1:])
+            whole = whole[:-1] & ~first[size - 1 : len(words)]
+        yield keys[whole], np.flatnonzero(whole) + size - 1, keys
+
+
+def _filter(keys: DataFrame, key: str) -> np.ndarray:
+    """The bits of a membership filter over keys, as bytes; it misses none and has the same size for any number."""
+    bits = np.zeros((_BITS // keyfilter.PAGE, keyfilter.PAGE // 8), np.uint8)
+    pages = keyfilter.build(keys, key, _BITS).toArrow()  # at most _BITS / PAGE rows
+    for page, bitmap in zip(pages["page"], pages["bitmap"], strict=True):
+        bits[page.as_py()] = np.frombuffer(bitmap.as_py(), np.uint8)
+    return bits.reshape(-1)
+
+
+def _maybe(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    at = keys & np.uint64(_BITS - 1)
+    return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+
+def _count_grams(shared, size: int):
+    """Counts of n-grams by what they begin and end with, added up per task, if the filter may have both of these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = frequent.value
-        keys, counts, held = [], [], 0
+        bits = shared.value
+        held: list[list[np.ndarray]] = []
+
+        def summed() -> list[np.ndarray]:
+            key, pre, suf, n = (np.concatenate(c) for c in zip(*held, strict=True))
+            _, at, place = np.unique(key, return_index=True, return_inverse=True)
+            return [key[at], pre[at], suf[at], np.bincount(place, n, len(at)).astype(np.int64)]
+
+        def out() -> pa.RecordBatch:
+            _, pre, suf, n = summed()
+            return pa.RecordBatch.from_arrays([pa.array(pre.view(np.int64)), pa.array(suf.view(np.int64)), pa.array(n)], ["pre", "suf", "n"])
+
         for batch in batches:
             for piece in pieces(batch, 0):
                 offsets, words = _cut(piece.column(0))
-                number = _number(words, table)
-                first = np.zeros(len(words) + 1, bool)
-                first[offsets[:-1]] = True
-                gram, whole = number, number > 0
-                for size in range(2, order + 1):
-                    # What ends one word earlier, unless a text begins here or a word is rare.
-                    whole = whole[:-1] & (number[size - 1 :] > 0) & ~first[size - 1 : len(words)]
-                    gram = (gram[:-1] << bits) | number[size - 1 :]
-                    key, n = np.unique(gram[whole], return_counts=True)
-                    keys.append(key.view(np.uint64))
-                    counts.append(n.astype(np.int64))
-                    held += len(key)
-            if held > _FLUSH // 2:
-                yield _key_batch(*_summed(keys, counts))
-                keys, counts, held = [], [], 0
-        yield _key_batch(*_summed(keys, counts))
+                *_, (_, _, lower), (key, place, _) = _grams(offsets, words, size)
+                at = place - size + 1
+                pre, suf = lower[at], lower[at + 1]
+                kept = _maybe(pre, bits) & _maybe(suf, bits)
+                held.append([key[kept], pre[kept], suf[kept], np.ones(int(kept.sum()), np.int64)])
+                if sum(len(h[0]) for h in held) > _HELD:
+                    held = [summed()]
+                    if len(held[0][0]) > _HELD // 2:
+                        yield out()
+                        held = []
+        if held:
+            yield out()
 
     return run
 
 
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        pre, suf = (batch.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in (0, 1))
+        yield pa.RecordBatch.from_arrays([pa.array(_pair(pre, suf).view(np.int64)), *batch.columns], ["key", "pre", "suf", "n"])
+
+
 @dataclass
 class Automaton:
     """The model: arcs by state * width + word number, failure arcs, and what unigrams need."""
@@ -160,78 +213,61 @@ def unigram(count: np.ndarray, total: int, distinct: int, discount: float) -> np
 def build(
     frequent: np.ndarray,
     frequent_counts: np.ndarray,
-    grams: np.ndarray,
-    gram_counts: np.ndarray,
-    bits: int,
+    weights: dict[int, float],
+    grams: list[pa.Table],
     total: int,
     distinct: int,
     discount: float,
 ) -> Automaton:
-    """The automaton of the kept n-grams."""
-    mask = (1 << bits) - 1
+    """The automaton of the frequent n-grams, tables (key, pre, suf, p) by order from 2.
+
+    ``weights`` are those of the whole model's contexts by key.
+    """
     width = len(frequent) + 1
-    kept = dict(zip(grams.tolist(), gram_counts.tolist(), strict=True))
-    single = [0, *frequent_counts.tolist()]
-    chance = [0.0, *unigram(frequent_counts, total, distinct, discount).tolist()]
-    contexts: dict[int, list[int]] = {}
-    for gram in sorted(kept):
-        contexts.setdefault(gram >> bits, []).append(gram & mask)
-    ordered = sorted(contexts, key=lambda h: (h > mask, h))  # shorter contexts first
-    state_of = {h: i for i, h in enumerate(ordered, 1)}
-
-    def suffix_state(gram: int) -> int:
+    chance = unigram(frequent_counts, total, distinct, discount).tolist()
+    last = {k: i for i, k in enumerate(frequent.view(np.int64).tolist(), 1)}  # a key's last word
+    shorter = dict.fromkeys(last, 0)  # the key without its first word
+    rows = [(0, 0, w, p) for w, p in zip(last, chance, strict=True)]
+    for table in grams:
+        for key, pre, suf, p in zip(*(table[c].to_pylist() for c in ("key", "pre", "suf", "p")), strict=True):
+            last[key], shorter[key] = last[suf], suf
+            rows.append((pre, suf, key, p))
+    states = [k for k in last if k in weights]  # shorter contexts first
+    state_of = {k: i for i, k in enumerate(states, 1)}
+
+    def suffix_state(key: int) -> int:
         """The state of the longest suffix, the whole included, that is a context."""
-        while gram:
-            state = state_of.get(gram)
-            if state is not None:
-                return state
-            size = (gram.bit_length() + bits - 1) // bits
-            gram &= (1 << (bits * (size - 1))) - 1
-        return 0
-
-    arcs = {w: (math.log10(chance[w]), suffix_state(w)) for w in range(1, width)}
-    fail, weight, prob = [0], [0.0], {w: chance[w] for w in range(1, width)}
-    for h in ordered:
-        state = state_of[h]
-        size = (h.bit_length() + bits - 1) // bits
-        shorter = h & ((1 << (bits * (size - 1))) - 1)
-        lower = suffix_state(shorter) if shorter else 0
-        seen = kept[h] if h > mask else single[h]
-        own = below = 0.0
-        for w in contexts[h]:
-            gram = (h << bits) | w
-            p = (kept[gram] - discount) / seen
-            own += p
-            below += _backed_off(prob, fail, weight, width, lower, w)
-            prob[state * width + w] = p
-            arcs[state * width + w] = (math.log10(p), suffix_state(gram))
-        fail.append(lower)
-        weight.append(math.log10(max(1e-12, 1 - own) / max(1e-12, 1 - below)))
-    return Automaton(frequent, frequent_counts, total, distinct, arcs, fail, weight)
-
-
-def _backed_off(prob: dict[int, float], fail: list[int], weight: list[float], width: int, state: int, word: int) -> float:
-    factor = 1.0
-    while (p := prob.get(state * width + word)) is None:
-        factor *= 10 ** weight[state]
-        state = fail[state]
-    return factor * p
+        while key and key not in state_of:
+            key = shorter[key]
+        return state_of.get(key, 0)
+
+    arcs = {}
+    for pre, _, key, p in rows:
+        arcs[state_of.get(pre, 0) * width + last[key]] = (math.log10(p), suffix_state(key))
+    fail = [0, *(suffix_state(shorter[k]) for k in states)]
+    return Automaton(frequent, frequent_counts, total, distinct, arcs, fail, [0.0, *(weights[k] for k in states)])
 
 
 @dataclass
 class Model:
-    """A fitted model: the automaton, which every task holds, and the table of all words' counts."""
+    """A fitted model.
+
+    Every task holds the automaton of the frequent n-grams and a filter over the keys of the others. These are rows
+    of ``terms`` (key, n, value): what a word or n-gram that isn't in the automaton adds to a text's score each time.
+    """
 
     automaton: Automaton
-    words: DataFrame
+    terms: DataFrame
+    rare: np.ndarray
+    order: int
     discount: float
 
 
 def fit(training: DataFrame, text_col: str, order: int = 3, least_share: float = 1e-6, discount: float = 0.75) -> Model:
     """Learns from texts, null ones being empty. All counts cover all texts.
 
-    n-grams of two words and more are kept if their share of all words is ``least_share`` or more, and they
-    occur twice: a bound on the automaton that doesn't depend on the size of the corpus.
+    n-grams of two words and more are kept if they occur twice, at any size of the corpus. Those whose share of
+    all words is ``least_share`` or more are put into the automaton; that bounds it, not the model.
     """
     if order not in (2, 3):
         raise ValueError("order must be 2 or 3")
@@ -241,29 +277,63 @@ def fit(training: DataFrame, text_col: str, order: int = 3, least_share: float =
     parts = texts.mapInArrow(_count_words, "word bigint, n bigint")
     words = store(parts.groupBy("word").agg(F.sum("n").alias("n")), "words")
     sums = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count("*").alias("distinct")).first()
-    least = max(2, math.ceil(least_share * sums.total))
-
-    bits = 63 // order
-    common = words.where(F.col("n") >= least).toArrow()  # at most 1 / least_share rows
-    if common.num_rows >= 1 << bits:
-        raise ValueError("least_share is too small for this order")
+    least = max(LEAST, math.ceil(least_share * sums.total))
+
+    # Chances of the kept n-grams, and of what they end with; the weights of their contexts. A context may begin
+    # very many n-grams: adaptive execution splits these joins, as what follows each is written first.
+    lower = words.select(F.col("word").alias("key"), "n", ((F.col("n") - discount) / F.lit(float(max(1, sums.total)))).alias("p"))
+    orders, contexts = [], []
+    for size in range(2, order + 1):
+        shared = spark.sparkContext.broadcast(_filter(lower.where(F.col("n") >= LEAST), "key"))
+        found = texts.mapInArrow(_count_grams(shared, size), "pre bigint, suf bigint, n bigint")
+        kept = found.groupBy("pre", "suf").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)
+        kept = store(kept.mapInArrow(_keyed, "key bigint, pre bigint, suf bigint, n bigint"), "grams")
+        shared.unpersist()
+        pre = lower.select(F.col("key").alias("pre"), F.col("n").alias("n_pre"))
+        suf = lower.select(F.col("key").alias("suf"), F.col("p").alias("below"))
+        whole = kept.join(pre, "pre").join(suf, "suf")
+        lower = store(whole.select("key", "pre", "suf", "n", ((F.col("n") - discount) / F.col("n_pre")).alias("p"), "below"), "chances")
+        left = [F.greatest(F.lit(1e-12), 1 - F.sum(c)) for c in ("p", "below")]
+        contexts.append(store(lower.groupBy("pre").agg(F.log10(left[0] / left[1]).alias("weight")), "weights"))
+        orders.append(lower)
+
+    # What each n-gram adds to a score once what it ends with, and backing off to that, are counted.
+    own = [c.select(F.col("pre").alias("key"), F.col("weight").alias("own")) for c in contexts]
+    one = words.select(F.col("word").alias("key"), "n", F.log10((F.col("n") - discount) / F.lit(float(max(1, sums.total)))).alias("value"))
+    terms = [one.join(own[0], "key", "left").select("key", "n", (F.col("value") + F.coalesce("own", F.lit(0.0))).alias("value"))]
+    for i, table in enumerate(orders):
+        rare = table.where(F.col("n") < least).join(contexts[i], "pre")
+        value = F.log10("p") - F.log10("below") - F.col("weight")
+        if i + 1 < len(orders):
+            rare = rare.join(own[i + 1], "key", "left")
+            value = value + F.coalesce("own", F.lit(0.0))
+        terms.append(rare.select("key", "n", value.alias("value")))
+    rare_keys = orders[0].select("key", "n")
+    for table in orders[1:]:
+        rare_keys = rare_keys.unionByName(table.select("key", "n"))
+    rare_bits = _filter(rare_keys.where(F.col("n") < least), "key")
+    stored = terms[0].where(F.col("n") < least)
+    for table in terms[1:]:
+        stored = stored.unionByName(table)
+
+    common = words.where(F.col("n") >= least).toArrow()  # at most 1 / least_share rows, as are those below
     hashes = common["word"].to_numpy().view(np.uint64)
     by_hash = np.argsort(hashes)
     frequent, frequent_counts = hashes[by_hash], common["n"].to_numpy()[by_hash]
-    shared = spark.sparkContext.broadcast(frequent)
-    found = texts.mapInArrow(_count_grams(shared, order, bits), "word bigint, n bigint")
-    grams = found.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toArrow()
-    automaton = build(
-        frequent, frequent_counts, grams["word"].to_numpy(), grams["n"].to_numpy(), bits, sums.total, sums.distinct, discount
-    )
-    return Model(automaton, words, discount)
+    core = [t.where(F.col("n") >= least).select("key", "pre", "suf", "p") for t in orders]
+    weights: dict[int, float] = {}
+    for known, context in zip([words.where(F.col("n") >= least).select(F.col("word").alias("key")), *core], contexts, strict=False):
+        found = context.join(known.select(F.col("key").alias("pre")), "pre", "left_semi").toArrow()
+        weights.update(zip(found["pre"].to_pylist(), found["weight"].to_pylist(), strict=True))
+    automaton = build(frequent, frequent_counts, weights, [c.toArrow() for c in core], sums.total, sums.distinct, discount)
+    return Model(automaton, store(stored, "terms"), rare_bits, order, discount)
 
 
-def _score(shared, discount: float, schema: T.StructType):
+def _score(shared, order: int, schema: T.StructType):
     target = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Automaton = shared.value
+        model, bits = shared.value
         share = np.log10((model.frequent_counts + 1.0) / (model.total + model.distinct + 1.0))
         share = np.concatenate([[0.0], share])
         for batch in batches:
@@ -272,7 +342,12 @@ def _score(shared, discount: float, schema: T.StructType):
                 number = _number(words, model.frequent)
                 base = np.add.reduceat(share[number], offsets[:-1]) if len(words) else np.zeros(0)
                 known = np.add.reduceat((number > 0).astype(np.int64), offsets[:-1]) if len(words) else np.zeros(0, np.int64)
-                scores, rare, times = [], [], []
+                # n-grams that may be kept ones outside the automaton, in the order of their last words.
+                keys, places = zip(*((k[m := _maybe(k, bits)], at[m]) for k, at, _ in islice(_grams(offsets, words, order), 1, None)), strict=True)
+                places = np.concatenate(places)
+                by_place = np.argsort(places, kind="stable")
+                keys, ends = np.concatenate(keys)[by_place], np.searchsorted(places[by_place], offsets)
+                scores, rare, times, grams, gram_times = [], [], [], [], []
                 for i in range(piece.num_rows):
                     part = slice(offsets[i], offsets[i + 1])
                     numbers = number[part]
@@ -280,6 +355,9 @@ def _score(shared, discount: float, schema: T.StructType):
                     hashes, n = np.unique(words[part][numbers == 0], return_counts=True)
                     rare.append(hashes.view(np.int64))
                     times.append(n)
+                    hashes, n = np.unique(keys[ends[i] : ends[i + 1]], return_counts=True)
+                    grams.append(hashes.view(np.int64))
+                    gram_times.append(n)
                 columns = [
                     piece.column(0),
                     pa.array(np.diff(offsets), pa.int64()),
@@ -288,6 +366,8 @@ def _score(shared, discount: float, schema: T.StructType):
                     pa.array(scores, pa.float64()),
                     pa.array(rare, pa.list_(pa.int64())),
                     pa.array(times, pa.list_(pa.int64())),
+                    pa.array(grams, pa.list_(pa.int64())),
+                    pa.array(gram_times, pa.list_(pa.int64())),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, schema=target)
 
@@ -309,25 +389,27 @@ def score(docs: DataFrame, id_col: str, text_col: str, model: Model) -> DataFram
     schema = T.StructType([base.schema["id"]])
     schema = schema.add("n_tokens", T.LongType()).add("n_known", T.LongType())
     schema = schema.add("base", T.DoubleType()).add("walk", T.DoubleType())
-    schema = schema.add("rare", T.ArrayType(T.LongType())).add("times", T.ArrayType(T.LongType()))
-    shared = spark.sparkContext.broadcast(automaton)
-    walked = base.mapInArrow(_score(shared, model.discount, schema), schema)
+    for name in ("rare", "times", "grams", "gram_times"):
+        schema = schema.add(name, T.ArrayType(T.LongType()))
+    shared = spark.sparkContext.broadcast((automaton, model.rare))
+    walked = base.mapInArrow(_score(shared, model.order, schema), schema)
     walked = store(walked.withColumn("row", F.monotonically_increasing_id()), "walked")
 
     total, distinct = automaton.total, automaton.distinct
-    rare = walked.select("row", F.inline(F.arrays_zip(F.col("rare").alias("word"), F.col("times").alias("times"))))
-    counted = rare.join(model.words, "word", "left").withColumn("c", F.coalesce("n", F.lit(0)))
-    if total:
-        seen = (F.col("c") - F.lit(model.discount)) / F.lit(float(total))
-        chance = F.when(F.col("c") > 0, seen).otherwise(F.lit(model.discount * distinct / total))
-    else:
-        chance = F.lit(1.0)
+    rare = walked.select("row", F.lit(True).alias("single"), F.inline(F.arrays_zip(F.col("rare").alias("key"), F.col("times").alias("times"))))
+    grams = walked.select("row", F.lit(False).alias("single"), F.inline(F.arrays_zip(F.col("grams").alias("key"), F.col("gram_times").alias("times"))))
+    counted = rare.unionByName(grams).join(model.terms, "key", "left").withColumn("c", F.coalesce("n", F.lit(0)))
+    # Words never seen share one place; n-grams that aren't kept add nothing.
+    never = math.log10(model.discount * distinct / total) if total else 0.0
+    value = F.coalesce("value", F.when(F.col("single"), F.lit(never)).otherwise(0.0))
     added = counted.groupBy("row").agg(
-        F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("more_known"),
-        F.sum(F.col("times") * F.log10((F.col("c") + 1.0) / F.lit(total + distinct + 1.0))).alias("more_base"),
-        F.sum(F.col("times") * F.log10(chance)).alias("more_score"),
+        F.sum(F.when(F.col("single") & (F.col("c") > 0), F.col("times")).otherwise(0)).alias("more_known"),
+        F.sum(
+            F.when(F.col("single"), F.col("times") * F.log10((F.col("c") + 1.0) / F.lit(total + distinct + 1.0))).otherwise(0.0)
+        ).alias("more_base"),
+        F.sum(F.col("times") * value).alias("more_score"),
     )
-    out = walked.drop("rare", "times").join(added, "row", "left")
+    out = walked.drop("rare", "times", "grams", "gram_times").join(added, "row", "left")
     return out.select(
         F.col("id").alias(id_col),
         "n_tokens",

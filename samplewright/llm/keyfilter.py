@@ -11,12 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bits of one bitmap, fixed by bitmap_construct_agg.
-_PAGE = 32768
+PAGE = 32768
 
 
 def build(keys: DataFrame, key: str, bits: int) -> DataFrame:
     """Bitmaps (page, bitmap): at most bits / 32768 rows of 4 KB."""
-    pages = max(1, bits // _PAGE)
+    pages = max(1, bits // PAGE)
     return (
         keys.select(_page(F.col(key), pages).alias("page"), _slot(F.col(key)).alias("slot"))
         .where("slot is not null")
@@ -27,7 +27,7 @@ def build(keys: DataFrame, key: str, bits: int) -> DataFrame:
 
 def ask(rows: DataFrame, key: str, pages: DataFrame, bits: int, answer: str) -> DataFrame:
     """Adds a boolean column: false means that the key was certainly not put in. Null keys get false."""
-    count = max(1, bits // _PAGE)
+    count = max(1, bits // PAGE)
     small = F.broadcast(pages.select(F.col("page").alias("_page"), F.col("bitmap").alias("_bitmap")))
     joined = rows.join(small, _page(F.col(key), count) == F.col("_page"), "left")
     return joined.withColumn(answer, F.coalesce(bit(F.col("_bitmap"), _slot(F.col(key))), F.lit(False))).drop(
@@ -46,4 +46,4 @@ def _page(key: Column, pages: int) -> Column:
 
 
 def _slot(key: Column) -> Column:
-    return key.bitwiseAND(F.lit(_PAGE - 1).cast("long"))
+    return key.bitwiseAND(F.lit(PAGE - 1).cast("long"))

@@ -103,3 +103,18 @@ def test_odd_texts(spark, odd, empty):
     untrained = B.fit(empty, "text")
     assert {(r.train_tokens, r.n_known) for r in B.score(odd, "doc_id", "text", untrained).collect()} == {(0, 0)}
     assert B.score(empty, "doc_id", "text", model).count() == 0
+
+
+def test_rare_grams_count_at_any_share(spark):
+    """Scores don't depend on how much of the model the tasks hold."""
+    texts, fresh = corpus(), corpus(60, 5)
+    train = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    want = Brute(texts, 3, 2, 0.75)
+    docs = spark.createDataFrame(list(enumerate(texts[:40] + fresh)), "doc_id long, text string")
+    for share in (0.002, 0.02, 0.9):
+        model = B.fit(train, "text", least_share=share)
+        assert model.terms.count() > 300 and len(model.automaton.arcs) < 300
+        for r in B.score(docs, "doc_id", "text", model).collect():
+            t = (texts[:40] + fresh)[r.doc_id]
+            assert r.score == pytest.approx(want.score(t)), t
+            assert r.n_known == sum(x in want.one for x in tokens(t))
