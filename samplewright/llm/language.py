@@ -23,8 +23,12 @@ DIM = len(SIZES) * BUCKETS
 UNKNOWN = "und"
 #: Limits of the classes of text length (in letters and gaps) that have rejection distances of their own.
 LENGTH_CLASSES = (10, 25, 50, 200, 1000)
-#: Sampled texts a class needs to have a distance at all, and letters and gaps a text needs to be rejected by it.
-LEAST_SAMPLED, LEAST_LETTERS = 10, 200
+#: Training texts a class needs to have a distance of its own; others take that of the nearest class that has.
+LEAST_TEXTS = 10
+#: Share of the training texts of a class that may lie below the cosine its distance comes from.
+LOW = 0.001
+#: Steps of the histograms of cosines.
+STEPS = 1000
 
 #: Texts whose vectors are held at once.
 _ROWS = 256
@@ -133,9 +137,9 @@ def fit(
     Document frequencies come from all training rows, added up by task. Centroids are clustered per language
     from a sample of at most ``fit_rows`` rows of it, those with the smallest hashes of their text, so that
     repeated texts and the order of rows don't matter. The floor below which a text is rejected is ``slack``
-    times the smallest cosine that a sampled text of the same language and length class has to its nearest
-    centroid, 0 where there are fewer than ``LEAST_SAMPLED`` of them and for short texts, which say too
-    little. If there is nothing to learn from, the model knows no language and rejects every text.
+    times a low quantile of the cosines that all training texts of the same language and length class have to
+    their language's nearest centroid; classes with fewer than ``LEAST_TEXTS`` take their neighbour's.
+    If there is nothing to learn from, the model knows no language and rejects every text.
     """
     ship(training.sparkSession)
     rows = training.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
@@ -162,20 +166,61 @@ def fit(
         return Centroids(idf, np.zeros((0, DIM), np.float32), np.zeros(0, int), [], np.zeros((0, len(LENGTH_CLASSES) + 1)))
     rng = np.random.default_rng(7)
     all_rows, language_of = [], []
-    floors = np.zeros((len(languages), len(LENGTH_CLASSES) + 1))
     for i, lang in enumerate(languages):
         counts = np.stack([np.frombuffer(r.counts, np.uint32) for r in sorted(found, key=lambda r: r.counts) if r.lang == lang])
-        vectors = _tfidf(counts, idf)
-        own = _cluster(vectors, centroids, rng)
+        own = _cluster(_tfidf(counts, idf), centroids, rng)
         all_rows.append(own)
         language_of += [i] * len(own)
-        nearest = (vectors @ own.T).max(axis=1)
-        length_class = np.searchsorted(LENGTH_CLASSES, _length(counts))
-        for k in range(floors.shape[1]):
-            mine = nearest[length_class == k]
-            long_enough = k > 0 and LENGTH_CLASSES[k - 1] >= LEAST_LETTERS
-            floors[i, k] = mine.min() * slack if long_enough and len(mine) >= LEAST_SAMPLED else 0.0
-    return Centroids(idf, np.concatenate(all_rows).astype(np.float32), np.array(language_of), languages, floors)
+    model = Centroids(idf, np.concatenate(all_rows).astype(np.float32), np.array(language_of), languages, np.zeros(0))
+    shared = training.sparkSession.sparkContext.broadcast(model)
+    near = rows.mapInArrow(_near(shared), "lang int, length int, step int, n bigint")
+    histogram = np.zeros((len(languages), len(LENGTH_CLASSES) + 1, STEPS), np.int64)
+    for r in near.groupBy("lang", "length", "step").agg(F.sum("n").alias("n")).collect():  # at most one row for each cell
+        histogram[r.lang, r.length, r.step] = r.n
+    model.floors = _floors(histogram) * slack
+    return model
+
+
+def _near(shared):
+    """Counts of training texts by language, length class and step of the cosine to the nearest of their language's centroids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        number = {lang: i for i, lang in enumerate(model.languages)}
+        cells = np.zeros((len(model.languages), len(LENGTH_CLASSES) + 1, STEPS), np.int64)
+        for batch in batches:
+            for start in range(0, batch.num_rows, _ROWS):
+                texts, langs = (c.slice(start, _ROWS).to_pylist() for c in batch.columns)
+                kept = [(v, number[lang]) for t, lang in zip(texts, langs, strict=True) if (v := _vector(t or "")) is not None]
+                if not kept:
+                    continue
+                counts, mine = np.stack([v for v, _ in kept]), np.array([k for _, k in kept])
+                cosine = np.where(model.language_of == mine[:, None], _tfidf(counts, model.idf) @ model.rows.T, -1).max(axis=1)
+                step = np.clip(cosine * STEPS, 0, STEPS - 1).astype(int)
+                np.add.at(cells, (mine, np.searchsorted(LENGTH_CLASSES, _length(counts)), step), 1)
+        at = np.nonzero(cells)
+        columns = [pa.array(a, pa.int32()) for a in at]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(cells[at])], ["lang", "length", "step", "n"])
+
+    return run
+
+
+def _floors(histogram: np.ndarray) -> np.ndarray:
+    """Low quantile of the cosines of each language and length class; classes with few texts take the nearest one's, the shorter first.
+
+    A language with few texts in every class takes the quantile over all of them.
+    """
+    total = histogram.sum(axis=-1)
+    below = np.cumsum(histogram, axis=-1)
+    out = (below > LOW * total[..., None]).argmax(axis=-1) / STEPS
+    for i, sizes in enumerate(total):
+        good = np.flatnonzero(sizes >= LEAST_TEXTS)
+        for k in range(len(sizes)):
+            if not len(good):
+                out[i, k] = (below[i].sum(axis=0) > LOW * sizes.sum()).argmax() / STEPS
+            elif k not in good:
+                out[i, k] = out[i, min(good, key=lambda g: (abs(g - k), g))]
+    return out
 
 
 def _predict(shared, schema: T.StructType, inside: str | None):

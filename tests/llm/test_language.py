@@ -63,3 +63,13 @@ def test_nothing_to_learn(spark, empty):
     model = L.fit(empty, "text", "lang")
     assert [r.lang_pred for r in L.identify(corpus(spark, 6), "text", model).collect()] == ["und"] * 6
     assert L.identify(empty, "text", model).count() == 0
+
+
+def test_short_foreign_text_is_rejected(spark):
+    """Every class of length has a floor, also those that few or no training texts fall into."""
+    model = L.fit(corpus(spark), "text", "lang")
+    assert (model.floors > 0).all()
+    short = "пример текста на другом языке который никто не видел раньше"
+    rows = [(short[:8],), (short[:20],), (short,), (short * 2,), (short * 40,), ("the and of with which there that this",), ("the and of with " * 200,)]
+    got = [r.rejected for r in L.identify(spark.createDataFrame(rows, "text string").coalesce(1), "text", model).collect()]
+    assert got == [True] * 5 + [False] * 2
