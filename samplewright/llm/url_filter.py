@@ -4,39 +4,70 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Sequence
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .text import ascii_lower
 
-#: Words that make up the hosts of the built-in labelled table.
-BLOCKED_HOSTS = (
-    "casino-win", "casino-bonus", "online-casino", "poker-royal", "slots-jackpot", "free-bets", "bet-now",
-    "sports-bets", "lottery-winner", "cheap-pills", "pills-store", "pharma-discount", "viagra-online",
-    "diet-pills", "spam-farm", "link-farm", "seo-spam", "ads-track", "ad-server", "track-click", "adtracker",
-    "popup-ads", "click-bonus", "adult-x", "adult-video", "xxx-tube", "hot-dating", "porn-free", "payday-loans",
-    "quick-loan", "crypto-doubler", "free-iphone", "replica-watch", "cheap-replica", "download-crack",
-    "warez-keygen", "malware-drop", "phish-login", "win-prize", "free-money",
+#: Words, names and paths of the built-in labelled table. None is taken from data.
+BLOCKED_WORDS = (
+    "casino", "poker", "slots", "bet", "bets", "betting", "pills", "viagra", "spam", "links", "ads", "track", "click", "adult", "xxx", "porn",
+    "dating", "loans", "free", "cheap",
 )
-ALLOWED_HOSTS = (
-    "news", "daily-herald", "science-review", "open-library", "garden-notes", "cooking-home", "travel-log",
-    "history-museum", "city-council", "university", "math-lecture", "weather-report", "music-school",
-    "bird-watch", "river-trail", "bakery-tales", "photo-journal", "physics-forum", "code-manual", "encyclopedia",
-    "theatre", "northern-times", "tidewater", "harbour", "thornton", "heather", "thethin", "reston", "ththe",
-    "therand", "thionth", "anthere", "erthon", "lyther", "thened", "tionther", "inthon", "whether", "hester", "oneth",
+ALLOWED_NAMES = (
+    "morning-post", "evening-news", "weekly-chronicle", "daily-record", "gazette", "observer", "public-radio", "city-journal",
+    "science-today", "natural-history", "astronomy", "chemistry-notes", "mathworld", "physics-class", "medical-journal",
+    "health-service", "hospital", "family-doctor", "town-library", "national-archive", "old-maps", "museum-of-art", "gallery",
+    "theatre-review", "orchestra", "folk-music", "film-society", "book-club", "poetry", "short-stories", "cooking-school",
+    "grandmas-kitchen", "bread-and-butter", "gardening", "green-thumb", "birdwatchers", "hiking-trails", "mountain-guide",
+    "sailing-club", "cycling", "football-league", "chess-club", "running-diary", "travel-notes", "city-guide", "hotel-riviera",
+    "railway-timetable", "airport", "weather-service", "climate-data", "open-source", "developer-docs", "linux-users",
+    "programming-blog", "database-journal", "hardware-review", "university", "college", "primary-school", "language-course",
+    "dictionary", "encyclopedia", "translators", "parliament", "city-council", "justice-department", "tax-office", "fire-brigade",
+    "charity", "church-of-saint-paul", "history-society", "genealogy", "woodworking", "car-repair", "bakery", "furniture",
+    "architects", "engineering", "farmers-market", "fisheries", "pet-care", "veterinary", "photography", "watercolour", "knitting",
+    "zeitung", "nachrichten", "stadtbibliothek", "rathaus", "wanderverein", "kochbuch", "journal-du-soir", "bibliotheque",
+    "mairie", "cuisine-facile", "randonnee", "noticias", "periodico", "ayuntamiento", "cocina-casera", "viajeros", "northern-lights",
+    "smith-and-sons", "hamilton", "whitethorn", "thornbury", "anderson", "theatreland", "heatherton", "kingston", "western-union-hall",
+    "trading-standards", "addison", "madrid", "academy", "winchester", "windows-and-doors", "alphabets", "freedom-of-speech", "freshwater",
+    "linkoping", "clinic", "essex", "middlesex", "cheapside", "betsy-ross", "elizabeth", "spanish-lessons", "pillar-of-stone",
 )
-_TAILS = ("example.com/en/12", "example.net/fr/345?page=2", "example.org/de/7.html", "example.com/es/860/")
-_HEADS = ("", "www.", "blog.", "m.")
+ALLOWED_PATHS = (
+    "/", "/index.html", "/about", "/news/4711", "/blog/2020/", "/wiki/thames", "/library/", "/artikel/33", "/es/noticias/7",
+    "/fr/actu/12.html", "/en/1921", "/sport/18/", "/de/3.html",
+)
+ALLOWED_WORDS = (
+    "garden", "roses", "council", "minutes", "history", "school", "music", "weather", "recipes", "river", "museum", "science",
+    "travel", "market", "theatre", "notes", "letters", "people", "village", "bread",
+)
+_DOMAINS = ("com", "net", "org", "info", "co.uk", "de", "fr")
+_HEADS = ("", "www.", "blog.", "m.", "shop.")
+#: What goes with a blocked word in a name.
+_JOINED, _BEFORE = ("-club", "24", "-now", "-4u"), ("my", "best-", "go", "top-")
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """The built-in labelled table (url, label): 1 is blocked. Both labels get the same prefixes, domains and paths."""
-    rows = [
-        (f"https://{_HEADS[i % 4]}{host}.{_TAILS[(i // 4 + i) % 4]}", label)
-        for label, hosts in ((1, BLOCKED_HOSTS), (0, ALLOWED_HOSTS))
-        for i, host in enumerate(hosts)
-    ]
+    """The built-in labelled table (url, label): 1 is blocked.
+
+    A url is blocked for its host or for its path. For each there is one that is allowed and has the same other half,
+    prefix and domain, so that these say nothing; more allowed ones make what says nothing allowed.
+    """
+    rows = []
+    bad, good, paths, size = BLOCKED_WORDS, ALLOWED_WORDS, ALLOWED_PATHS, len(BLOCKED_WORDS)
+    names = iter(ALLOWED_NAMES)
+    for i in range(3 * size):
+        word, other, head, tail = bad[i % size], bad[(5 * i + 8) % size], f"https://{_HEADS[i % 5]}", f".{_DOMAINS[i % 7]}"
+        name = next(names)
+        host = (word + _JOINED[i % 4], _BEFORE[i % 4] + word, f"{word}{'-' * (i % 2)}{other}")[i // size]
+        path = paths[i % len(paths)]
+        rows += [(f"{head}{host}{tail}{path}", 1), (f"{head}{name}{tail}{path}", 0)]
+        if i % 2:
+            cut, end = "/-"[i // 2 % 2], ("", "/12.html", "/", "/7")[i // 4 % 4]
+            rows.append((f"{head}{name}{tail}/{bad[i // 2 % size]}{cut}{bad[(i // 2 * 5 + i // size + 3) % size]}{end}", 1))
+            rows.append((f"{head}{name}{tail}/{good[i // 2 % size]}{cut}{good[(i // 2 * 5 + i // size + 3) % size]}{end}", 0))
+    rows += [(f"https://{_HEADS[i % 5]}{name}.{_DOMAINS[i % 7]}{paths[i % len(paths)]}", 0) for i, name in enumerate(islice(names, size // 2))]
     return spark.createDataFrame(rows, "url string, label int")
 
 

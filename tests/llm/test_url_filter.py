@@ -71,3 +71,18 @@ def test_held_out_hosts(spark):
 
 def test_empty(spark):
     assert U.url_filter(spark.createDataFrame([], "page_id long, url string"), "page_id", "url", RULES).count() == 0
+
+
+def test_built_in_table_is_not_taken_from_pages(spark):
+    table = "\n".join(r.url for r in U.labelled_urls(spark).collect())
+    assert not [h for h in ("casino-win", "free-bets", "cheap-pills", "ads-track", "spam-farm", "adult-x", "ththe", "thionth", "therand", "tionther") if h in table]
+
+
+def test_held_out_paths_under_neutral_hosts(spark):
+    bad = ["/casino-bonus/free-bets/poker", "/online-casino/xxx-tube/cheap-pills", "/poker-night/casino-slots", "/porn-dating/xxx"]
+    good = ["/en/12", "/de/345.html", "/garden/roses/2018", "/council/minutes/april.html"]
+    hosts = ["www.harbour-notes.com", "stonebridge.org", "quiet-hill.example.net", "oakfield.de"]
+    urls = [f"https://{h}{p}" for p in bad + good for h in hosts]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: r.verdict for r in U.url_filter(pages, "page_id", "url", []).collect()}
+    assert [urls[i] for i in range(32) if got[i] != ("block" if i < 16 else "allow")] == []
