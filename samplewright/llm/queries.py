@@ -8,7 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.registry import table
-from . import backoff_lm, exact_dedup, html_tree, language, line_dedup, mixing, order_minhash, token_files, url_filter, winnowing
+from . import (
+    backoff_lm,
+    exact_dedup,
+    html_tree,
+    language,
+    line_dedup,
+    merkle,
+    mixing,
+    order_minhash,
+    token_files,
+    url_filter,
+    winnowing,
+)
 
 Build = Callable[[SparkSession, str], DataFrame]
 
@@ -213,3 +225,67 @@ def tokenizer_file() -> str:
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_files.encode_and_read(docs, "doc_id", "text", tokenizer_file(), END_ID)
+
+
+def _leaf_sql(chars: str) -> str:
+    """The digest of a document, n_chars being given as an expression."""
+    values = ["doc_id::VARCHAR", "source", "lang", f"({chars})::VARCHAR", "text"]
+    return "sha256(" + " || ".join(f"coalesce(strlen({v})::VARCHAR || ':' || {v}, '-')" for v in values) + ")"
+
+
+@query(f"""
+WITH RECURSIVE
+c AS (  -- the 256 rests that CRC-32 looks up
+  SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) ORDER BY i) AS rests
+  FROM range(256) AS r(i)),
+d AS (
+  SELECT doc_id, coalesce('=' || lang, '-') AS grp, {_leaf_sql("n_chars")} AS leaf,
+         CASE WHEN xor(list_reduce([4294967295] || list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT),
+                                   lambda x, y: xor(x >> 8, rests[(xor(x, y) & 255) + 1])), 4294967295) % 7 = 0
+              THEN {_leaf_sql("n_chars + 1")} END AS claimed
+  FROM documents, c),
+l AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY grp) AS n FROM d),
+t AS (
+  SELECT grp, 0 AS lvl, i, n, leaf AS h FROM l
+  UNION ALL
+  SELECT grp, lvl + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM t WHERE n > 1 GROUP BY grp, lvl, i // 2, n),
+s AS (SELECT grp, h, row_number() OVER (ORDER BY grp) - 1 AS i, count(*) OVER () AS n FROM t WHERE n = 1),
+u AS (
+  SELECT 0 AS lvl, i, n, h FROM s
+  UNION ALL
+  SELECT lvl + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM u WHERE n > 1 GROUP BY lvl, i // 2, n),
+-- The steps of a proof: where the sibling stands, and the sibling.
+p AS (
+  SELECT l.grp, l.i, list(CASE WHEN (l.i >> m.lvl) % 2 = 1 THEN '<' ELSE '>' END || coalesce(t.h, '') ORDER BY m.lvl) AS steps
+  FROM l JOIN (SELECT DISTINCT grp, lvl FROM t WHERE n > 1) AS m ON l.grp = m.grp
+       LEFT JOIN t ON t.grp = l.grp AND t.lvl = m.lvl AND t.i = xor(l.i >> m.lvl, 1)
+  GROUP BY l.grp, l.i),
+q AS (
+  SELECT s.grp, list(CASE WHEN (s.i >> m.lvl) % 2 = 1 THEN '<' ELSE '>' END || coalesce(u.h, '') ORDER BY m.lvl) AS steps
+  FROM s, (SELECT DISTINCT lvl FROM u WHERE n > 1) AS m LEFT JOIN u ON u.lvl = m.lvl AND u.i = xor(s.i >> m.lvl, 1)
+  GROUP BY s.grp),
+f AS (
+  SELECT l.doc_id, l.leaf, s.h AS subroot, (SELECT h FROM u WHERE n = 1) AS root, coalesce(l.claimed, l.leaf) AS given,
+         coalesce(p.steps, []) || coalesce(q.steps, []) AS steps
+  FROM l JOIN s USING (grp) LEFT JOIN p ON p.grp = l.grp AND p.i = l.i LEFT JOIN q ON q.grp = l.grp),
+g AS (
+  SELECT *, sha256(array_to_string(list_transform(steps, lambda x: substr(x, 2)), '')) AS proof_sha256,
+         list_reduce([given] || steps, lambda x, y: sha256(CASE WHEN y[1] = '<' THEN substr(y, 2) || x ELSE x || substr(y, 2) END)) AS folded_root
+  FROM f)
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM g
+""")
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    tampered = merkle.digest(merkle.encoded("doc_id", "source", "lang", F.col("n_chars") + 1, "text"))
+    claimed = F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, tampered)
+    found = merkle.manifest(docs, "doc_id", "lang", docs.columns, claimed=claimed)
+    found = found.withColumn("folded_root", merkle.folded(F.col("claimed"), F.col("path")))
+    return found.select(
+        "doc_id",
+        "leaf",
+        "subroot",
+        "root",
+        F.sha2(merkle.siblings(F.col("path")), 256).alias("proof_sha256"),
+        "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
