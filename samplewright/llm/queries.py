@@ -17,6 +17,7 @@ from . import (
     merkle,
     mixing,
     order_minhash,
+    quality_rules,
     token_files,
     url_filter,
     winnowing,
@@ -289,3 +290,95 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
         "folded_root",
         (F.col("folded_root") == F.col("root")).alias("verified"),
     )
+
+
+def _js_sql(a: str, b: str, bins: int) -> str:
+    """The Jensen-Shannon distance between lists of counts."""
+
+    def half(x: str, y: str) -> str:
+        p, q = f"{x}[i] / greatest(list_sum({x}), 1)", f"{y}[i] / greatest(list_sum({y}), 1)"
+        return f"list_sum(list_transform(range(1, {bins + 1}), lambda i: CASE WHEN {x}[i] > 0 THEN {p} * log2(2 * {p} / ({p} + {q})) ELSE 0 END))"
+
+    root = f"sqrt(least(1.0, greatest(0.0, ({half(a, b)} + {half(b, a)}) / 2)))"
+    return f"CASE WHEN list_sum({a}) > 0 AND list_sum({b}) > 0 THEN {root} ELSE 0 END"
+
+
+def _limit_sql(base: str, bins: int, size: str) -> str:
+    value = quality_rules.LIMITS[base]
+    return f"sqrt({value} * {value} + 2 * {bins - 1} / (8 * ln(2) * greatest({size}, 1)))"
+
+
+def _without(characters: str) -> str:
+    return f"length(t) - length(regexp_replace(t, '{characters}', '', 'g'))"
+
+
+_CLASS_SQL = [
+    _without(c)
+    for c in ("[a-z]", "[A-Z]", "[0-9]", r"[\x20\x09-\x0D]", r"[.,;:!?\x27\x22()\-]", r"[\x00-\x08\x0E-\x1F#$%&*+/<=>@\[\\\]^_`{|}~\x7F]", r"[^\x00-\x7F]")
+]
+_BINS = 21
+_EDGES_SQL = quality_rules.EDGES.replace("'", "''")
+
+
+@query(rf"""
+WITH d AS (
+  SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+c AS (SELECT *, [{", ".join(_CLASS_SQL)}]::DOUBLE[] AS c, length(t) AS size FROM d),
+g AS (SELECT lang FROM c WHERE lang IS NOT NULL GROUP BY lang HAVING sum(size) >= 1000 ORDER BY sum(size) DESC, lang LIMIT 200),
+e AS (SELECT c.*, g.lang AS ref FROM c LEFT JOIN g USING (lang)),
+-- Every text counts for its language's reference and for that of all texts, which has no name.
+r1 AS (
+  SELECT ref, list(n ORDER BY k) AS r FROM (
+    SELECT ref, k, sum(c[k]) AS n FROM (SELECT ref, c FROM e WHERE ref IS NOT NULL UNION ALL SELECT NULL, c FROM e), range(1, 8) AS x(k) GROUP BY ref, k)
+  GROUP BY ref),
+m1 AS (SELECT e.*, r, {_js_sql("c", "r", 7)} AS far FROM e JOIN r1 ON e.ref IS NOT DISTINCT FROM r1.ref),
+near AS (SELECT * FROM m1 WHERE size < {quality_rules.LIMITS["class_chars"]} OR far <= {_limit_sql("class_limit", 7, "size")}),
+both_refs AS (SELECT ref, c, w FROM near WHERE ref IS NOT NULL UNION ALL SELECT NULL, c, w FROM near),
+r2 AS (SELECT ref, list(n ORDER BY k) AS r FROM (SELECT ref, k, sum(c[k]) AS n FROM both_refs, range(1, 8) AS x(k) GROUP BY ref, k) GROUP BY ref),
+words AS (
+  SELECT ref, translate(trim(word, '{_EDGES_SQL}'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key, count(*) AS n
+  FROM (SELECT ref, unnest(w) AS word FROM both_refs) GROUP BY ALL),
+top AS (
+  SELECT ref, key, n, row_number() OVER (PARTITION BY ref ORDER BY n DESC, key) AS k
+  FROM words WHERE key <> '' QUALIFY k < {_BINS}),
+w2 AS (
+  SELECT ref, list(n ORDER BY k) AS r
+  FROM (SELECT t.ref, x.k, coalesce(any_value(CASE WHEN x.k = {_BINS} THEN t.total - t.listed END), sum(top.n), 0)::DOUBLE AS n
+        FROM (SELECT ref, sum(n) AS total, coalesce((SELECT sum(n) FROM top WHERE top.ref IS NOT DISTINCT FROM words.ref), 0) AS listed FROM words GROUP BY ref) AS t,
+             range(1, {_BINS + 1}) AS x(k) LEFT JOIN top ON top.ref IS NOT DISTINCT FROM t.ref AND top.k = x.k
+        GROUP BY t.ref, x.k)
+  GROUP BY ref),
+hist AS (
+  SELECT doc_id, list(coalesce(top.k, {_BINS})) AS spots
+  FROM (SELECT doc_id, ref, translate(trim(word, '{_EDGES_SQL}'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+        FROM (SELECT doc_id, ref, unnest(w) AS word FROM e)) AS x
+       LEFT JOIN top ON top.ref IS NOT DISTINCT FROM x.ref AND top.key = x.key
+  GROUP BY doc_id),
+far AS (
+  SELECT e.doc_id, e.size, len(e.w) AS n, {_js_sql("e.c", "r2.r", 7)} AS by_class,
+         list_transform(range(1, {_BINS + 1}), lambda k: len(list_filter(coalesce(hist.spots, []), lambda s: s = k))::DOUBLE) AS h, w2.r AS wr
+  FROM e LEFT JOIN r2 ON e.ref IS NOT DISTINCT FROM r2.ref LEFT JOIN hist USING (doc_id) LEFT JOIN w2 ON e.ref IS NOT DISTINCT FROM w2.ref),
+odd AS (
+  SELECT doc_id, (size >= {quality_rules.LIMITS["class_chars"]} AND by_class > {_limit_sql("class_limit", 7, "size")})
+              OR (n >= {quality_rules.LIMITS["word_words"]} AND {_js_sql("h", "wr", _BINS)} > {_limit_sql("word_limit", _BINS, "n")}) AS odd
+  FROM far),
+windows AS (
+  SELECT doc_id, unnest(range(1, len(w) - 3)) AS i, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS win FROM d),
+repeats AS (
+  SELECT doc_id, count(DISTINCT p) AS n FROM (
+    SELECT doc_id, unnest(range(i, i + 5)) AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, win) AS times FROM windows) WHERE times > 1)
+  GROUP BY doc_id),
+lines AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+base AS (
+  SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+         ({_without("[#*$%&|<>]")})::BIGINT AS n_symbols, coalesce(lines.n, 0) AS n_dup_lines, coalesce(repeats.n, 0) AS n_repeat_words
+  FROM d LEFT JOIN lines USING (doc_id) LEFT JOIN repeats USING (doc_id)),
+f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM base)
+SELECT f.*, NOT base_failed AND NOT odd AS kept FROM f JOIN odd USING (doc_id)
+""")
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = quality_rules.judge(docs, "doc_id", "text", "lang", quality_rules.learn(docs, "text", "lang"))
+    return found.drop("class_distance", "word_distance")
