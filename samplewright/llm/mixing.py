@@ -14,6 +14,8 @@ from .text import SPACES, unit_hash
 MAX_BROADCAST_SOURCES = 10_000
 #: Rows that one window partition of the sampling order is meant to hold.
 ROWS_PER_BUCKET = 2_000
+#: Parts of an octave of keys whose rows are counted before they are cut into buckets.
+_CELLS = 16
 
 _JUNK = "#$%&*|!+=<>{}[]~^@\\"
 
@@ -60,6 +62,20 @@ def source_targets(
     )
 
 
+def with_buckets(rows: DataFrame) -> DataFrame:
+    """Adds (cell, step) to rows (source, key, ...): buckets of about ROWS_PER_BUCKET rows of a source, in key order.
+
+    Inside a cell, a sixteenth of an octave, keys are spread almost evenly, and even steps cut it into buckets.
+    """
+    place = F.log2(F.greatest(F.col("key"), F.lit(1e-300))) * _CELLS
+    rows = rows.withColumn("cell", F.floor(place).cast("int"))
+    cells = rows.groupBy("source", "cell").agg(F.ceil(F.count("*") / F.lit(ROWS_PER_BUCKET)).alias("steps"))
+    cells = cells.select(F.col("source").alias("s"), F.col("cell").alias("c"), "steps")
+    rows = rows.join(cells, F.col("source").eqNullSafe(F.col("s")) & (F.col("cell") == F.col("c")))
+    step = F.least(F.floor((place - F.col("cell")) * F.col("steps")), F.col("steps") - 1)
+    return rows.withColumn("step", step.cast("long")).drop("s", "c", "steps")
+
+
 def mix_sources(
     docs: DataFrame,
     id_col: str,
@@ -80,7 +96,8 @@ def mix_sources(
     of it fits. Keys are digests of (seed, id, size), so reruns agree.
 
     Running sums are taken inside buckets that follow the key order, and offset by the sums of the buckets
-    before, so that no window holds a source: the number of buckets follows the source's rows.
+    before, so that no window holds a source. Rows are counted by source and cell of the key's logarithm, and each
+    cell is cut into as many even steps as its rows ask for: whatever the qualities of a source, buckets are small.
 
     Null and empty texts have size 0. A source of size 0 has target 0. Null is a source like others, the
     last. Repeated rows are rows of their own; text_key is a hash of the text. Other columns are ignored. An empty table gives none.
@@ -106,20 +123,21 @@ def mix_sources(
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + F.lit(1e-9))).otherwise(0)
     planned = planned.withColumn("epochs", epochs.cast("long"))
     planned = planned.withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("epochs") * F.col("source_size")))
-    # 1 - exp(-key) lies in [0, 1) and follows the key, so equal steps of it are buckets in key order.
-    buckets = F.ceil(F.col("n_rows") / F.lit(ROWS_PER_BUCKET))
-    planned = planned.withColumn("bucket", F.floor((1 - F.exp(-F.col("key"))) * buckets).cast("long"))
+    planned = with_buckets(planned)
 
-    in_source = Window.partitionBy("source").orderBy("bucket")
-    offsets = planned.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
+    in_source = Window.partitionBy("source").orderBy("cell", "step")
+    offsets = planned.groupBy("source", "cell", "step").agg(F.sum("size").alias("bucket_size"))
     offsets = offsets.select(
         F.col("source").alias("s"),
-        F.col("bucket").alias("b"),
+        F.col("cell").alias("c"),
+        F.col("step").alias("t"),
         (F.sum("bucket_size").over(in_source) - F.col("bucket_size")).alias("offset"),
     )
-    in_bucket = Window.partitionBy("source", "bucket").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    bucket = Window.partitionBy("source", "cell", "step")
+    in_bucket = bucket.orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, 0)
     inner = planned.withColumn("upto", F.sum("size").over(in_bucket))
-    summed = inner.join(offsets, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")), "left")
+    same = F.col("source").eqNullSafe(F.col("s")) & (F.col("cell") == F.col("c")) & (F.col("step") == F.col("t"))
+    summed = inner.join(offsets, same, "left")
     middle = F.col("offset") + F.col("upto") - F.col("size") / 2
     copies = F.col("epochs") + F.when((F.col("rest") > 0) & (middle <= F.col("rest")), 1).otherwise(0)
     return summed.select(

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from samplewright.llm import mixing
 from samplewright.llm.mixing import mix_sources, source_targets, word_count
 
 
@@ -57,3 +58,22 @@ def test_odd_texts(odd):
 
 def test_empty(empty):
     assert mix_sources(empty, "doc_id", "text", "source").count() == 0
+
+
+@pytest.mark.parametrize("quality", [0.1, 1.0, 3.0])
+def test_buckets_stay_small_at_any_quality(spark, quality):
+    key = -F.log(mixing.unit_hash(1, F.col("id"))) / quality
+    rows = spark.range(400_000).select(F.lit(None).cast("string").alias("source"), key.alias("key"))
+    found = mixing.with_buckets(rows).groupBy("source", "cell", "step").agg(
+        F.count("*").alias("n"), F.min("key").alias("low"), F.max("key").alias("high")
+    ).orderBy("cell", "step").collect()
+    assert sum(r.n for r in found) == 400_000
+    assert max(r.n for r in found) <= 2 * mixing.ROWS_PER_BUCKET
+    assert all(a.high < b.low for a, b in zip(found, found[1:]))
+
+
+def test_a_source_of_junk(spark):
+    rows = [(i, "#$% " * (1 + i % 5), "junk") for i in range(5000)] + [(i, "word " * 3, "s") for i in range(5000, 6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    per = mix_sources(docs, "doc_id", "text", "source").groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("target"))
+    assert all(abs(r.t - r.target) <= 3 for r in per.collect())
