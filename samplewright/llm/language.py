@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,13 +34,15 @@ STEPS = 1000
 #: Texts whose vectors are held at once.
 _ROWS = 256
 
-_GAPS = re.compile(r"[\W\d_]+")
+#: Everything but letters and the marks that go with them; numerals that are no digits are gaps too.
+_GAPS, _ASCII_GAPS = regex.compile(r"[^\p{L}\p{M}]+"), re.compile(r"[^a-z]+")
 
 
 def _vector(text: str) -> np.ndarray | None:
     """Counts of hashed character n-grams of the lower-cased text, runs of other than letters being one space."""
-    letters = _GAPS.sub(" ", text.lower()).strip()
-    if not letters:
+    lower = text.lower()
+    letters = (_ASCII_GAPS if lower.isascii() else _GAPS).sub(" ", lower).strip()
+    if not any(map(str.isalpha, letters)):
         return None
     codes = np.frombuffer(f" {letters} ".encode("utf-32-le", "surrogatepass"), np.uint32)
     out = np.empty((len(SIZES), BUCKETS), np.float32)
@@ -124,6 +127,16 @@ def _cluster(rows: np.ndarray, count: int, rng: np.random.Generator, rounds: int
     return centroids
 
 
+def _clustered(idf: np.ndarray, centroids: int):
+    def run(sample: pa.Table) -> pa.Table:
+        counts = np.stack([np.frombuffer(c, np.uint32) for c in sorted(sample["counts"].to_pylist())])
+        own = _cluster(_tfidf(counts, idf), centroids, np.random.default_rng(7)).astype(np.float32)
+        langs = pa.array([sample["lang"][0].as_py()] * len(own), pa.string())
+        return pa.table({"lang": langs, "centroid": pa.array([row.tobytes() for row in own], pa.binary())})
+
+    return run
+
+
 def fit(
     training: DataFrame,
     text_col: str,
@@ -134,7 +147,7 @@ def fit(
 ) -> Centroids:
     """Learns from labelled texts; rows without a text, letters or language are ignored.
 
-    Document frequencies come from all training rows, added up by task. Centroids are clustered per language
+    Document frequencies come from all training rows, added up by task. Centroids are clustered per language, in a task,
     from a sample of at most ``fit_rows`` rows of it, those with the smallest hashes of their text, so that
     repeated texts and the order of rows don't matter. The floor below which a text is rejected is ``slack``
     times a low quantile of the cosines that all training texts of the same language and length class have to
@@ -160,18 +173,15 @@ def fit(
     limits = keyed.select("lang", "h", "text_h").distinct().withColumn("first", first).where(F.col("first") <= fit_rows)
     limits = limits.withColumn("rank", rank).where(F.col("rank") <= fit_rows)
     picked = keyed.join(F.broadcast(limits.drop("rank", "first")), ["lang", "h", "text_h"], "left_semi")
-    found = picked.dropDuplicates(["lang", "text_h"]).select("lang", "text").mapInArrow(_sampled_vectors, "lang string, counts binary").collect()
+    sample = picked.dropDuplicates(["lang", "text_h"]).select("lang", "text").mapInArrow(_sampled_vectors, "lang string, counts binary")
+    # Each language's sample is clustered in a task; only centroids come back.
+    found = sample.groupBy("lang").applyInArrow(_clustered(idf, centroids), "lang string, centroid binary").collect()
     languages = sorted({r.lang for r in found})
     if not languages:
         return Centroids(idf, np.zeros((0, DIM), np.float32), np.zeros(0, int), [], np.zeros((0, len(LENGTH_CLASSES) + 1)))
-    rng = np.random.default_rng(7)
-    all_rows, language_of = [], []
-    for i, lang in enumerate(languages):
-        counts = np.stack([np.frombuffer(r.counts, np.uint32) for r in sorted(found, key=lambda r: r.counts) if r.lang == lang])
-        own = _cluster(_tfidf(counts, idf), centroids, rng)
-        all_rows.append(own)
-        language_of += [i] * len(own)
-    model = Centroids(idf, np.concatenate(all_rows).astype(np.float32), np.array(language_of), languages, np.zeros(0))
+    found.sort(key=lambda r: (r.lang, r.centroid))
+    own = np.stack([np.frombuffer(r.centroid, np.float32) for r in found])
+    model = Centroids(idf, own, np.array([languages.index(r.lang) for r in found]), languages, np.zeros(0))
     shared = training.sparkSession.sparkContext.broadcast(model)
     near = rows.mapInArrow(_near(shared), "lang int, length int, step int, n bigint")
     histogram = np.zeros((len(languages), len(LENGTH_CLASSES) + 1, STEPS), np.int64)
