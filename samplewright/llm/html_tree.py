@@ -24,13 +24,23 @@ from pyspark.sql import functions as F
 from ..shipping import ship
 from .labelled_pages import labelled_pages
 
-# Fixed values of HTML: elements without an end tag, without visible text, and inside lines.
+# Fixed values of HTML, SVG and MathML: elements without an end tag, without visible text, and inside lines.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("script style template noscript title head svg math iframe object textarea select option button".split())
+HIDDEN = frozenset("script style template title head iframe textarea select option button".split())
 RAW = frozenset("script style title textarea".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var"
+    " audio canvas map object picture svg video"
+    " circle clippath defs ellipse g image line lineargradient mask path pattern polygon polyline radialgradient rect stop symbol text textpath tspan use"
+    " maction math menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext"
+    " mtr munder munderover semantics".split()
 )
+#: Inside lines and without an end tag.
+INLINE_VOID = frozenset("area embed img param source track wbr".split())
+#: Inside lines and never seen; in SVG its notes, style and script as well.
+UNSEEN, UNSEEN_IN_SVG = frozenset("annotation annotation-xml".split()), frozenset("desc metadata script style title".split())
+#: Inside lines, but drawn apart from what stands around them.
+APART = frozenset("audio canvas object svg text tspan video".split())
 #: Start tags that end an open paragraph, and elements that end an open one of the same kind.
 ENDS_PARAGRAPH = frozenset(
     "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()
@@ -86,12 +96,21 @@ def parse(page: str) -> list[Node]:
                         nodes[block].linked += len(text)
             continue
         tag = name.lower()
+        if tag in INLINE_VOID:
+            continue
+        if tag in UNSEEN or (tag in UNSEEN_IN_SVG and "svg" in inline):
+            if not token.group(1) and not token.group(3).endswith("/"):
+                close = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, at)
+                at = close.end() if close else end
+            continue
         if tag in INLINE:
             if token.group(1):
                 if tag in inline:
                     del inline[len(inline) - 1 - inline[::-1].index(tag)]
-            else:
+            elif not token.group(3).endswith("/"):
                 inline.append(tag)
+            if tag in APART and block >= 0:
+                nodes[block].parts.append(" ")
             continue
         if tag == "br":
             if block >= 0:

@@ -71,3 +71,21 @@ def test_odd_pages(spark):
 
 def test_empty(spark):
     assert H.extract_text(spark.createDataFrame([], "page_id long, url string, html string"), "page_id", "url", "html").count() == 0
+
+
+@pytest.mark.parametrize(("inner", "text"), [
+    ("The energy <math><mi>E</mi><mo>=</mo><msup><mi>m</mi><mn>2</mn></msup></math> is constant here.", "The energy E=m2 is constant here."),
+    ("With <math><semantics><mi>x</mi><annotation encoding='tex'>\\x</annotation></semantics></math> as above.", "With x as above."),
+    ("A chart <svg viewBox='0 0 1 1'><title>t</title><style>p{}</style><path d='M0'/><text>High</text><text>Low</text></svg> of it.", "A chart High Low of it."),
+    ("An <img src='x'> icon and a l<wbr>ong word <svg/>here.", "An icon and a long word here."),
+    ("See <object data='x'><param name='a'>the fallback</object> for it.", "See the fallback for it."),
+    ("A film <video><source src='x'>can't be shown</video> here.", "A film can't be shown here."),
+])
+def test_embedded_parts_stay_in_their_block(inner, text):
+    page = f"<html><body><nav><a href='/'>Home</a></nav><article><h1>Title</h1><p>One line of text.</p><p>{inner}</p><p>Another line.</p></article></body></html>"
+    assert H.main_text(page, H.default_model()).split("\n") == ["Title", "One line of text.", text, "Another line."]
+
+
+def test_parts_without_end(spark):
+    assert H.main_text("<article><p>Some text. <math><annotation>never closed", H.default_model()) == "Some text."
+    assert H.main_text("<article><p>Some text. <svg><desc>never closed <p>x", H.default_model()) == "Some text."
