@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.arrays import ints_to_bytes, label_with_offset, scale_pixels, to_uint8
-from ..operators import feed, generate
+from ..operators import feed, generate, weave
 from ..session import scratch_path, store
 from ..sources import register
 from . import jobs
@@ -95,6 +95,38 @@ def interleave_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feed.interleave_shards(records, "source", "doc_id", cycle_length=4, seed=3)
 
 
+@query(f"""WITH RECURSIVE shards AS (
+  SELECT shard, n, row_number() OVER (ORDER BY {sql_hash("'3:shards:' || shard", 15)}, shard) AS k
+  FROM (SELECT lang || '/' || source AS shard, count(*) AS n FROM documents GROUP BY ALL)),
+-- Each shard goes to the slot that is free first; free holds the turn from which each slot is.
+filled AS (
+  SELECT 0::BIGINT AS k, 0::BIGINT AS slot, 0::BIGINT AS start, [0, 0, 0, 0, 0]::BIGINT[] AS free
+  UNION ALL
+  SELECT s.k, list_position(f.free, list_min(f.free)) - 1, list_min(f.free),
+    f.free[:list_position(f.free, list_min(f.free)) - 1] || [list_min(f.free) + s.n + 1]
+      || f.free[list_position(f.free, list_min(f.free)) + 1:]
+  FROM filled f JOIN shards s ON s.k = f.k + 1),
+records AS (
+  SELECT doc_id, lang || '/' || source AS shard, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) - 1 AS pos FROM documents)
+SELECT doc_id, shard, slot::INTEGER AS slot, pos, start + pos AS turn, row_number() OVER (ORDER BY start + pos, slot) - 1 AS seq
+FROM records JOIN shards USING (shard) JOIN filled USING (k)""")
+def interleave_refill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards of very different lengths over five slots, which are filled again when a shard ends."""
+    shard = F.concat("lang", F.lit("/"), "source").alias("shard")
+    return weave.interleave_refill(table(spark, sf_dir, "documents").select("doc_id", shard), "shard", "doc_id", cycle_length=5, seed=3)
+
+
+@query(f"""WITH placed AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS place, count(*) OVER () AS n FROM orders),
+keyed AS (
+  SELECT o_orderkey, place, n, epoch::INTEGER AS epoch,
+    place + (({sql_hash("'5:buffer:' || epoch || ':' || place", 8)} * 500) >> 32) AS key
+  FROM placed, (SELECT unnest(range(2)) AS epoch))
+SELECT o_orderkey, epoch, place, epoch * n + row_number() OVER (PARTITION BY epoch ORDER BY key, place) - 1 AS rank FROM keyed""")
+def shuffle_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two epochs through a buffer of 500 records."""
+    return weave.shuffle_buffered(_orders(spark, sf_dir).select("o_orderkey"), "o_orderkey", buffer=500, seed=5, epochs=2)
+
+
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
 
