@@ -13,10 +13,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import dot, doubles, same_size, vector_literal, whole_div
+from .asof import as_of
 from .moments import channel_moments, moments_as_arrays
 from .raster import spatial_sum
 
 EPSILON = 1e-5
+STATS = "struct<mean:array<double>,variance:array<double>>"
 
 
 def lookup_class(df: DataFrame, class_id: str, table: DataFrame, fail_on_unknown: bool = True) -> DataFrame:
@@ -70,6 +72,38 @@ def conditional_normalize(
     return joined.withColumn(output, normalized).drop("_stats", "gamma", "beta")
 
 
+def conditional_normalize_as_of(
+    df: DataFrame,
+    image: str,
+    class_id: str,
+    class_table: DataFrame,
+    step: str,
+    versions: DataFrame,
+    channels: int,
+    output: str = "normalized",
+    epsilon: float = EPSILON,
+) -> DataFrame:
+    """``conditional_normalize`` with live moving statistics: each row takes the latest that are not after its ``step``.
+
+    ``versions`` holds (``step``, ``channel``, ``moving_mean``, ``moving_variance``), as :func:`moments.moving_versions`
+    gives it by channel. A version must have all channels. Rows before the first version are an error.
+    """
+    packed = versions.groupBy(F.col(step).alias("_version")).agg(
+        F.sort_array(F.collect_list(F.struct("channel", F.col("moving_mean").alias("mean"), F.col("moving_variance").alias("variance")))).alias("_c")
+    )
+    whole = F.when(
+        F.size("_c") != channels,
+        F.raise_error(F.concat(F.lit("channels are missing in version "), F.col("_version").cast("string"))),
+    )
+    stats = F.struct(F.transform("_c", lambda c: c["mean"]).alias("mean"), F.transform("_c", lambda c: c["variance"]).alias("variance"))
+    packed = packed.select("_version", F.coalesce(whole.cast(STATS), stats).alias("_stats"))
+    joined = as_of(lookup_class(df, class_id, class_table), step, packed, "_version")
+    early = F.raise_error(F.concat(F.lit("no statistics yet at step "), F.coalesce(F.col(step).cast("string"), F.lit("null"))))
+    joined = joined.withColumn("_stats", F.coalesce("_stats", early.cast(STATS)))
+    normalized = _normalize(F.col(image), F.col("_stats"), F.col("gamma"), F.col("beta"), channels, epsilon)
+    return joined.withColumn(output, normalized).drop("_stats", "_version", "gamma", "beta")
+
+
 def normalize(
     df: DataFrame,
     image: str,

@@ -11,6 +11,10 @@ from ..functions.hashing import WORD, hash_word, normal_vector, uniform_int
 from .ranking import ordered_rank
 
 
+#: Shares that a table of class weights is cut into.
+SHARES = 256
+
+
 def with_noise(df: DataFrame, row: str, z_dim: int, seed: int, column: str = "z") -> DataFrame:
     """N(0,1) vector per row id."""
     return df.withColumn(column, normal_vector(seed, F.col(row), z_dim))
@@ -30,16 +34,25 @@ def with_weighted_class(
 
     [0, 1) is cut into cells and each class interval listed under the cells it touches, so a draw
     finds its class by an equality join on the cell, not by comparing with every class. Cells are hit
-    evenly because draws are uniform. The class table is a parameter of the draw and goes through one
-    window.
+    evenly because draws are uniform. The running sums that bound the intervals are taken in shares of the class
+    table in the order of classes, and offset by the sums of the shares before: tables of any size will do.
     """
-    by_class = Window.orderBy("class_id")
     fault = F.raise_error(F.concat(F.lit("weight below 0 or missing: "), F.col("class_id").cast("string"))).cast("double")
     weights = weights.withColumn("weight", F.when(F.col("weight") >= 0, F.col("weight").cast("double")).otherwise(fault))
-    upto = F.sum("weight").over(by_class.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    everything = F.sum("weight").over(by_class.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    bounds = weights.withColumn("_hi", upto / everything)
-    bounds = bounds.withColumn("_lo", F.coalesce(F.lag("_hi").over(by_class), F.lit(0.0)))
+    cuts = weights.select(F.col("class_id").cast("double").alias("_at")).approxQuantile("_at", [i / SHARES for i in range(1, SHARES)], 1 / (4 * SHARES))
+    limits = F.array(*[F.lit(c) for c in sorted(set(cuts))]) if cuts else F.array().cast("array<double>")
+    weights = weights.withColumn("_share", F.size(F.filter(limits, lambda c: c < F.col("class_id"))))
+    sums = weights.groupBy("_share").agg(F.sum("weight").alias("weight")).orderBy("_share").collect()  # at most SHARES rows
+    total, before = sum(r.weight for r in sums), {}
+    for i, r in enumerate(sums):
+        before[r._share] = sum(x.weight for x in sums[:i])
+    start = F.element_at(F.create_map(*[F.lit(x) for pair in before.items() for x in pair]), F.col("_share")) if before else F.lit(0.0)
+    in_share = Window.partitionBy("_share").orderBy("class_id")
+    upto = F.sum("weight").over(in_share.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    bounds = weights.withColumn("_start", start).withColumn("_upto", upto)
+    below = F.coalesce(F.lag("_upto").over(in_share), F.lit(0.0))
+    whole = F.lit(float(total))
+    bounds = bounds.withColumn("_lo", (F.col("_start") + below) / whole).withColumn("_hi", (F.col("_start") + F.col("_upto")) / whole)
     bounds = bounds.select(F.col("class_id").alias(column), "_lo", "_hi")
     intervals = bounds.filter(F.col("_lo") < F.col("_hi")).withColumn(
         "_cell",

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..commits import CommitConflict, CommitLog
 from ..functions.arrays import L2_EPSILON, dot, doubles, l2_normalize, map_with, vector_literal, whole_div
 from ..functions.hashing import normal_vector
 from ..session import store
@@ -237,37 +238,42 @@ def rescale_map(class_map: DataFrame, vector: str, u: str, num_iters: int = 1, e
 
 
 class SpectralState:
-    """``u`` kept between calls in a small versioned table (columns ``version``, ``u``).
+    """``u`` kept between calls in a state table, one version for each commit.
 
     Modes: 'update' stores the new u, 'frozen' leaves the stored one alone, 'deferred' hands the new u
-    to the caller, who stores it with :meth:`commit`.
+    to the caller, who stores it with :meth:`commit`. A version can be stored once: a writer that goes on from a
+    version which another writer has followed gets a CommitConflict, and starts again from :meth:`refresh`.
     """
 
-    def __init__(self, spark: SparkSession, path: str, size: int, seed: int = 0):
-        self.spark, self.path = spark, path.rstrip("/")
-        # The number of versions is known to the writer; a lost driver finds the newest by listing.
-        self.version = self._newest()
-        if self.version is None:
-            self.version = -1
-            self.commit(spark.range(1).select(start_vector(size, seed)).first()[0])
-
-    def _newest(self) -> int | None:
-        from pyspark.errors import AnalysisException
-
-        try:
-            return self.spark.read.schema("version int, u array<double>").parquet(self.path).agg(F.max("version")).first()[0]
-        except AnalysisException:
-            return None
+    def __init__(self, spark: SparkSession, path: str, size: int, seed: int = 0, start: Sequence[float] | None = None):
+        self.spark, self.log = spark, CommitLog(spark, path)
+        self.version = self.log.newest()
+        if self.version < 0:
+            first = spark.range(1).select(start_vector(size, seed)).first()[0] if start is None else start
+            try:
+                self.commit(first)
+            except CommitConflict:  # another writer has begun, with the same vector
+                self.refresh()
+
+    def refresh(self) -> int:
+        """Goes on from the newest version."""
+        self.version = self.log.newest()
+        return self.version
 
     def current(self) -> list[float]:
-        rows = self.spark.read.schema("version int, u array<double>").parquet(self.path)
-        return rows.filter(F.col("version") == self.version).first().u
+        """The u of the version that this writer goes on from."""
+        return self.log.read(self.version)["u"]
 
     def commit(self, u: Sequence[float]) -> None:
-        row = self.spark.createDataFrame([(self.version + 1, [float(x) for x in u])], "version int, u array<double>")
-        row.coalesce(1).write.mode("append").parquet(self.path)
+        """Stores u as the version after the one that was read."""
+        self.log.commit(self.version + 1, {"u": [float(x) for x in u]})
         self.version += 1
 
+    def table(self) -> DataFrame:
+        """All versions: (version, u)."""
+        rows = [(v, self.log.read(v)["u"]) for v in range(self.log.newest() + 1)]
+        return self.spark.createDataFrame(rows, "version int, u array<double>")
+
     def step(self, matrix: DataFrame, weights: str, num_iters: int = 1, mode: str = "update") -> tuple[float, list[float]]:
         """(sigma, new u) for the matrix as it is now."""
         if mode not in ("update", "frozen", "deferred"):

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
@@ -163,6 +164,52 @@ def moving_moments(
     )
 
 
+def moving_versions(
+    batches: DataFrame,
+    batch: str,
+    keys: Sequence[str],
+    decay: float = 0.999,
+    initial_mean: float = 0.0,
+    initial_variance: float = 1.0,
+) -> DataFrame:
+    """Moving mean and variance after each batch, that is, all versions of the state: (keys, batch, moving_mean, moving_variance).
+
+    Input as for :func:`moving_moments`. The updates of a key are cut into chunks of consecutive batches. Inside a
+    chunk the state is a running sum of weighted updates; what a chunk carries over to the next is one number, and
+    those of a key are folded in order. No window sees more than a chunk.
+    """
+    if not 0 < decay < 1:
+        raise ValueError("decay must lie between 0 and 1")
+    chunk = max(1, min(1024, int(100 / -math.log10(decay))))  # weights stay within 10**100
+    values = {"moving_mean": ("mean", initial_mean), "moving_variance": ("variance", initial_variance)}
+    ranked = ordered_rank(batches, batch, group=keys, rank="_t")
+    ranked = ranked.withColumn("_chunk", whole_div(F.col("_t"), chunk)).withColumn("_in", F.col("_t") % chunk)
+    upto = Window.partitionBy(*keys, "_chunk").orderBy("_in").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    for name, (column, _) in values.items():
+        grown = F.sum(F.col(column) * F.pow(F.lit(1 / decay), F.col("_in"))).over(upto)
+        ranked = ranked.withColumn(f"_{name}", (1 - decay) * grown * F.pow(F.lit(decay), F.col("_in")))
+
+    # What a chunk adds by its end, and its length; the state before each chunk follows from those before it.
+    last = [F.max_by(f"_{name}", "_in").alias(name) for name in values]
+    chunks = ranked.groupBy(*keys, "_chunk").agg((F.max("_in") + 1).alias("n"), *last)
+    listed = chunks.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_chunk", "n", *values))).alias("_all"))
+
+    def carried(name: str, initial: float):
+        def add(states, c):
+            return F.concat(states, F.array(F.element_at(states, -1) * F.pow(F.lit(decay), c["n"]) + c[name]))
+
+        return F.aggregate(F.col("_all"), F.array(F.lit(float(initial))), add)
+
+    starts = listed.select(*keys, "_all", *[carried(name, initial).alias(f"_s_{name}") for name, (_, initial) in values.items()])
+    zipped = F.arrays_zip(F.transform("_all", lambda c: c["_chunk"]).alias("c"), *[f"_s_{name}" for name in values])
+    starts = starts.select(*keys, F.explode(zipped).alias("z")).where("z.c IS NOT NULL")
+    starts = starts.select(*keys, F.col("z.c").alias("_chunk"), *[F.col(f"z._s_{name}") for name in values])
+    decayed = F.pow(F.lit(decay), F.col("_in") + 1)
+    return ranked.join(starts, [*keys, "_chunk"]).select(
+        *keys, batch, *[(F.col(f"_s_{name}") * decayed + F.col(f"_{name}")).alias(name) for name in values]
+    )
+
+
 # --- full covariance: mergeable tiles -----------------------------------------------------------
 #
 # A task folds its rows into (n, mean, centred cross products) and emits the matrix in square tiles.

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import ints_to_bytes, label_with_offset, scale_pixels, to_uint8
 from ..operators import feed, generate, weave
+from ..operators.runs import RunTable
 from ..session import scratch_path, store
 from ..sources import register
 from . import jobs
@@ -213,6 +214,46 @@ def accumulate_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feed.accumulate([vectors.filter("run = 0"), vectors.filter("run = 1").select("run", "label", "vec_id")])
 
 
+@query("""SELECT vec_id, label, CASE WHEN vec_id % 2 = 0 THEN 'even' ELSE 'odd' END AS run FROM embeddings""")
+def accumulate_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs that append to one table, the first one twice: its second attempt replaces what the first one left."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    runs = RunTable(spark, scratch_path(spark, "runs"))
+    even = F.col("vec_id") % 2 == 0
+    runs.append("even", vectors.filter(even).withColumn("label", F.lit(-1)))
+    runs.append("odd", vectors.filter(~even).select("label", "vec_id"))
+    runs.append("even", vectors.filter(even))
+    return runs.read()
+
+
+@query("""SELECT CASE WHEN vec_id % 7 = 3 THEN 'image_raw has 63 bytes, not 64'
+    WHEN vec_id % 7 = 5 THEN 'missing feature ' || chr(39) || 'label' || chr(39) END AS reason,
+  count(*) AS records, sum(CASE WHEN vec_id % 7 IN (3, 5) THEN NULL ELSE label END)::BIGINT AS labels, count(*) AS places
+FROM embeddings GROUP BY reason""")
+def quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Record files with planted damage, sorted in one scan: how many records came through, and how many did not for which reason."""
+    register(spark)
+    source = scratch_path(spark, "damaged")
+    pixels = ints_to_bytes(to_uint8(F.col("embedding")))
+    images = table(spark, sf_dir, "embeddings").select(
+        F.when(F.col("vec_id") % 7 == 3, F.substring(pixels, 1, 63)).otherwise(pixels).alias("image_raw"),
+        F.col("label").cast("bigint").alias("label"),
+        "vec_id",
+    )
+    images.filter("vec_id % 7 <> 5").write.format("tfrecord").mode("append").save(source)
+    images.filter("vec_id % 7 = 5").drop("label").write.format("tfrecord").mode("append").save(source)
+    made = jobs.Sorted(spark, scratch_path(spark, "sorted"))
+    made.write(source, image_bytes=64)
+    good = made.good().agg(
+        F.lit(None).cast("string").alias("reason"), F.count("*").alias("records"), F.sum("label").alias("labels"),
+        F.count_distinct("_shard", "_offset").alias("places"),
+    )
+    bad = made.bad().groupBy("reason").agg(
+        F.count("*").alias("records"), F.lit(None).cast("bigint").alias("labels"), F.count_distinct("shard", "offset").alias("places")
+    )
+    return good.unionByName(bad)
+
+
 # --- sample tables -------------------------------------------------------------------------------
 
 

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..commits import CommitLog
 from ..functions.arrays import label_with_offset
 from ..functions.hashing import hash_word, normal_vector, uniform_int
 from ..operators.feed import assign_batches, head_per_batch, shuffle_records, split_towers, take_batches
@@ -37,6 +40,56 @@ def read_images(
     }).drop("image_raw")
 
 
+class Sorted:
+    """Records sorted into good and bad ones: ``write`` scans record files once, ``good`` and ``bad`` read what it wrote.
+
+    Both parts are written by the same tasks in the same job, and one commit makes them visible together. Writing again
+    makes a new pair; readers go on with the newest, or with the commit they name.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self.log = CommitLog(spark, f"{self.path}/commits")
+
+    def write(self, source: str, image_bytes: int, extra: str = "", **options: str) -> int:
+        """Reads the record files below ``source``; returns the number of the commit.
+
+        A record whose payload is damaged, lacks a feature or has an image of another size is a bad one. Damage to
+        the framing, after which no record of the file can be found, is still an error.
+        """
+        register(self.spark)
+        columns = f"image_raw BINARY, label BIGINT{', ' + extra if extra else ''}, _shard STRING, _offset BIGINT, _corrupt_record BINARY, _reason STRING"
+        reader = self.spark.read.format("tfrecord").schema(columns).options(imageBytes=str(image_bytes), mode="PERMISSIVE", **options)
+        folder = uuid.uuid4().hex
+        records = reader.load(source).withColumn("bad", F.col("_reason").isNotNull())
+        records.write.partitionBy("bad").parquet(f"{self.path}/data/{folder}")
+        names = [f.name for f in records.schema if f.name not in ("bad", "_corrupt_record", "_reason")]
+        number = self.log.newest() + 1
+        self.log.commit(number, {"folder": folder, "good": names, "schema": records.drop("bad").schema.jsonValue()})
+        return number
+
+    def _part(self, bad: bool, number: int | None) -> tuple[DataFrame, dict]:
+        number = self.log.newest() if number is None else number
+        if number < 0:
+            raise ValueError(f"nothing has been written to {self.path}")
+        value = self.log.read(number)
+        schema = T.StructType.fromJson(value["schema"]).add("bad", T.BooleanType())
+        # The folder of both parts can be read even if one has no rows; the filter prunes the other one.
+        rows = self.spark.read.schema(schema).parquet(f"{self.path}/data/{value['folder']}")
+        return rows.where(F.col("bad") == bad).drop("bad"), value
+
+    def good(self, number: int | None = None) -> DataFrame:
+        """The decoded features, and where each record comes from."""
+        rows, value = self._part(False, number)
+        return rows.select(*value["good"])
+
+    def bad(self, number: int | None = None) -> DataFrame:
+        """(shard, offset, reason, payload) of the records that can't be used."""
+        rows, _ = self._part(True, number)
+        named = {"shard": "_shard", "offset": "_offset", "reason": "_reason", "payload": "_corrupt_record"}
+        return rows.select(*[F.col(c).alias(name) for name, c in named.items()])
+
+
 def training_feed(
     records: DataFrame,
     record: str,

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..operators import losses as L
 from ..operators import metriclog, moments, quality
 from ..operators.raster import spatial_sum as channel_sums
-from ..session import scratch_path
+from ..session import scratch_path, store
 from ..streaming.moving import read_moving_moments, start_moving_moments
+from ..streaming.snapshots import SnapshotMetrics, read_metrics
 from .registry import EMB, query, rounded, table
 
 LOSS_NAMES = ["d_loss_real", "d_loss_fake", "d_loss", "g_loss", "logit_real", "logit_fake"]
@@ -234,3 +235,31 @@ def snapshot_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
         "snapshot_id", "n_real", "n_generated",
         rounded("frechet_distance").alias("frechet_distance"), rounded("classifier_score").alias("classifier_score"),
     )
+
+
+@query(f"""WITH {EMB}, {_score_sql("vec_id % 5", "WHERE vec_id % 2 = 1")}, {_frechet_sql("vec_id % 5")}
+SELECT f.key AS snapshot_id, n_real, n_generated, round(distance, 6) + 0.0 AS frechet_distance,
+  round(score, 6) + 0.0 AS classifier_score
+FROM frechet f JOIN scores USING (key) ORDER BY f.key LIMIT 4""")
+def snapshot_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream of scored samples that would run for ever, evaluated snapshot by snapshot (id modulo 5) and stopped after four.
+
+    Each snapshot arrives in two files. The evaluation stops after two snapshots and is started again.
+    """
+    rows = _sides(spark, sf_dir).select(
+        (F.col("vec_id") % 5).alias("snapshot_id"), "is_generated", "halves", "embedding",
+        (F.col("vec_id") % 5 + F.floor(F.col("vec_id") / 5) % 2).alias("_file"),
+    )
+    rows = store(rows, "samples")
+    source, out, checkpoint = (scratch_path(spark, f"snapshots-{name}") for name in ("in", "out", "checkpoint"))
+    for file in range(6):
+        rows.filter(F.col("_file") == file).drop("_file").coalesce(1).write.mode("append").parquet(source)
+    expected = rows.groupBy("snapshot_id", "is_generated").agg(F.count("*").alias("expected"))
+    for stop_after in (2, 4):
+        samples = spark.readStream.schema(rows.drop("_file").schema).option("maxFilesPerTrigger", 1).parquet(source)
+        live = SnapshotMetrics(samples, "snapshot_id", "halves", "embedding", expected, out, stop_after)
+        live.run(checkpoint, {"processingTime": "100 milliseconds"})
+    return read_metrics(spark, out).select(
+        "snapshot_id", "n_real", "n_generated",
+        rounded("frechet_distance").alias("frechet_distance"), rounded("classifier_score").alias("classifier_score"),
+    )

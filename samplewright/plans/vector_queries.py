@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from ..functions import arrays as A
 from ..operators import attention, classes, linalg, moments, raster, scoring
 from ..operators.checks import prefix_split, shape_report
-from ..session import store
+from ..session import scratch_path, store
+from ..streaming.moving import read_batches, start_moving_moments
 from . import jobs
 from .feed_queries import _normal_sql
 from .registry import EMB, query, rounded, sql_hash, table
@@ -203,6 +204,41 @@ def conditional_normalize_moving(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tall(made, "normalized")
 
 
+# Rows of a batch of the stream that keeps the moving statistics.
+LIVE_BATCH = 32
+
+
+@query(f"""WITH RECURSIVE {EMB},
+stats AS (
+  SELECT j % 4 AS channel, vec_id // {LIVE_BATCH} AS batch, avg(v) AS m, var_pop(v) AS s FROM emb GROUP BY ALL),
+live AS (
+  SELECT channel, batch, 0.1::DOUBLE * m AS mean, 0.9::DOUBLE + 0.1::DOUBLE * s AS variance FROM stats WHERE batch = 0
+  UNION ALL
+  SELECT s.channel, s.batch, 0.9::DOUBLE * l.mean + 0.1::DOUBLE * s.m, 0.9::DOUBLE * l.variance + 0.1::DOUBLE * s.s
+  FROM live l JOIN stats s ON s.channel = l.channel AND s.batch = l.batch + 1),
+-- A row at step vec_id sees the batches that are complete by then, and the first one in any case.
+seen AS (SELECT vec_id, greatest((vec_id + 1) // {LIVE_BATCH} - 1, 0) AS batch FROM embeddings)
+SELECT vec_id, j::INTEGER AS pos,
+  round((v - mean) / sqrt(variance + 1e-5) * {CLASS_SQL} + label / 100.0::DOUBLE, 6) + 0.0 AS v
+FROM emb JOIN seen USING (vec_id) JOIN live ON live.batch = seen.batch AND live.channel = j % 4""")
+def conditional_normalize_live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With the moving statistics of a stream as they stood at each row's step, the first batch's for the rows in it.
+
+    The state has one version after each batch, numbered by the step at which the batch is complete.
+    """
+    vectors = _embeddings(spark, sf_dir)
+    stream = spark.readStream.schema(vectors.schema).parquet(f"{sf_dir}/embeddings.parque[t]")
+    values = stream.select(F.floor(F.col("vec_id") / LIVE_BATCH).alias("batch"), F.posexplode("embedding").alias("j", "value"))
+    values = values.select((F.col("j") % CHANNELS).alias("channel"), "batch", "value")
+    state, checkpoint = scratch_path(spark, "live"), scratch_path(spark, "live-checkpoint")
+    start_moving_moments(values, ["channel"], "batch", "value", state, checkpoint).awaitTermination()
+    versions = moments.moving_versions(read_batches(spark, state, ["channel"], "batch"), "batch", ["channel"], decay=0.9)
+    complete = F.when(F.col("batch") == 0, 0).otherwise((F.col("batch") + 1) * LIVE_BATCH - 1)
+    versions = store(versions.withColumn("vec_id", complete.cast("bigint")).drop("batch"), "versions")
+    made = classes.conditional_normalize_as_of(vectors, "embedding", "label", _class_parameters(vectors), "vec_id", versions, CHANNELS)
+    return _tall(made, "normalized")
+
+
 @query(f"""WITH {EMB}, {_channel_stats_sql("j")}
 SELECT vec_id, j::INTEGER AS pos, round((v - m) / sqrt(s + 1e-5), 6) + 0.0 AS v
 FROM emb JOIN stats ON j = channel""")
@@ -360,6 +396,37 @@ def spectral_norm_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tall.withColumn("u", rounded("u"))
 
 
+# In 'update' mode call i goes on from u of call i - 1; 'frozen' and 'deferred' calls all start from the stored u, and the
+# last deferred one is committed by the caller. (mode, call, version after it, power step of its sigma, stored u).
+_STATE_CALLS = (
+    [("update", i, i, i, i) for i in (1, 2, 3)]
+    + [("frozen", i, 0, 1, 0) for i in (1, 2, 3)]
+    + [("deferred", i, i // 3, 1, i // 3) for i in (1, 2, 3)]
+)
+
+
+@query(f"""WITH {EMB}, {_power_steps_sql(3)},
+sigmas AS ({" UNION ALL ".join(f"SELECT {i} AS i, sum(s * u) AS sigma FROM w{i} JOIN u{i} USING (j)" for i in (1, 2, 3))}),
+us AS ({" UNION ALL ".join(f"SELECT {i} AS i, j, u FROM u{i}" for i in range(4))}),
+calls(mode, call, version, step, stored) AS (VALUES {", ".join(str(c) for c in _STATE_CALLS)})
+SELECT mode, call::INTEGER AS call, version::INTEGER AS version, j::INTEGER AS pos, round(sigma, 6) + 0.0 AS sigma, round(u, 6) + 0.0 AS u
+FROM calls JOIN sigmas ON sigmas.i = step JOIN us ON us.i = stored""")
+def spectral_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three calls in each mode of the stored u: sigma, and the version and u that are stored after the call."""
+    vectors = _embeddings(spark, sf_dir)
+    rows = []
+    for mode in ("update", "frozen", "deferred"):
+        state = linalg.SpectralState(spark, scratch_path(spark, f"state-{mode}"), 64, start=[1.0] * 64)
+        for call in (1, 2, 3):
+            sigma, u = state.step(vectors, "embedding", mode=mode)
+            if mode == "deferred" and call == 3:
+                state.commit(u)
+            rows.append((mode, call, state.version, sigma, state.current()))
+    made = spark.createDataFrame(rows, "mode string, call int, version int, sigma double, u array<double>")
+    tall = made.select("mode", "call", "version", rounded("sigma").alias("sigma"), F.posexplode("u").alias("pos", "u"))
+    return tall.withColumn("u", rounded("u"))
+
+
 @query(f"""WITH {EMB}, n AS (SELECT *, (CASE WHEN label < 5 THEN 'model/d_' ELSE 'model/g_' END) || label AS name FROM emb)
 SELECT name, j::INTEGER AS pos, count(*) AS contributors, round(avg(v), 6) + 0.0 AS v FROM n GROUP BY name, j""")
 def aligned_vector_mean(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,8 +8,8 @@ offset whose 12 bytes are a length and its checksum. A chance match inside a pay
 the reader of the range before, which knows the true record limits and fails the job rather than let
 both read on; ``splitBytes=0`` then reads each file in one piece.
 
-Columns are features of the messages, but for three: ``_shard STRING`` and ``_offset BIGINT``, the file and the
-byte at which a record begins, which together identify it, and ``_corrupt_record``.
+Columns are features of the messages, but for four: ``_shard STRING`` and ``_offset BIGINT``, the file and the
+byte at which a record begins, which together identify it, ``_corrupt_record``, and ``_reason STRING``, why it is one.
 
 A path without a scheme is a local one; name the scheme on a cluster.
 
@@ -43,7 +43,7 @@ from .crc32c import masked_crc32c, masked_crc32c_of_windows
 from .example import decode_example, encode_example
 
 SCHEMA = "image_raw BINARY NOT NULL, label BIGINT NOT NULL"
-CORRUPT, SHARD, OFFSET = "_corrupt_record", "_shard", "_offset"
+CORRUPT, REASON, SHARD, OFFSET = "_corrupt_record", "_reason", "_shard", "_offset"
 HEADER = 12
 TRAILER = 4
 DEFAULT_SPLIT = 128 << 20
@@ -95,8 +95,8 @@ class TFRecordSource(DataSource):
 def _feature_types(schema: T.StructType) -> dict[str, type]:
     kinds = {}
     for field in schema.fields:
-        if field.name in (CORRUPT, SHARD, OFFSET):
-            wanted = {SHARD: T.StringType, OFFSET: T.LongType}.get(field.name)
+        if field.name in (CORRUPT, REASON, SHARD, OFFSET):
+            wanted = {SHARD: T.StringType, REASON: T.StringType, OFFSET: T.LongType}.get(field.name)
             if wanted and not isinstance(field.dataType, wanted):
                 raise RecordError(f"column {field.name} must be {wanted().simpleString()}")
             continue
@@ -192,7 +192,7 @@ class TFRecordReader(DataSourceReader):
         except ValueError as fault:
             if self.mode == "FAILFAST":
                 raise RecordError(f"{path}: {fault}") from fault
-            return {CORRUPT: payload}
+            return {CORRUPT: payload, REASON: str(fault)}
 
     def _batch(self, rows: list[dict]) -> pa.RecordBatch:
         arrow = to_arrow_schema(self.schema)
