@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -24,27 +25,55 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from ..session import scratch_path, store
 from ..shipping import ship
 from . import rans
-from .arrow import mapped_bytes, pieces, word_lists
+from .arrow import PIECE_BYTES, mapped_bytes, pieces, word_lists
 
 #: Ids in a block, ids in a shard, steps between checkpoints.
 BLOCK_IDS, SHARD_IDS, CHECKPOINT_STEPS = 1 << 19, 1 << 24, 128
 #: Words whose ids a Python worker remembers.
-_REMEMBERED = 200_000
+_REMEMBERED = 500_000
 
 _SPACES = bytes(32 if c in b"\t\n\x0b\x0c\r" else c for c in range(256))
 _MARKS = "".join(c for c in string.punctuation if c != "'")
 #: What workers remember, by tokenizer: kept from task to task.
-_MEMORY: dict[int, tuple[object, dict[str, bytes]]] = {}
-
-
-def _coder(key: int, definition: str):
+_MEMORY: dict[tuple, tuple[object, _Known]] = {}
+
+
+class _Known:
+    """Ids of words, and of stems and marks that words are made of: one pool of ids, looked up in bulk."""
+
+    def __init__(self, kind: type):
+        self.words, self.pool = pa.array([], pa.large_string()), np.zeros(0, kind)
+        self.starts = self.sizes = np.zeros(0, np.int64)
+
+    def find(self, parts: pa.Array, tokenizer) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(place of each part, pool of ids, starts and sizes by place). Parts not known yet are tokenized."""
+        words, pool, starts, sizes = self.words, self.pool, self.starts, self.sizes
+        at = pc.index_in(parts, value_set=words)
+        if at.null_count:
+            fresh = parts.filter(pc.is_null(at)).unique()
+            names, coded = fresh.to_pylist(), []
+            for start in range(0, len(names), 20_000):
+                coded += [c.ids for c in tokenizer.encode_batch_fast(names[start : start + 20_000], add_special_tokens=False)]
+            more = np.array([len(c) for c in coded], np.int64)
+            words = pa.concat_arrays([words, fresh])
+            starts = np.concatenate([starts, len(pool) + np.cumsum(more) - more])
+            pool = np.concatenate([pool, np.array([i for c in coded for i in c], pool.dtype)])
+            sizes = np.concatenate([sizes, more])
+            at = pc.index_in(parts, value_set=words)
+            # Frequent words come early; once the memory is full, rare ones are worked out again.
+            if len(self.words) < _REMEMBERED:
+                self.words, self.pool, self.starts, self.sizes = words, pool, starts, sizes
+        return at.to_numpy(zero_copy_only=False).astype(np.int64), pool, starts, sizes
+
+
+def _coder(key: tuple, definition: str, kind: type):
     """The tokenizer and what it is known to give, set up once in each worker."""
     if key not in _MEMORY:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         _MEMORY.clear()
-        _MEMORY[key] = (Tokenizer.from_str(definition), {})
+        _MEMORY[key] = (Tokenizer.from_str(definition), _Known(kind))
     return _MEMORY[key]
 
 
@@ -64,51 +93,60 @@ def splits_at_spaces(definition: str) -> bool:
     return marked and all(ids(text) == apart for text in spaced)
 
 
-def _word_ids(words: list[str], tokenizer, known: dict[str, bytes], kind: type) -> list[bytes]:
-    """Ids of words without white space. Latin letters followed by marks are looked up in parts, in lower case."""
-    plans, missing = [], {}
-    for word in words:
-        parts = (word,)
-        if word and word not in known and max(word) < "Ā":
-            low = word.lower()
-            stem = low.rstrip(_MARKS)
-            if stem.isalpha():
-                parts = (stem, low[len(stem) :]) if len(stem) < len(low) else (stem,)
-        plans.append(parts)
-        for part in parts:
-            if part not in known:
-                missing[part] = None
-    names = list(missing)
-    fresh: dict[str, bytes] = {}
-    for start in range(0, len(names), 20_000):
-        some = names[start : start + 20_000]
-        for name, coded in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-            fresh[name] = np.array(coded.ids, kind).tobytes()
-    out = [b"".join([fresh[p] if p in fresh else known[p] for p in parts]) for parts in plans]
-    # Frequent words come early; once the memory is full, rare ones are worked out again.
-    if len(known) < _REMEMBERED:
-        known.update(fresh)
-    return out
+def _cut_marks(words: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """Words as a first part and the marks after it: Latin letters followed by marks are cut, in lower case, others stay whole."""
+    latin = pc.match_substring_regex(words, r"^[\x{00}-\x{FF}]+$")
+    low = pc.utf8_lower(words)
+    stem = pc.utf8_rtrim(low, characters=_MARKS)
+    cut = pc.and_(latin, pc.utf8_is_alpha(stem))
+    first = pc.if_else(cut, stem, words)
+    # The marks are the bytes of the lower-cased word after its stem.
+    size, kept = (pc.binary_length(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in (low, stem))
+    rest = np.where(cut.to_numpy(zero_copy_only=False), size - kept, 0)
+    offsets, data = np.frombuffer(low.buffers()[1], np.int64)[low.offset :][: len(low)], np.frombuffer(low.buffers()[2] or b"", np.uint8)
+    ends = np.concatenate([[0], np.cumsum(rest)])
+    at = np.repeat(offsets + kept - ends[:-1], rest) + np.arange(ends[-1])
+    marks = pa.LargeStringArray.from_buffers(len(low), pa.py_buffer(ends), pa.py_buffer(data[at].tobytes()))
+    return first, marks
+
+
+def _spread(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """begins[i], begins[i] + 1, ... sizes[i] times, one after the other."""
+    before = np.cumsum(sizes) - sizes
+    return np.repeat(begins - before, sizes) + np.arange(int(sizes.sum()))
+
+
+def _word_ids(words: pa.Array, tokenizer, known: _Known) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of words without white space one after the other, how many ids each has)."""
+    if not len(words):
+        return known.pool[:0], np.zeros(0, np.int64)
+    first, marks = _cut_marks(words)
+    at, pool, starts, sizes = known.find(pa.concat_arrays([first, marks]), tokenizer)
+    head, tail = at[: len(words)], at[len(words) :]
+    total = sizes[head] + sizes[tail]
+    begins = np.cumsum(total) - total
+    out = np.empty(int(total.sum()), pool.dtype)
+    out[_spread(begins, sizes[head])] = pool[_spread(starts[head], sizes[head])]
+    out[_spread(begins + sizes[head], sizes[tail])] = pool[_spread(starts[tail], sizes[tail])]
+    return out, total
 
 
 def _tokenize(shared, end_id: int, kind: type, by_word: bool, schema: T.StructType):
     target = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, known = _coder(shared.id, shared.value)
+        tokenizer, known = _coder((shared.id, kind), shared.value, kind)
         end = np.array([end_id], kind)
         width = np.dtype(kind).itemsize
         for batch in batches:
-            for piece in pieces(batch, 1):
+            for piece in pieces(batch, 1, 2 * PIECE_BYTES):
                 if by_word:
                     offsets, distinct, index = word_lists(mapped_bytes(piece.column(1), _SPACES))
-                    coded = _word_ids(distinct.to_pylist(), tokenizer, known, kind)
-                    sizes = np.array([len(c) // width for c in coded], np.int64)
-                    pool = np.frombuffer(b"".join(coded), kind)
+                    pool, sizes = _word_ids(distinct, tokenizer, known)
                     begins = np.cumsum(sizes) - sizes
                     lengths = sizes[index] if len(index) else np.zeros(0, np.int64)
                     upto = np.concatenate([[0], np.cumsum(lengths)])
-                    at = np.repeat((begins[index] if len(index) else lengths) - upto[:-1], lengths) + np.arange(upto[-1])
+                    at = _spread(begins[index] if len(index) else lengths, lengths)
                     flat, ends = pool[at], upto[offsets[1:]]
                 else:
                     encoded = tokenizer.encode_batch_fast([t or "" for t in piece.column(1).to_pylist()], add_special_tokens=False)

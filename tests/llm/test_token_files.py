@@ -2,7 +2,9 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from samplewright.llm import rans, token_files
@@ -102,3 +104,32 @@ def test_odd_texts(odd):
 
 def test_empty(empty):
     assert token_files.encode_and_read(empty, "doc_id", "text", tokenizer_file(), END_ID).count() == 0
+
+
+def _strings(rng, n):
+    letters = "abcXYZéÉßÿÀªºµ×÷¼²"
+    kinds = [letters, letters + "!?.,-_'\"()[]{}#$%&*+/<=>@\\^`|~", "0123456789.,", "İıſΣσςK", "漢字かな한", "́̈‍️­", "😀👍🏽\x00\x1c\x85  "]
+    special = ["<|startoftext|>", "<|endoftext|>", "</w>", "'s", "'LL", "n't", "..."]
+    return [
+        "".join(rng.choice(special) if rng.random() < 0.08 else rng.choice(rng.choice(kinds)) for _ in range(rng.randint(0, 9)))
+        for _ in range(n)
+    ]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_random_strings_against_whole_texts(seed):
+    rng = random.Random(seed)
+    coder = Tokenizer.from_file(tokenizer_file())
+    with open(tokenizer_file(), encoding="utf-8") as f:
+        definition = f.read()
+
+    class Shared:
+        value, id = definition, 17
+
+    texts = [rng.choice([" ", "\n", "\t\r\n ", "\x0b\x0c"]).join(_strings(rng, rng.randint(0, 12))) for _ in range(4000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["id", "text"])
+    schema = T.StructType().add("id", "long").add("n", "long").add("data", "binary")
+    made = token_files._tokenize(Shared, END_ID, np.uint16, True, schema)(iter([batch.slice(0, 1500), batch.slice(1500)]))
+    got = [np.frombuffer(x.as_py(), np.uint16).tolist() for b in made for x in b.column(2)]
+    want = [[*e.ids, END_ID] for e in coder.encode_batch(texts, add_special_tokens=False)]
+    assert got == want
