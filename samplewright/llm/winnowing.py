@@ -87,23 +87,37 @@ def shared_spans(
 ) -> DataFrame:
     """Stretches of ``span`` words or more around joined fingerprints: (key, item, start, end).
 
-    documents is (key, words), items is (item, words).
+    documents is (key, words), items is (item, words). The work is linear in the length of a text.
     """
     k = min(k, span)
     items = items.where(F.size("words") >= span)
-    theirs = items.select("item", "words", F.explode(fingerprints("words", k, span)).alias("code"))
-    theirs = theirs.select("item", *_context("words", _place(F.col("code")), k, span))
+
+    def contexts(places: Column) -> Column:
+        """The stretches around places, built inside the row: its words aren't copied to each of them."""
+        return F.transform(places, lambda p: F.struct(p.alias("place"), *_context("words", p, k, span)))
+
+    theirs = items.select("item", F.explode(contexts(F.transform(fingerprints("words", k, span), _place))).alias("c"))
+    theirs = theirs.select("item", "c.gram", "c.left", "c.right")
     # Items that say the same around a place are one row.
     theirs = theirs.groupBy("gram", "left", "right").agg(F.collect_set("item").alias("found_items"))
     theirs = store(theirs.withColumn("fp", F.xxhash64("gram")), "fingerprints")
 
+    # Fingerprints alone are looked up first; only documents with a hit are read again for what stands around it.
     pages = keyfilter.build(theirs.select(_hash_part_of(F.col("fp")).alias("h")), "h", filter_bits)
-    mine = documents.select("key", "words", F.explode(fingerprints("words", k, span)).alias("code"))
-    mine = mine.select("key", "words", _hash_part(F.col("code")).alias("h"), _place(F.col("code")).alias("place"))
-    mine = keyfilter.ask(mine, "h", pages, filter_bits, "maybe").where("maybe")
-    gram, left, right = _context("words", F.col("place"), k, span)
-    mine = mine.select("key", "place", gram, left.alias("my_left"), right.alias("my_right"))
-    mine = mine.withColumn("my_fp", F.xxhash64("gram")).withColumnRenamed("gram", "my_gram")
+    codes = documents.select("key", F.explode(fingerprints("words", k, span)).alias("code"))
+    codes = codes.select("key", _hash_part(F.col("code")).alias("h"), _place(F.col("code")).alias("place"))
+    hits = keyfilter.ask(codes, "h", pages, filter_bits, "maybe").where("maybe")
+    # Rows with equal id and text have the same places; one row for each document that has any.
+    hits = hits.groupBy("key").agg(F.collect_set("place").alias("places"))
+    hits = store(hits.select(F.col("key").alias("hit_key"), F.xxhash64("key").alias("hit"), "places"), "hits")
+
+    some = keyfilter.ask(documents.withColumn("mine", F.xxhash64("key")), "mine", keyfilter.build(hits, "hit", filter_bits), filter_bits, "has_hit")
+    some = some.where("has_hit").dropDuplicates(["key"])
+    # A null id is equal to itself here, as in the grouping.
+    found = some.join(hits, (F.col("mine") == F.col("hit")) & F.col("key").eqNullSafe(F.col("hit_key")))
+    mine = found.select("key", F.explode(contexts(F.col("places"))).alias("c"))
+    mine = mine.select("key", "c.place", F.col("c.gram").alias("my_gram"), F.col("c.left").alias("my_left"), F.col("c.right").alias("my_right"))
+    mine = mine.withColumn("my_fp", F.xxhash64("my_gram"))
 
     met = mine.join(theirs, (F.col("my_fp") == F.col("fp")) & (F.col("my_gram") == F.col("gram")))
     back = _common(F.reverse("my_left"), F.reverse("left"))

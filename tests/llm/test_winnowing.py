@@ -1,6 +1,8 @@
 import random
 import re
+import time
 
+from samplewright.llm import winnowing as W
 from samplewright.llm.winnowing import decontaminate
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -82,3 +84,27 @@ def test_empty(spark, empty):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate(empty, "doc_id", "text", bench, "item_id", "text").count() == 0
     assert found(run(spark, [(1, "a b")], [])) == [(1, 2, 0, 0, [])]
+
+
+def test_time_is_linear_in_the_length_of_a_text(spark):
+    """A document of 800,000 words takes at most 2.5 times as long as one of 400,000, and is read to its end."""
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(5000)]
+    text = [rng.choice(words) for _ in range(800_000)]
+    items = spark.createDataFrame([(1, " ".join(text[399_000:399_020])), (2, " ".join(text[799_900:799_915]))], "item_id long, text string")
+
+    def run(n):
+        docs = spark.createDataFrame([(1, " ".join(text[:n]))], "doc_id long, text string").cache()
+        docs.count()
+        started = time.perf_counter()
+        row = W.decontaminate(docs, "doc_id", "text", items, "item_id", "text", span=10).first()
+        took = time.perf_counter() - started
+        docs.unpersist()
+        return took, row
+
+    run(20_000)
+    half, first = min((run(400_000) for _ in range(2)), key=lambda r: r[0])
+    whole, both = min((run(800_000) for _ in range(2)), key=lambda r: r[0])
+    assert (first.n_hit, first.item_ids) == (20, ["1"])
+    assert (both.n_hit, both.item_ids) == (35, ["1", "2"])
+    assert whole < 2.5 * half
