@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
-from ..operators import attention, classes, linalg, moments, raster, scoring
+from ..operators import attention, classes, linalg, moments, raster, scoring, spectrum
 from ..operators.checks import prefix_split, shape_report
 from ..session import scratch_path, store
 from ..streaming.moving import read_batches, start_moving_moments
@@ -396,6 +396,22 @@ def spectral_norm_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tall.withColumn("u", rounded("u"))
 
 
+@query(f"""WITH {EMB},
+g AS (SELECT a.j AS i, b.j AS j, sum(a.v * b.v) AS g FROM emb a JOIN emb b USING (vec_id) GROUP BY a.j, b.j),
+g2 AS (SELECT a.i, b.j, sum(a.g * b.g) AS g FROM g a JOIN g b ON a.j = b.i GROUP BY a.i, b.j)
+SELECT (SELECT count(DISTINCT j) FROM emb) AS n,
+  round((SELECT sum(g) FROM g WHERE i = j), 4) + 0.0 AS squares,
+  round((SELECT sum(g * g) FROM g), 2) + 0.0 AS fourth_powers,
+  round((SELECT sum(a.g * b.g) FROM g a JOIN g2 b USING (i, j)), 0) + 0.0 AS sixth_powers""")
+def singular_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All singular values of the matrix of embeddings, as sums of their powers: SQL has those as traces of the Gram matrix's."""
+    made = spectrum.singular_values(_embeddings(spark, sf_dir), "embedding")
+    power = lambda n, digits: rounded(F.sum(F.pow("value", F.lit(n))), digits)
+    return made.agg(
+        F.count("*").alias("n"), power(2, 4).alias("squares"), power(4, 2).alias("fourth_powers"), power(6, 0).alias("sixth_powers")
+    )
+
+
 # In 'update' mode call i goes on from u of call i - 1; 'frozen' and 'deferred' calls all start from the stored u, and the
 # last deferred one is committed by the caller. (mode, call, version after it, power step of its sigma, stored u).
 _STATE_CALLS = (
