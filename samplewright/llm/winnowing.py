@@ -16,6 +16,8 @@ from ..session import store
 from . import keyfilter
 from .text import ascii_lower
 
+#: Binary logarithm of the most bits that a filter of fingerprints may have: 8 MB are broadcast.
+MOST_FILTER_BITS = 26
 #: Everything in ASCII but digits and letters separates words.
 _SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -87,7 +89,8 @@ def shared_spans(
 ) -> DataFrame:
     """Stretches of ``span`` words or more around joined fingerprints: (key, item, start, end).
 
-    documents is (key, words), items is (item, words). The work is linear in the length of a text.
+    documents is (key, text), items is (item, words). The work is linear in the length of a text. Only texts with a
+    fingerprint that the filter lets through are shuffled.
     """
     k = min(k, span)
     items = items.where(F.size("words") >= span)
@@ -102,19 +105,23 @@ def shared_spans(
     theirs = theirs.groupBy("gram", "left", "right").agg(F.collect_set("item").alias("found_items"))
     theirs = store(theirs.withColumn("fp", F.xxhash64("gram")), "fingerprints")
 
-    # Fingerprints alone are looked up first; only documents with a hit are read again for what stands around it.
-    pages = keyfilter.build(theirs.select(_hash_part_of(F.col("fp")).alias("h")), "h", filter_bits)
-    codes = documents.select("key", F.explode(fingerprints("words", k, span)).alias("code"))
+    # Fingerprints alone are looked up first. Documents with a hit are few; their texts meet the places of the hits and are
+    # cut into words again.
+    bits = min(1 << MOST_FILTER_BITS, max(filter_bits, 1 << (1024 * theirs.count()).bit_length()))
+    pages = keyfilter.build(theirs.select(_hash_part_of(F.col("fp")).alias("h")), "h", bits)
+    cut = documents.select("key", words(F.col("text")).alias("words"))
+    codes = cut.select("key", F.explode(fingerprints("words", k, span)).alias("code"))
     codes = codes.select("key", _hash_part(F.col("code")).alias("h"), _place(F.col("code")).alias("place"))
-    hits = keyfilter.ask(codes, "h", pages, filter_bits, "maybe").where("maybe")
-    # Rows with equal id and text have the same places; one row for each document that has any.
+    hits = keyfilter.ask(codes, "h", pages, bits, "maybe").where("maybe")
+    # Rows with equal id and text have the same places.
     hits = hits.groupBy("key").agg(F.collect_set("place").alias("places"))
     hits = store(hits.select(F.col("key").alias("hit_key"), F.xxhash64("key").alias("hit"), "places"), "hits")
 
-    some = keyfilter.ask(documents.withColumn("mine", F.xxhash64("key")), "mine", keyfilter.build(hits, "hit", filter_bits), filter_bits, "has_hit")
-    some = some.where("has_hit").dropDuplicates(["key"])
+    keyed = documents.select("key", "text", F.xxhash64("key").alias("mine"))
+    some = keyfilter.ask(keyed, "mine", keyfilter.build(hits, "hit", filter_bits), filter_bits, "has_hit").where("has_hit")
     # A null id is equal to itself here, as in the grouping.
     found = some.join(hits, (F.col("mine") == F.col("hit")) & F.col("key").eqNullSafe(F.col("hit_key")))
+    found = found.select("key", words(F.col("text")).alias("words"), "places")
     mine = found.select("key", F.explode(contexts(F.col("places"))).alias("c"))
     mine = mine.select("key", "c.place", F.col("c.gram").alias("my_gram"), F.col("c.left").alias("my_left"), F.col("c.right").alias("my_right"))
     mine = mine.withColumn("my_fp", F.xxhash64("my_gram"))
@@ -151,7 +158,7 @@ def decontaminate(
     Short items are matched by winnowing at their own length, one round for each length that occurs.
     """
     cut = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    cut = cut.select("id", words(F.col("text")).alias("words"), F.xxhash64("text").alias("text_key"))
+    cut = cut.select("id", "text", F.xxhash64("text").alias("text_key"))
     cut = cut.withColumn("key", F.struct("id", "text_key"))
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), words(F.col(item_text_col)).alias("words"))
     items = items.where(F.col("item").isNotNull())
@@ -162,7 +169,7 @@ def decontaminate(
         rounds.append((row.n, items.where(F.size("words") == row.n)))
     found = None
     for length, part in rounds:
-        one = shared_spans(cut.select("key", "words"), part, length, k, filter_bits)
+        one = shared_spans(cut.select("key", "text"), part, length, k, filter_bits)
         found = one if found is None else found.unionByName(one)
     found = store(found, "spans")
 
@@ -174,7 +181,7 @@ def decontaminate(
         F.col("key.id").alias("hit_id"), F.col("key.text_key").alias("hit_text"), "n_hit", "item_ids"
     )
     same = F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("text_key") == F.col("hit_text"))
-    counted = cut.select("id", "text_key", F.size("words").cast("long").alias("n_words"))
+    counted = cut.select("id", "text_key", F.size(words(F.col("text"))).cast("long").alias("n_words"))
     none = F.array().cast("array<string>")
     return counted.join(report, same, "left").select(
         F.col("id").alias(id_col),
