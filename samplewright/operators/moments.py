@@ -25,11 +25,15 @@ FOLD_BYTES = 256 << 20
 # --- per channel and per position ----------------------------------------------------------------
 
 
-def position_moments(df: DataFrame, vector: str, keys: Sequence[str] = (), branches: int = 32) -> DataFrame:
+# Rows of one key that are merged at a time: a task's parts, then those of groups of tasks, then of groups of those.
+BRANCHES = (1024, 32, 1)
+
+
+def position_moments(df: DataFrame, vector: str, keys: Sequence[str] = ()) -> DataFrame:
     """Count, and mean and sum of squared deviations at each position, per key: (keys, n, mean, m2).
 
-    Tasks fold their rows into two vectors per key; these merge exactly, first within ``branches`` groups of
-    tasks, then across them. Ragged and null vectors are errors.
+    Tasks fold their rows into two vectors per key. These merge exactly, in three levels of groups of tasks, so
+    that no merge reads more than a few dozen vectors. Ragged and null vectors are errors.
     """
     keys = list(keys)
     schema = T.StructType([
@@ -55,7 +59,7 @@ def position_moments(df: DataFrame, vector: str, keys: Sequence[str] = (), branc
             yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, target)], schema=target)
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        branch = TaskContext.get().partitionId() % branches
+        branch = TaskContext.get().partitionId()
         held: dict = {}
         held_bytes = 0
         for batch in batches:
@@ -69,21 +73,26 @@ def position_moments(df: DataFrame, vector: str, keys: Sequence[str] = (), branc
                     held, held_bytes = {}, 0
         yield from result(held, branch)
 
-    def merge_on(levels: int):
-        def merge(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held: dict = {}
-            values = tuple(k.as_py() for k in key)
-            for batch in batches:
-                for n, mean, m2 in zip(batch.column("n").to_pylist(), batch.column("mean"), batch.column("m2")):
-                    add(held, values[:len(keys)], n, mean.values.to_numpy(), m2.values.to_numpy())
-            yield from result(held, values[-1] if levels == 2 else 0)
-
-        return merge
-
-    folded = df.select(*keys, doubles(F.col(vector)).alias("_x")).mapInArrow(fold, schema)
-    within = folded.groupBy(*keys, "branch").applyInArrow(merge_on(2), schema)
-    whole = within.withColumn("branch", F.lit(0)).groupBy(*keys, "branch").applyInArrow(merge_on(1), schema)
-    return whole.drop("branch")
+    merged = df.select(*keys, doubles(F.col(vector)).alias("_x")).mapInArrow(fold, schema)
+    for branches in BRANCHES:
+        # The parts of a group of tasks; a single one is taken as it is.
+        merged = merged.withColumn("branch", F.col("branch") % branches).groupBy(*keys, "branch").agg(F.collect_list(F.struct(*_PART)).alias("_parts"))
+        whole = F.aggregate(F.slice("_parts", 2, F.size("_parts")), F.get("_parts", F.lit(0)), _merge_parts)
+        merged = merged.withColumn("_part", whole).select(*keys, "branch", *[F.col(f"_part.{c}").alias(c) for c in _PART])
+    return merged.drop("branch")
+
+
+_PART = ("n", "mean", "m2")
+
+
+def _merge_parts(a: Column, b: Column) -> Column:
+    """(n, mean, m2) of two disjoint row sets."""
+    uneven = F.raise_error(F.lit("vectors of different lengths")).cast("array<double>")
+    n = a["n"] + b["n"]
+    gap = F.when(F.size(a["mean"]) == F.size(b["mean"]), F.zip_with(b["mean"], a["mean"], lambda x, y: x - y)).otherwise(uneven)
+    mean = F.zip_with(a["mean"], b["mean"], lambda x, y: x + (y - x) * (b["n"] / n))
+    spread = F.zip_with(F.zip_with(a["m2"], b["m2"], lambda x, y: x + y), gap, lambda x, g: x + g * g * (a["n"] * b["n"] / n))
+    return F.struct(n.alias("n"), mean.alias("mean"), spread.alias("m2"))
 
 
 def _positions(df: DataFrame, vector: str, keys: Sequence[str]) -> DataFrame:
