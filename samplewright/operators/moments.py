@@ -15,7 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
 from ..functions.arrays import doubles, whole_div
 from .kernels import group_rows, vectors_to_matrix
-from .ranking import ordered_rank
+from .ranking import estimated_bytes, ordered_rank
 
 
 # What a task holds of partial results before it passes them on.
@@ -222,11 +222,13 @@ def moving_versions(
 # --- full covariance: mergeable tiles -----------------------------------------------------------
 #
 # A task folds its rows into (n, mean, centred cross products) and emits the matrix in square tiles.
-# Tiles merge exactly by the pairwise update of Chan, Golub and LeVeque (1979), in two levels: first
+# Tiles merge exactly by the pairwise update of Chan, Golub and LeVeque (1979), for large inputs in two levels: first
 # within `fan_in` groups of tasks, then across them. While folding, a task holds FOLD_BYTES of matrices and
 # one more; while merging, one tile.
 
 TILE = 256
+# Estimated size of an input whose parts are merged in one level.
+ONE_LEVEL_BYTES = 1 << 30
 
 
 def tile_schema(df: DataFrame, keys: Sequence[str]) -> T.StructType:
@@ -306,7 +308,10 @@ def vector_moments(
                     )
 
     tiles = rows.mapInArrow(fold, schema)
-    return _merge_tiles(_merge_tiles(tiles, keys, "branch", key_types), keys, None, key_types)
+    # The parts of a small input are few; only the speed depends on the estimate.
+    if estimated_bytes(rows) > ONE_LEVEL_BYTES:
+        tiles = _merge_tiles(tiles, keys, "branch", key_types)
+    return _merge_tiles(tiles, keys, None, key_types)
 
 
 def merge_moments(moments: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

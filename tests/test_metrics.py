@@ -197,3 +197,13 @@ def test_keyed_fold_is_bounded(spark, monkeypatch):
     for k in (0, 57, 99):
         rows = x[k::100] - x[k::100].mean(axis=0)
         assert np.allclose(got[k], rows.T @ rows)
+
+
+def test_one_and_two_levels_of_merging_agree(spark, monkeypatch):
+    x = np.random.default_rng(4).normal(size=(300, 5)) + 100
+    df = frame(spark, x).repartition(9)
+    for limit in (1 << 60, -1):
+        monkeypatch.setattr(moments, "ONE_LEVEL_BYTES", limit)
+        row = moments.vector_moments(df, "v", fan_in=4).first()
+        assert row.n == 300 and np.allclose(row.mean_i, x.mean(axis=0))
+        assert np.allclose(np.reshape(row.cross, (5, 5)) / 299, np.cov(x.T))
