@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..session import store
 
+#: Links in one file between rounds.
+FILE_LINKS = 250_000
+
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of links (a, b); root is the smallest node of the component, itself included.
@@ -16,15 +19,16 @@ def components(links: DataFrame) -> DataFrame:
     lost executors cost one round at most, and neither links nor components reach the driver.
     """
     edges = store(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    before = None
+    before, files = None, 1
     while True:
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before or state[0] == 0:
             break
-        before = state
-        edges = store(_small_star(_large_star(edges)), "links")
+        before, files = state, 1 + state[0] // FILE_LINKS
+        # A round never makes more links than it was given, and few links need few files.
+        edges = store(_small_star(_large_star(edges)).coalesce(files), "links")
     roots = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct().coalesce(files))
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

@@ -1,6 +1,8 @@
 import random
 
+import samplewright.llm.components as module
 from samplewright.llm.components import components
+from samplewright.session import store
 
 
 def test_against_union_find(spark):
@@ -24,3 +26,22 @@ def test_against_union_find(spark):
 
 def test_no_links(spark):
     assert components(spark.createDataFrame([(1, 1)], "a long, b long")).count() == 0
+
+
+def test_few_links_make_few_files(spark, monkeypatch):
+    """Whatever the number of shuffle partitions, a round of few links is one file."""
+    files = []
+
+    def stored(df, name):
+        out = store(df, name)
+        files.append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(module, "store", stored)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = components(spark.createDataFrame([(i, i + 1) for i in range(60)], "a long, b long")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert {r.root for r in got} == {0} and len(got) == 61
+    assert len(files) > 2 and set(files[1:]) == {1}
