@@ -15,6 +15,7 @@ adds them up.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -28,38 +29,72 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..session import store
+from ..session import Steps
 from ..shipping import ship
 from . import keyfilter
-from .arrow import pieces, word_hashes, word_lists
+from .arrow import pieces, word_lists
 
 #: Hash of the end of a text, which counts as a word.
 END = 0x5DEECE66D
 #: Words per task that are summed up before they are passed on.
 _FLUSH = 4_000_000
 #: The same for n-grams.
-_HELD = 1_500_000
+_HELD = 600_000
+#: Texts are cut into words and n-grams in pieces of about this many bytes.
+_PIECE = 1 << 20
+#: Words of the training texts for each bucket that n-grams are counted in; it holds fewer n-grams than these.
+_BUCKET = 1 << 19
+#: The same for each bucket that terms are looked up in.
+_TERM_BUCKET = 1 << 21
 #: How often an n-gram must occur to be kept.
 LEAST = 2
 #: Bits of the filters that tasks hold: 32 MB.
 _BITS = 1 << 28
 
 
-def _cut(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Offsets and hashes of lower-cased words, with the end of each text as its last word."""
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Scrambles the bits of 64-bit numbers."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _word_hashes(words: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each word: scrambled, the sum of those of its bytes at their places. That of no word at all is arbitrary."""
+    whole = words.cast(pa.large_string())
+    offsets = np.frombuffer(whole.buffers()[1], np.int64)[whole.offset : whole.offset + len(whole) + 1]
+    starts = offsets[:-1] - offsets[0]
+    data = np.frombuffer(whole.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].astype(np.uint64)
+    place = np.arange(len(data)) - np.repeat(starts, np.diff(offsets))
+    parts = _mixed((place.astype(np.uint64) << np.uint64(8)) + data + np.uint64(1))
+    return _mixed(np.add.reduceat(np.append(parts, np.uint64(0)), starts))
+
+
+def _cut(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Offsets of lower-cased words, hashes of the distinct ones, and each word's place there; each text's last word is its end."""
     lower = pc.ascii_lower(pc.fill_null(texts, ""))
     offsets, distinct, index = word_lists(lower)
-    words = word_hashes(distinct)[index] if len(index) else np.zeros(0, np.uint64)
-    ends = np.insert(words, offsets[1:], np.uint64(END))
-    return offsets + np.arange(len(offsets)), ends
+    hashes = np.append(_word_hashes(distinct) if len(index) else np.zeros(0, np.uint64), np.uint64(END))
+    return offsets + np.arange(len(offsets)), hashes, np.insert(index.astype(np.int64), offsets[1:], len(hashes) - 1)
 
 
 def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     if not keys:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     key, count = np.concatenate(keys), np.concatenate(counts)
-    found, place = np.unique(key, return_inverse=True)
-    return found, np.bincount(place, count, len(found)).astype(np.int64)
+    order = np.argsort(key)
+    key = key[order]
+    at = _changes(key)
+    return key[at], np.add.reduceat(count[order], at) if len(at) else count
+
+
+def _changes(values: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.concatenate([np.ones(len(values[:1]), bool), values[1:] != values[:-1]]))
+
+
+def _spans(begins: np.ndarray, end: int) -> Iterator[tuple[int, int]]:
+    return zip(begins.tolist(), np.append(begins, end)[1:].tolist(), strict=True)
 
 
 def _key_batch(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
@@ -71,10 +106,11 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     keys, counts, held = [], [], 0
     for batch in batches:
         for piece in pieces(batch, 0):
-            key, n = np.unique(_cut(piece.column(0))[1], return_counts=True)
-            keys.append(key)
-            counts.append(n.astype(np.int64))
-            held += len(key)
+            _, hashes, index = _cut(piece.column(0))
+            n = np.bincount(index, minlength=len(hashes))
+            keys.append(hashes[n > 0])
+            counts.append(n[n > 0])
+            held += len(hashes)
             if held > _FLUSH:
                 key, n = _summed(keys, counts)
                 keys, counts, held = [key], [n], len(key)
@@ -126,45 +162,85 @@ def _maybe(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
-def _count_grams(shared, size: int):
+def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
+    """Which of so many buckets keys are in; these are ranges of keys."""
+    return ((key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+
+
+def _unpacked(value: pa.BinaryScalar, *kinds: type) -> list[np.ndarray]:
+    """The arrays of a packed value, one after the other."""
+    raw, at, out = value.as_buffer(), 0, []
+    k = len(raw) // sum(np.dtype(kind).itemsize for kind in kinds)
+    for kind in kinds:
+        out.append(np.frombuffer(raw, kind, k, at))
+        at += k * np.dtype(kind).itemsize
+    return out
+
+
+def _packed(buckets: int, key: np.ndarray, pre: np.ndarray, suf: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Counted n-grams as one value for each bucket of keys: what they begin with in order, what they end with, counts."""
+    bucket = _bucket(key, buckets)
+    # Equal beginnings side by side compress well; the bits that are lost here make no difference to that.
+    order = np.argsort((bucket.astype(np.uint64) << np.uint64(40)) | (pre >> np.uint64(24)))
+    bucket, pre, suf, n = bucket[order], pre[order], suf[order], n[order].astype(np.uint32)
+    at = _changes(bucket)
+    values = [pre[i:j].tobytes() + suf[i:j].tobytes() + n[i:j].tobytes() for i, j in _spans(at, len(bucket))]
+    return pieces(pa.RecordBatch.from_arrays([pa.array(bucket[at]), pa.array(values, pa.binary())], ["bucket", "grams"]), 1)
+
+
+def _joined(held: list) -> list[np.ndarray]:
+    """The columns of several pieces in one; the pieces are let go."""
+    columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+    held.clear()
+    return columns
+
+
+def _count_pairs(pre: np.ndarray, suf: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Different n-grams (key, pre, suf, n) in the order of their keys, counts added up."""
+    key = _pair(pre, suf)
+    order = np.argsort(key)
+    key = key[order]
+    at = _changes(key)
+    first = order[at]
+    return key[at], pre[first], suf[first], np.add.reduceat(n[order], at, dtype=np.int64) if len(at) else n.astype(np.int64)
+
+
+def _count_grams(shared, size: int, buckets: int):
     """Counts of n-grams by what they begin and end with, added up per task, if the filter may have both of these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
         held: list[list[np.ndarray]] = []
-
-        def summed() -> list[np.ndarray]:
-            key, pre, suf, n = (np.concatenate(c) for c in zip(*held, strict=True))
-            _, at, place = np.unique(key, return_index=True, return_inverse=True)
-            return [key[at], pre[at], suf[at], np.bincount(place, n, len(at)).astype(np.int64)]
-
-        def out() -> pa.RecordBatch:
-            _, pre, suf, n = summed()
-            return pa.RecordBatch.from_arrays([pa.array(pre.view(np.int64)), pa.array(suf.view(np.int64)), pa.array(n)], ["pre", "suf", "n"])
-
+        count = 0
         for batch in batches:
-            for piece in pieces(batch, 0):
-                offsets, words = _cut(piece.column(0))
-                *_, (_, _, lower), (key, place, _) = _grams(offsets, words, size)
+            for piece in pieces(batch, 0, _PIECE):
+                offsets, hashes, index = _cut(piece.column(0))
+                *_, (_, _, lower), (_, place, _) = _grams(offsets, hashes[index], size)
                 at = place - size + 1
-                pre, suf = lower[at], lower[at + 1]
-                kept = _maybe(pre, bits) & _maybe(suf, bits)
-                held.append([key[kept], pre[kept], suf[kept], np.ones(int(kept.sum()), np.int64)])
-                if sum(len(h[0]) for h in held) > _HELD:
-                    held = [summed()]
-                    if len(held[0][0]) > _HELD // 2:
-                        yield out()
-                        held = []
+                may = _maybe(lower, bits)
+                at = at[may[at] & may[at + 1]]
+                held.append([lower[at], lower[at + 1], np.ones(len(at), np.uint32)])
+                count += len(at)
+                if count > _HELD:
+                    key, pre, suf, n = _count_pairs(*_joined(held))
+                    held, count = [[pre, suf, n.astype(np.uint32)]], len(key)
+                    if count > _HELD // 2:
+                        held, count = [], 0
+                        yield from _packed(buckets, key, pre, suf, n)
+                    del key, pre, suf, n
         if held:
-            yield out()
+            yield from _packed(buckets, *_count_pairs(*_joined(held)))
 
     return run
 
 
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        pre, suf = (batch.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in (0, 1))
-        yield pa.RecordBatch.from_arrays([pa.array(_pair(pre, suf).view(np.int64)), *batch.columns], ["key", "pre", "suf", "n"])
+def _kept(table: pa.Table) -> pa.Table:
+    """The n-grams of a bucket that occur often enough: (key, pre, suf, n)."""
+    parts = [_unpacked(v, np.uint64, np.uint64, np.uint32) for v in table.column("grams")]
+    key, pre, suf, n = _count_pairs(*_joined(parts))
+    often = n >= LEAST
+    columns = [*(pa.array(c[often].view(np.int64)) for c in (key, pre, suf)), pa.array(n[often])]
+    return pa.table(columns, names=["key", "pre", "suf", "n"])
 
 
 @dataclass
@@ -273,11 +349,13 @@ def fit(training: DataFrame, text_col: str, order: int = 3, least_share: float =
         raise ValueError("order must be 2 or 3")
     spark = training.sparkSession
     ship(spark)
+    steps = Steps(spark, "backoff-lm")
     texts = training.select(F.col(text_col).cast("string").alias("text"))
     parts = texts.mapInArrow(_count_words, "word bigint, n bigint")
-    words = store(parts.groupBy("word").agg(F.sum("n").alias("n")), "words")
+    words = steps.store(parts.groupBy("word").agg(F.sum("n").alias("n")), "words")
     sums = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count("*").alias("distinct")).first()
     least = max(LEAST, math.ceil(least_share * sums.total))
+    buckets = max(1, sums.total // _BUCKET)
 
     # Chances of the kept n-grams, and of what they end with; the weights of their contexts. A context may begin
     # very many n-grams: adaptive execution splits these joins, as what follows each is written first.
@@ -285,16 +363,18 @@ def fit(training: DataFrame, text_col: str, order: int = 3, least_share: float =
     orders, contexts = [], []
     for size in range(2, order + 1):
         shared = spark.sparkContext.broadcast(_filter(lower.where(F.col("n") >= LEAST), "key"))
-        found = texts.mapInArrow(_count_grams(shared, size), "pre bigint, suf bigint, n bigint")
-        kept = found.groupBy("pre", "suf").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)
-        kept = store(kept.mapInArrow(_keyed, "key bigint, pre bigint, suf bigint, n bigint"), "grams")
-        shared.unpersist()
+        found = texts.mapInArrow(_count_grams(shared, size, buckets), "bucket int, grams binary")
+        kept = found.groupBy("bucket").applyInArrow(_kept, "key bigint, pre bigint, suf bigint, n bigint")
+        kept = steps.store(kept, f"grams-{size}")
+        shared.destroy()
         pre = lower.select(F.col("key").alias("pre"), F.col("n").alias("n_pre"))
         suf = lower.select(F.col("key").alias("suf"), F.col("p").alias("below"))
         whole = kept.join(pre, "pre").join(suf, "suf")
-        lower = store(whole.select("key", "pre", "suf", "n", ((F.col("n") - discount) / F.col("n_pre")).alias("p"), "below"), "chances")
+        whole = whole.select("key", "pre", "suf", "n", ((F.col("n") - discount) / F.col("n_pre")).alias("p"), "below")
+        lower = steps.store(whole, f"chances-{size}")
+        steps.drop(f"grams-{size}")
         left = [F.greatest(F.lit(1e-12), 1 - F.sum(c)) for c in ("p", "below")]
-        contexts.append(store(lower.groupBy("pre").agg(F.log10(left[0] / left[1]).alias("weight")), "weights"))
+        contexts.append(steps.store(lower.groupBy("pre").agg(F.log10(left[0] / left[1]).alias("weight")), f"weights-{size}"))
         orders.append(lower)
 
     # What each n-gram adds to a score once what it ends with, and backing off to that, are counted.
@@ -312,9 +392,9 @@ def fit(training: DataFrame, text_col: str, order: int = 3, least_share: float =
     for table in orders[1:]:
         rare_keys = rare_keys.unionByName(table.select("key", "n"))
     rare_bits = _filter(rare_keys.where(F.col("n") < least), "key")
-    stored = terms[0].where(F.col("n") < least)
-    for table in terms[1:]:
-        stored = stored.unionByName(table)
+    # One order after the other, so that what they shuffle isn't there at once. These tables stay.
+    lasting = Steps(spark, "terms")
+    stored = [lasting.store(table.where(F.col("n") < least), f"terms-{i}") for i, table in enumerate(terms, 1)]
 
     common = words.where(F.col("n") >= least).toArrow()  # at most 1 / least_share rows, as are those below
     hashes = common["word"].to_numpy().view(np.uint64)
@@ -326,50 +406,127 @@ def fit(training: DataFrame, text_col: str, order: int = 3, least_share: float =
         found = context.join(known.select(F.col("key").alias("pre")), "pre", "left_semi").toArrow()
         weights.update(zip(found["pre"].to_pylist(), found["weight"].to_pylist(), strict=True))
     automaton = build(frequent, frequent_counts, weights, [c.toArrow() for c in core], sums.total, sums.distinct, discount)
-    return Model(automaton, store(stored, "terms"), rare_bits, order, discount)
+    steps.drop()
+    return Model(automaton, functools.reduce(DataFrame.unionByName, stored), rare_bits, order, discount)
 
 
-def _score(shared, order: int, schema: T.StructType):
+def _score(shared, order: int, buckets: int, schema: T.StructType):
+    """Walks texts. Gives a row for each, and packed ones with the words and n-grams whose terms aren't in the automaton."""
     target = to_arrow_schema(schema)
 
+    def batch_of(length: int, given: dict) -> pa.RecordBatch:
+        columns = [pa.array(given[f.name], f.type) if f.name in given else pa.nulls(length, f.type) for f in target]
+        return pa.RecordBatch.from_arrays(columns, schema=target)
+
+    def packed(held: list[tuple[np.ndarray, np.ndarray]], single: bool) -> Iterator[pa.RecordBatch]:
+        """Keys in order and the texts they are in, by bucket; texts are counted from the first one."""
+        rows, keys = _joined(held)
+        if not len(keys):
+            return
+        first = int(rows.min())
+        order = np.argsort(keys)
+        rows, keys = (rows[order] - first).astype(np.uint32), keys[order]
+        bucket = _bucket(keys, buckets)
+        at = _changes(bucket)
+        values = [keys[i:j].tobytes() + rows[i:j].tobytes() for i, j in _spans(at, len(keys))]
+        given = {"bucket": bucket[at], "row": np.full(len(at), first), "hits": values, "single": np.full(len(at), single)}
+        yield from pieces(batch_of(len(at), given), 2)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, bits = shared.value
         share = np.log10((model.frequent_counts + 1.0) / (model.total + model.distinct + 1.0))
         share = np.concatenate([[0.0], share])
+        rare: list[tuple[np.ndarray, np.ndarray]] = []
+        grams: list[tuple[np.ndarray, np.ndarray]] = []
+        held = 0
         for batch in batches:
-            for piece in pieces(batch, 1):
-                offsets, words = _cut(piece.column(1))
-                number = _number(words, model.frequent)
-                base = np.add.reduceat(share[number], offsets[:-1]) if len(words) else np.zeros(0)
-                known = np.add.reduceat((number > 0).astype(np.int64), offsets[:-1]) if len(words) else np.zeros(0, np.int64)
-                # n-grams that may be kept ones outside the automaton, in the order of their last words.
-                keys, places = zip(*((k[m := _maybe(k, bits)], at[m]) for k, at, _ in islice(_grams(offsets, words, order), 1, None)), strict=True)
-                places = np.concatenate(places)
-                by_place = np.argsort(places, kind="stable")
-                keys, ends = np.concatenate(keys)[by_place], np.searchsorted(places[by_place], offsets)
-                scores, rare, times, grams, gram_times = [], [], [], [], []
-                for i in range(piece.num_rows):
-                    part = slice(offsets[i], offsets[i + 1])
-                    numbers = number[part]
-                    scores.append(model.walk(numbers.tolist()))
-                    hashes, n = np.unique(words[part][numbers == 0], return_counts=True)
-                    rare.append(hashes.view(np.int64))
-                    times.append(n)
-                    hashes, n = np.unique(keys[ends[i] : ends[i + 1]], return_counts=True)
-                    grams.append(hashes.view(np.int64))
-                    gram_times.append(n)
-                columns = [
-                    piece.column(0),
-                    pa.array(np.diff(offsets), pa.int64()),
-                    pa.array(known, pa.int64()),
-                    pa.array(base, pa.float64()),
-                    pa.array(scores, pa.float64()),
-                    pa.array(rare, pa.list_(pa.int64())),
-                    pa.array(times, pa.list_(pa.int64())),
-                    pa.array(grams, pa.list_(pa.int64())),
-                    pa.array(gram_times, pa.list_(pa.int64())),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, schema=target)
+            for piece in pieces(batch, 2, _PIECE):
+                rows = piece.column(0).to_numpy()
+                offsets, hashes, index = _cut(piece.column(2))
+                words, number = hashes[index], _number(hashes, model.frequent)[index]
+                base = np.add.reduceat(share[number], offsets[:-1])
+                known = np.add.reduceat((number > 0).astype(np.int64), offsets[:-1])
+                text = np.repeat(rows, np.diff(offsets))
+                rare.append((text[number == 0], words[number == 0]))
+                held += len(rare[-1][0])
+                for keys, at, _ in islice(_grams(offsets, words, order), 1, None):
+                    may = _maybe(keys, bits)
+                    grams.append((text[at[may]], keys[may]))
+                    held += len(grams[-1][0])
+                numbers = number.tolist()
+                walked = [model.walk(numbers[i:j]) for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+                own = _bucket(_pair(rows.view(np.uint64), rows.view(np.uint64)), buckets)
+                given = {"bucket": own, "row": rows, "id": piece.column(1), "n_tokens": np.diff(offsets), "known": known, "base": base}
+                yield batch_of(piece.num_rows, given | {"walk": np.array(walked)})
+                if held > _HELD:
+                    yield from packed(rare, True)
+                    yield from packed(grams, False)
+                    rare, grams, held = [], [], 0
+        if rare:
+            yield from packed(rare, True)
+            yield from packed(grams, False)
+
+    return run
+
+
+def _pack_terms(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            key, n, value = _joined(held)
+            order = np.argsort(key)
+            key, n, value = key[order], n[order], value[order]
+            bucket = _bucket(key, buckets)
+            at = _changes(bucket)
+            values = [key[i:j].tobytes() + n[i:j].tobytes() + value[i:j].tobytes() for i, j in _spans(at, len(key))]
+            return pieces(pa.RecordBatch.from_arrays([pa.array(bucket[at]), pa.array(values, pa.binary())], ["bucket", "terms"]), 1)
+
+        for batch in batches:
+            key, n, value = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            held.append([key.view(np.uint64), n, value])
+            if sum(len(h[0]) for h in held) > _HELD:
+                yield from out()
+                held = []
+        if held:
+            yield from out()
+
+    return run
+
+
+def _add_terms(total: int, distinct: int, discount: float, schema: T.StructType):
+    target = to_arrow_schema(schema)
+    # Words never seen share one place; n-grams that aren't kept add nothing.
+    never = math.log10(discount * distinct / total) if total else 0.0
+
+    def run(walked: pa.Table, terms: pa.Table) -> pa.Table:
+        """What a bucket's terms add to texts, and the rows of texts as they are."""
+        parts = [_unpacked(v, np.uint64, np.int64, np.float64) for v in terms.column("terms")]
+        parts.append([np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0)])
+        key, count, value = (np.concatenate(c) for c in zip(*parts, strict=True))
+        order = np.argsort(key)
+        # Place 0 is that of all keys that have no term.
+        key, count, value = key[order], np.concatenate([[0], count[order]]), np.concatenate([[0.0], value[order]])
+        is_text = pc.is_null(walked.column("hits"))
+        texts = walked.filter(is_text)
+        out = [pa.table([texts.column(c) for c in ("row", "id", "n_tokens", "known", "base", "walk")], schema=target)]
+        packed = walked.filter(pc.invert(is_text))
+        for first, hits, single in zip(*(packed.column(c) for c in ("row", "hits", "single")), strict=True):
+            wanted, rows = _unpacked(hits, np.uint64, np.uint32)
+            at = _number(wanted, key)
+            n = np.bincount(rows)
+            there = np.flatnonzero(n)
+            if single.as_py():
+                c = count[at]
+                known = np.bincount(rows, c > 0)[there].astype(np.int64)
+                base = np.bincount(rows, np.log10((c + 1.0) / (total + distinct + 1.0)))[there]
+                walk = np.bincount(rows, np.where(at > 0, value[at], never))[there]
+            else:
+                known, base, walk = np.zeros(len(there), np.int64), np.zeros(len(there)), np.bincount(rows, value[at])[there]
+            none = [pa.nulls(len(there), target.field(i).type) for i in (1, 2)]
+            columns = [pa.array(there + first.as_py(), pa.int64()), *none, pa.array(known), pa.array(base), pa.array(walk)]
+            out.append(pa.table(columns, schema=target))
+        return pa.concat_tables(out)
 
     return run
 
@@ -381,40 +538,31 @@ def score(docs: DataFrame, id_col: str, text_col: str, model: Model) -> DataFram
     empty texts have just that. base_score adds up log10((c + 1) / (N + V + 1)) over the words, c being a
     word's count, N all and V distinct words of the training texts; score is the automaton's log10
     probability. Each row is scored on its own; repeated rows are rows of their own; other columns are ignored.
+    Texts are walked once, in the tasks that read them. Rows are numbered there, so they must come in the same
+    order if a task runs again, as rows of a table do; store others first.
     """
     spark = docs.sparkSession
     ship(spark)
     automaton = model.automaton
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    schema = T.StructType([base.schema["id"]])
-    schema = schema.add("n_tokens", T.LongType()).add("n_known", T.LongType())
-    schema = schema.add("base", T.DoubleType()).add("walk", T.DoubleType())
-    for name in ("rare", "times", "grams", "gram_times"):
-        schema = schema.add(name, T.ArrayType(T.LongType()))
+    base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    numbers = [("n_tokens", T.LongType()), ("known", T.LongType()), ("base", T.DoubleType()), ("walk", T.DoubleType())]
+    schema = T.StructType().add("bucket", T.IntegerType()).add("row", T.LongType()).add("hits", T.BinaryType()).add("single", T.BooleanType())
+    added = T.StructType().add("row", T.LongType())
+    for name, kind in [("id", base.schema["id"].dataType), *numbers]:
+        schema, added = schema.add(name, kind), added.add(name, kind)
+    buckets = max(1, automaton.total // _TERM_BUCKET, int(spark.conf.get("spark.sql.shuffle.partitions")))
     shared = spark.sparkContext.broadcast((automaton, model.rare))
-    walked = base.mapInArrow(_score(shared, model.order, schema), schema)
-    walked = store(walked.withColumn("row", F.monotonically_increasing_id()), "walked")
-
-    total, distinct = automaton.total, automaton.distinct
-    rare = walked.select("row", F.lit(True).alias("single"), F.inline(F.arrays_zip(F.col("rare").alias("key"), F.col("times").alias("times"))))
-    grams = walked.select("row", F.lit(False).alias("single"), F.inline(F.arrays_zip(F.col("grams").alias("key"), F.col("gram_times").alias("times"))))
-    counted = rare.unionByName(grams).join(model.terms, "key", "left").withColumn("c", F.coalesce("n", F.lit(0)))
-    # Words never seen share one place; n-grams that aren't kept add nothing.
-    never = math.log10(model.discount * distinct / total) if total else 0.0
-    value = F.coalesce("value", F.when(F.col("single"), F.lit(never)).otherwise(0.0))
-    added = counted.groupBy("row").agg(
-        F.sum(F.when(F.col("single") & (F.col("c") > 0), F.col("times")).otherwise(0)).alias("more_known"),
-        F.sum(
-            F.when(F.col("single"), F.col("times") * F.log10((F.col("c") + 1.0) / F.lit(total + distinct + 1.0))).otherwise(0.0)
-        ).alias("more_base"),
-        F.sum(F.col("times") * value).alias("more_score"),
-    )
-    out = walked.drop("rare", "times", "grams", "gram_times").join(added, "row", "left")
+    walked = base.mapInArrow(_score(shared, model.order, buckets, schema), schema)
+    terms = model.terms.select("key", "n", "value").mapInArrow(_pack_terms(buckets), "bucket int, terms binary")
+    add = _add_terms(automaton.total, automaton.distinct, model.discount, added)
+    found = walked.groupBy("bucket").cogroup(terms.groupBy("bucket")).applyInArrow(add, added)
+    # In each column, what texts bring along and what terms add.
+    out = found.groupBy("row").agg(F.max("id").alias("id"), *[F.sum(name).alias(name) for name, _ in numbers])
     return out.select(
         F.col("id").alias(id_col),
         "n_tokens",
-        (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"),
-        (F.col("walk") + F.coalesce("more_score", F.lit(0.0))).alias("score"),
+        F.col("known").alias("n_known"),
+        F.lit(automaton.total).cast("long").alias("train_tokens"),
+        F.col("base").alias("base_score"),
+        F.col("walk").alias("score"),
     )

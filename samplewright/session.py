@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 # The scratch folder of local runs without a shared one; Python removes it when the process ends.
 _local: list[tempfile.TemporaryDirectory] = []
 
@@ -52,3 +53,30 @@ def store(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Steps:
+    """Tables that are needed for a while: stored in one folder, each without leaving shuffle files behind."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path = spark, scratch_path(spark, name)
+
+    def store(self, df: DataFrame, name: str) -> DataFrame:
+        """As ``store``; what the query shuffled is deleted once the table is written (Spark 4.1 and later)."""
+        path = f"{self.path}/{name}"
+        before = self.spark.conf.get(_CLEANUP, None)
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            if before is None:
+                self.spark.conf.unset(_CLEANUP)
+            else:
+                self.spark.conf.set(_CLEANUP, before)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        """Deletes tables by name, or all if none is named; nothing may read them any more."""
+        for path in [f"{self.path}/{n}" for n in names] or [self.path]:
+            folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)

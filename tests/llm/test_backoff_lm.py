@@ -1,11 +1,15 @@
+import itertools
 import math
 import random
 import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
+from samplewright import session
 from samplewright.llm import backoff_lm as B
 
 
@@ -118,3 +122,39 @@ def test_rare_grams_count_at_any_share(spark):
             t = (texts[:40] + fresh)[r.doc_id]
             assert r.score == pytest.approx(want.score(t)), t
             assert r.n_known == sum(x in want.one for x in tokens(t))
+
+
+def test_only_terms_stay_on_disk(spark, tmp_path, monkeypatch):
+    """What a fit counts and joins on its way is deleted with it, and scoring stores nothing."""
+    taken = itertools.count()
+    monkeypatch.setattr(session, "scratch_path", lambda _, name: f"{tmp_path}/{name}-{next(taken)}")
+    docs = spark.createDataFrame(list(enumerate(corpus())), "doc_id long, text string")
+    model = B.fit(docs, "text")
+    assert B.score(docs, "doc_id", "text", model).count() == 200
+    assert [p.name.split("-")[0] for p in tmp_path.iterdir()] == ["terms"]
+
+
+def test_packed_counts_add_up():
+    """n-grams that several tasks and flushes counted come together in the bucket of their key."""
+    rng = np.random.default_rng(4)
+    words = rng.integers(0, 1 << 63, 12).astype(np.uint64)
+    want, packed = Counter(), []
+    for _ in range(5):
+        pre, suf = words[rng.integers(0, 12, 70)], words[rng.integers(0, 12, 70)]
+        want.update(zip(pre.tolist(), suf.tolist(), strict=True))
+        packed += B._packed(7, *B._count_pairs(pre, suf, np.ones(70, np.uint32)))
+    got = {}
+    for bucket in range(7):
+        rows = pa.Table.from_batches(packed).filter(pc.field("bucket") == bucket)
+        if rows.num_rows:
+            table = B._kept(rows)
+            pre, suf = (table.column(c).to_numpy().view(np.uint64).tolist() for c in ("pre", "suf"))
+            got |= dict(zip(zip(pre, suf, strict=True), table.column("n").to_pylist(), strict=True))
+    assert got == {g: n for g, n in want.items() if n >= 2}
+
+
+def test_word_hashes_tell_words_apart():
+    words = [f"{a}{b}" for a in ("", "a", "b", "é", "\0", "\0\0") for b in range(3000)] + ["x" * n for n in range(1, 300)]
+    hashes = B._word_hashes(pa.array(["", *words, ""]).dictionary_encode().dictionary)
+    assert len(set(hashes[1:].tolist())) == len(words)
+    assert (B._word_hashes(pa.array(["zz", *words])[1:]) == hashes[1:]).all()
