@@ -154,6 +154,8 @@ def _filter(keys: DataFrame, key: str) -> np.ndarray:
     pages = keyfilter.build(keys, key, _BITS).toArrow()  # at most _BITS / PAGE rows
     for page, bitmap in zip(pages["page"], pages["bitmap"], strict=True):
         bits[page.as_py()] = np.frombuffer(bitmap.as_py(), np.uint8)
+    del pages
+    pa.default_memory_pool().release_unused()  # the driver's memory is small
     return bits.reshape(-1)
 
 
@@ -167,13 +169,25 @@ def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
     return ((key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
 
 
+def _bytes(*columns: np.ndarray) -> bytes:
+    """Arrays of the same length in one value: first all first bytes of their numbers, then all second ones, for compression."""
+    return b"".join(c.view(np.uint8).reshape(len(c), -1).T.tobytes() for c in columns)
+
+
+def _steps(keys: np.ndarray) -> np.ndarray:
+    """Differences of keys in order, which have fewer bytes than they; np.cumsum gives the keys back."""
+    return np.diff(keys, prepend=np.uint64(0))
+
+
 def _unpacked(value: pa.BinaryScalar, *kinds: type) -> list[np.ndarray]:
-    """The arrays of a packed value, one after the other."""
+    """The arrays of a value made by ``_bytes``; the first holds steps and comes back as keys."""
     raw, at, out = value.as_buffer(), 0, []
     k = len(raw) // sum(np.dtype(kind).itemsize for kind in kinds)
     for kind in kinds:
-        out.append(np.frombuffer(raw, kind, k, at))
-        at += k * np.dtype(kind).itemsize
+        size = np.dtype(kind).itemsize
+        out.append(np.frombuffer(raw, np.uint8, k * size, at).reshape(size, k).T.copy().view(kind).reshape(k))
+        at += k * size
+    out[0] = np.cumsum(out[0], dtype=np.uint64)
     return out
 
 
@@ -184,7 +198,7 @@ def _packed(buckets: int, key: np.ndarray, pre: np.ndarray, suf: np.ndarray, n:
     order = np.argsort((bucket.astype(np.uint64) << np.uint64(40)) | (pre >> np.uint64(24)))
     bucket, pre, suf, n = bucket[order], pre[order], suf[order], n[order].astype(np.uint32)
     at = _changes(bucket)
-    values = [pre[i:j].tobytes() + suf[i:j].tobytes() + n[i:j].tobytes() for i, j in _spans(at, len(bucket))]
+    values = [_bytes(_steps(pre[i:j]), suf[i:j], n[i:j]) for i, j in _spans(at, len(bucket))]
     return pieces(pa.RecordBatch.from_arrays([pa.array(bucket[at]), pa.array(values, pa.binary())], ["bucket", "grams"]), 1)
 
 
@@ -376,6 +390,7 @@ def fit(training: DataFrame, text_col: str, order: int = 3, least_share: float =
         left = [F.greatest(F.lit(1e-12), 1 - F.sum(c)) for c in ("p", "below")]
         contexts.append(steps.store(lower.groupBy("pre").agg(F.log10(left[0] / left[1]).alias("weight")), f"weights-{size}"))
         orders.append(lower)
+        del shared, found, kept, whole  # with them goes the filter
 
     # What each n-gram adds to a score once what it ends with, and backing off to that, are counted.
     own = [c.select(F.col("pre").alias("key"), F.col("weight").alias("own")) for c in contexts]
@@ -428,7 +443,7 @@ def _score(shared, order: int, buckets: int, schema: T.StructType):
         rows, keys = (rows[order] - first).astype(np.uint32), keys[order]
         bucket = _bucket(keys, buckets)
         at = _changes(bucket)
-        values = [keys[i:j].tobytes() + rows[i:j].tobytes() for i, j in _spans(at, len(keys))]
+        values = [_bytes(_steps(keys[i:j]), rows[i:j]) for i, j in _spans(at, len(keys))]
         given = {"bucket": bucket[at], "row": np.full(len(at), first), "hits": values, "single": np.full(len(at), single)}
         yield from pieces(batch_of(len(at), given), 2)
 
@@ -479,7 +494,7 @@ def _pack_terms(buckets: int):
             key, n, value = key[order], n[order], value[order]
             bucket = _bucket(key, buckets)
             at = _changes(bucket)
-            values = [key[i:j].tobytes() + n[i:j].tobytes() + value[i:j].tobytes() for i, j in _spans(at, len(key))]
+            values = [_bytes(_steps(key[i:j]), n[i:j], value[i:j]) for i, j in _spans(at, len(key))]
             return pieces(pa.RecordBatch.from_arrays([pa.array(bucket[at]), pa.array(values, pa.binary())], ["bucket", "terms"]), 1)
 
         for batch in batches:
